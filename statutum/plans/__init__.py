@@ -1,4 +1,7 @@
-"""Registered queries of the library and their DuckDB SQL."""
+"""Registered queries over the supplied tables, and DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import alerts, archive, control, legislative, matching, parsing, search
+
+_ALL = (legislative, archive, parsing, matching, search, alerts, control)
+QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _ALL for name, sql in module.ORACLES.items()}
