@@ -6,6 +6,7 @@ cells; everything that is said about cells (kinds of events, dates, terms) is a
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -135,7 +136,7 @@ def card_of(html: str | None) -> dict | None:
             classes = {c for n in item.all() if n.tag == "div" for c in n.classes}
             state = "not_started" if "cbp_tmlabel_notstart" in classes else "current" if "cbp_tmlabel_active" in classes else "done" if "cbp_tmlabel" in classes else "unknown"
             stages.append({"catalog_id": catalog, "heading": (link or inner).text() if link or inner else "", "state": state, "modified": small.text() if small else None, "visitable": link is not None})
-    return {"project_id": known[0], "title": title.text() if title else "", "metadata": list(metadata.items()), "links": list(targets.items()), "stages": stages}
+    return {"project_id": known[0], "title": title.text() if title else "", "metadata": metadata, "links": targets, "stages": stages}
 
 
 def _body_rows(page: Node, inside: str | None = None) -> Iterator[Node]:
@@ -177,17 +178,11 @@ def listing_of(html: str | None) -> dict:
 def _parsed(pages: DataFrame, read, kind: str, html: str) -> DataFrame:
     """``pages`` without its HTML and with the struct ``parsed``; pages go through Python a bounded Arrow batch at a time."""
 
-    @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in _fields(kind))}>")
-    def parse(column: pd.Series) -> pd.DataFrame:
-        found = [read(x) or {} for x in column]
-        return pd.DataFrame({name.split(" ", 1)[0]: pd.Series([f.get(name.split(" ", 1)[0]) for f in found], dtype=object) for name in _fields(kind)})
+    def parse(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: json.dumps(read(x) or {}, ensure_ascii=False))
 
-    return pages.withColumn("parsed", parse(F.col(html))).drop(html)
-
-
-def _fields(kind: str) -> list[str]:
-    """Top-level ``name type`` parts of a schema string."""
-    return re.split(r",\s(?=\w+ (?:string|map|array))", kind)
+    found = F.from_json(F.pandas_udf(parse, "string")(F.col(html)), kind)
+    return pages.withColumn("parsed", found).drop(html)
 
 
 def project_cards(pages: DataFrame, html: str = "html") -> DataFrame:
