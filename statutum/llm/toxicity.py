@@ -30,9 +30,9 @@ from .common import bounded_batches
 
 HELD_OUT, THRESHOLD = 2, 0.3
 #: Documents that the fit reads at most; features at most; least positives with a feature; significance of a feature.
-POSITIVES, UNLABELLED, FEATURES, LEAST, SIGNIFICANCE = 2500, 7500, 40_000, 5, 4.0
+POSITIVES, UNLABELLED, FEATURES, LEAST, SIGNIFICANCE = 2500, 7500, 40_000, 5, 6.0
 #: Letters of word beginnings; steps, step size and weight decay of the fit; words remembered in a process.
-BEGINNINGS, STEPS, RATE, DECAY, REMEMBERED = (3, 4, 5), 400, 0.1, 1e-5, 300_000
+BEGINNINGS, STEPS, RATE, DECAY, REMEMBERED = (3, 4, 5, 6, 7, 8), 400, 0.1, 3e-3, 300_000
 
 _EDGE = b".,;:!?\"'()[]{}<>|*$%&#-_/\\=+~`"
 
