@@ -67,11 +67,11 @@ def copies_of(sizes: DataFrame) -> DataFrame:
     goal = materialize(goal.select(F.col("source").alias("s"), "source_size", "target", "whole", "rest", "tempered_words", "n"), "goals")
     rows = sizes.join(goal, sizes["source"].eqNullSafe(F.col("s"))).drop("s")
     u = (F.pmod(F.xxhash64(F.lit(SEED), F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    p = F.least(F.lit(0.98), F.greatest(F.lit(1e-9), F.col("rest") * F.pow(F.col("size").cast("double"), F.lit(POWER)) / F.col("tempered_words")))
+    p = F.least(F.lit(0.98), F.greatest(F.lit(1e-9), F.col("rest") * F.pow(F.col("size").cast("double"), F.lit(POWER)) / F.nullif("tempered_words", F.lit(0.0))))
     rank = F.log(u / (1 - u)) - F.log(p / (1 - p))
     rows = rows.withColumn("rank", F.when((F.col("size") > 0) & (F.col("rest") > 0), rank))
     bins = F.greatest(F.lit(64), F.ceil(F.col("n") / F.lit(BIN_ROWS)))
-    share = F.least(F.lit(0.98), F.greatest(F.lit(1e-9), F.col("rest") / F.col("source_size")))
+    share = F.least(F.lit(0.98), F.greatest(F.lit(1e-9), F.try_divide("rest", "source_size")))
     middle = F.col("rank") + F.log(share / (1 - share))  # about the log odds of u: the logistic spreads it evenly
     rows = rows.withColumn("bin", F.floor(bins / (1 + F.exp(-middle))).cast("long"))
     by_bin = rows.where("rank is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("rest").alias("rest"))
