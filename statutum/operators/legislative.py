@@ -68,11 +68,14 @@ def stage_paces(stays: DataFrame) -> DataFrame:
 
 
 def pace_or_fallback(drafts: DataFrame, paces: DataFrame, enough: int = ENOUGH) -> DataFrame:
-    """``drafts(.., initiator, stage)`` with ``pace``: its initiator's median if enough stays are behind it, else that of all, else null."""
-    sound = paces.where(F.col("n") >= enough)
-    own = sound.where("not overall").select("initiator", "stage", F.col("median_seconds").alias("own_"))
-    everyone = sound.where("overall").select("stage", F.col("median_seconds").alias("all_"))
-    return drafts.join(own, ["initiator", "stage"], "left").join(everyone, "stage", "left").withColumn("pace", F.coalesce("own_", "all_")).drop("own_", "all_")
+    """``drafts(.., initiator, stage)`` with ``pace``: its initiator's median if enough stays are behind it, else that of all, else null.
+
+    Medians are gathered into one row for each stage (initiators are few), so that drafts are joined once and medians computed once.
+    """
+    own = F.when(~F.col("overall") & F.col("initiator").isNotNull(), F.struct("initiator", "median_seconds"))
+    by_stage = paces.where(F.col("n") >= enough).groupBy("stage").agg(F.max(F.when(F.col("overall"), F.col("median_seconds"))).alias("all_"), F.map_from_entries(F.collect_list(own)).alias("own_"))
+    joined = drafts.join(by_stage, "stage", "left")
+    return joined.withColumn("pace", F.coalesce(F.try_element_at("own_", F.col("initiator")), "all_")).drop("own_", "all_")
 
 
 def draft_status(drafts: DataFrame, history: DataFrame, paces: DataFrame, acts: DataFrame, now: Column, next_stage=expected_next) -> DataFrame:

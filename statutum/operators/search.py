@@ -28,9 +28,14 @@ def own_id(index_id: Column) -> Column:
     return F.substring(index_id, F.instr(index_id, ":") + 1, F.length(index_id))
 
 
-def postings(entries: DataFrame) -> DataFrame:
-    """``stem, id, tf, length`` of every entry; stored by stem this is the index that searches read."""
+def postings(entries: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``stem, id, tf, length`` of every entry; stored by stem this is the index that searches read.
+
+    With ``wanted(stem)`` only those stems count, and others are dropped before anything is grouped.
+    """
     tokens = entries.select("id", F.size("stems").alias("length"), F.explode("stems").alias("stem"))
+    if wanted is not None:
+        tokens = tokens.join(wanted, "stem", "left_semi")
     return tokens.groupBy("stem", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -46,7 +51,7 @@ def title_scores(entries: DataFrame, queries: DataFrame) -> DataFrame:
     Only postings of stems that are asked for are kept before anything is shuffled for them, and partial sums are made by entry.
     """
     asked = queries.select("query", F.explode("wanted").alias("stem")).groupBy("query", "stem").agg(F.count(F.lit(1)).alias("times"))
-    found = postings(entries).join(asked.select("stem").distinct(), "stem", "left_semi")
+    found = postings(entries, asked.select("stem").distinct())
     df = found.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
     total = F.broadcast(statistics(entries))  # one row
     weighted = found.join(df, "stem").join(total)

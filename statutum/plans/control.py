@@ -1,4 +1,4 @@
-"""Audit chain, jobs, tokens, constraints and the vector extension over the supplied tables."""
+"""Audit chain, jobs, tokens and constraints over the supplied tables."""
 
 from __future__ import annotations
 

@@ -181,7 +181,8 @@ def _parsed(pages: DataFrame, read, kind: str, html: str) -> DataFrame:
     def parse(column: pd.Series) -> pd.Series:
         return column.map(lambda x: json.dumps(read(x) or {}, ensure_ascii=False))
 
-    found = F.from_json(F.pandas_udf(parse, "string")(F.col(html)), kind)
+    # Not deterministic to the optimizer, which would else parse each page again for every filter over the result.
+    found = F.from_json(F.pandas_udf(parse, "string").asNondeterministic()(F.col(html)), kind)
     return pages.withColumn("parsed", found).drop(html)
 
 
