@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NU
     sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     placed = family.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
     placed = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    texts = docs.join(placed, "doc_id")
+    # Merged at every size: a plan that changes with the size would hide what the join of texts costs.
+    texts = docs.join(placed.hint("merge"), "doc_id")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     units = texts.select("doc_id", "text", "family", "block", other.alias("other"))
     units = units.select("doc_id", "text", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
