@@ -13,6 +13,9 @@ from ..functions.vocabulary import specificity
 #: Seconds in which one matter is raised once; items of a pass; passes of a run.
 COOLDOWN_S, PASS_ITEMS, PASSES = 24 * 3600, 200, 25
 
+# Wording of mails.
+HEADING, REASON, LEAVE_TEXT, LEAVE_LINK = "Co się wydarzyło", "Pasuje do: ", "Nie chcesz tych wiadomości? ", "Zrezygnuj z tych wiadomości"
+
 
 def add_pending(pending: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Items to add to the buffer: those that do not wait already, one for each (kind, subject), the first to arrive."""
@@ -159,14 +162,14 @@ def mails(matters: DataFrame, unsubscribe_url: Column, sender: str = "Statutum")
     """``digest_id, subject, text, html`` of each digest, its matters newest first; titles are escaped in the HTML."""
     listed = matters.groupBy("digest_id").agg(F.sort_array(F.collect_list(F.struct("latest", "subject_kind", "subject", "title", F.col("notifications")[0]["value"].alias("reason"))), asc=False).alias("m"))
     n = F.size("m")
-    reason = lambda m: F.concat(F.lit("Pasuje do: "), m["reason"])
+    reason = lambda m: F.concat(F.lit(REASON), m["reason"])
     text = F.array_join(F.transform("m", lambda m: F.concat(F.lit("* "), m["title"], F.lit("\n  "), reason(m), F.lit("\n\n"))), "")
     html = F.array_join(F.transform("m", lambda m: F.concat(F.lit("<li><strong>"), escape_html(m["title"]), F.lit("</strong><br><small>"), escape_html(reason(m)), F.lit("</small></li>"))), "")
     return listed.select(
         "digest_id",
         F.concat(F.lit(f"{sender}: "), n.cast("string"), F.lit(" "), plural_of_matters(n)).alias("subject"),
-        F.concat(F.lit("Co się wydarzyło:\n\n"), text, F.lit("Nie chcesz tych wiadomości? "), unsubscribe_url, F.lit("\n")).alias("text"),
-        F.concat(F.lit("<h1>Co się wydarzyło</h1><ul>"), html, F.lit('</ul><p><a href="'), escape_html(unsubscribe_url), F.lit('">Zrezygnuj z tych wiadomości</a></p>')).alias("html"),
+        F.concat(F.lit(f"{HEADING}:\n\n"), text, F.lit(LEAVE_TEXT), unsubscribe_url, F.lit("\n")).alias("text"),
+        F.concat(F.lit(f"<h1>{HEADING}</h1><ul>"), html, F.lit('</ul><p><a href="'), escape_html(unsubscribe_url), F.lit(f'">{LEAVE_LINK}</a></p>')).alias("html"),
     )
 
 

@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from statutum.functions import dates, ids, text, vocabulary
+from statutum.functions import dates, fetching, ids, text, vocabulary
 from statutum.functions.json_text import canonical
 
 
@@ -143,3 +143,11 @@ def test_vocabulary(spark):
 def test_canonical_json(spark):
     assert one(spark, canonical(L('{"b": [2, 1], "a": {"z": 1, "y": "ż"}}'))) == '{"a":{"y":"ż","z":1},"b":[2,1]}'
     assert one(spark, canonical(L("no"))) is None and one(spark, canonical(L(None).cast("string"))) is None
+
+
+def test_fetches(spark):
+    o = lambda s, a=True, r=None: one(spark, fetching.fetch_outcome(L(s).cast("int"), L(a).cast("boolean"), L(r).cast("boolean")))
+    assert [o(200), o(304), o(404), o(None), o(200, False), o(200, True, True), o(404, True, True)] == ["fetched", "not_modified", "failed", "failed", "refused", "refused", "failed"]
+    r = lambda s, n: one(spark, fetching.may_retry(L(s).cast("int"), L(n)))
+    assert [r(429, 1), r(503, 3), r(503, 4), r(404, 1), r(None, 1)] == [True, True, False, False, False]
+    assert one(spark, fetching.requests_per_second(L(None).cast("double"), L(2.0))) == 2.0 and one(spark, fetching.wait_before_retry(L(3))) == 4.0
