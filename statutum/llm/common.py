@@ -58,9 +58,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text"):
-    """Names a row by its id and text: repeated ids with different texts stay apart, equal rows share it."""
-    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.hex(F.xxhash64(text_col)))
+def row_name(id_col: str = "doc_id", text_col: str = "text"):
+    """16 bytes that name a row by its id and text: repeated ids with different texts stay apart, equal rows share it."""
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(k), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col(text_col))), 16, "0") for k in (0, 1)]
+    return F.unhex(F.concat(*halves))
 
 
 def filesystem(uri: str):

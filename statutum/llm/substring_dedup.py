@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_batches, groups, mix, ngram_hashes, row_key, shuffle_partitions
+from .common import WordHashes, bounded_batches, groups, mix, ngram_hashes, row_name, shuffle_partitions
 
 WINDOW = 35
 #: Words in the runs whose least hash is the minimiser; windows in a packed string at most; bytes of strings in a bucket, about.
@@ -49,7 +49,7 @@ def super_kmers(words: np.ndarray, window: int = WINDOW, m: int = MINIMISER) ->
 
 def _pack(buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, press = WordHashes(), zstandard.ZstdCompressor(level=3)
+        hashes, press = WordHashes(), zstandard.ZstdCompressor(level=5)
         for batch in batches:
             seen: dict[bytes, int] = {}
             for text in batch.column("text").to_pylist():
@@ -158,7 +158,7 @@ def _places(window: int):
                     keys.append(key)
                     ids.append(xxhash.xxh3_128_digest(b" ".join(words[s : s + c + window - 1])))
                     at.append(s)
-            yield pa.RecordBatch.from_pydict({"row_key": pa.array(keys, pa.string()), "packed_id": pa.array(ids, pa.binary()), "start": pa.array(at, pa.int32())})
+            yield pa.RecordBatch.from_pydict({"row_key": pa.array(keys, pa.binary()), "packed_id": pa.array(ids, pa.binary()), "start": pa.array(at, pa.int32())})
 
     return run
 
@@ -192,13 +192,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id"), F.col("text"), row_key().alias("row_key"))
+    docs = docs.select(F.col("doc_id"), F.col("text"), row_name().alias("row_key"))
     raw = docs.select(F.col("text").cast("binary").alias("text"), "row_key")
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(spark), 3 * text_bytes // BUCKET_BYTES)
     packed = raw.select("text").mapInArrow(_pack(buckets, window), "bucket long, blob binary")
     repeated = packed.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_count(window), "packed_id binary, mask binary")
-    masks = raw.mapInArrow(_places(window), "row_key string, packed_id binary, start int").join(repeated, "packed_id").groupBy("row_key").agg(F.collect_set(F.struct("start", "mask")).alias("masks"))
+    masks = raw.mapInArrow(_places(window), "row_key binary, packed_id binary, start int").join(repeated, "packed_id").groupBy("row_key").agg(F.collect_set(F.struct("start", "mask")).alias("masks"))
     joined = docs.join(masks, "row_key", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "masks")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     cut = joined.mapInArrow(_cut(window), f"doc_id {id_type}, n_words long, n_removed long, kept binary")
