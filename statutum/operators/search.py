@@ -45,13 +45,15 @@ def statistics(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count(with_words).alias("entries"), F.avg(with_words).alias("mean_length"))
 
 
-def title_scores(entries: DataFrame, queries: DataFrame) -> DataFrame:
+def title_scores(entries: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """BM25 of titles: ``query, id, score, matched`` for ``queries(query, wanted array<string>)`` (a stem counts as often as it is asked).
 
     Only postings of stems that are asked for are kept before anything is shuffled for them, and partial sums are made by entry.
+    With ``index``, stored postings, titles are not taken apart again.
     """
     asked = queries.select("query", F.explode("wanted").alias("stem")).groupBy("query", "stem").agg(F.count(F.lit(1)).alias("times"))
-    found = postings(entries, asked.select("stem").distinct())
+    wanted = asked.select("stem").distinct()
+    found = postings(entries, wanted) if index is None else index.join(wanted, "stem", "left_semi")
     df = found.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
     total = F.broadcast(statistics(entries))  # one row
     weighted = found.join(df, "stem").join(total)
@@ -67,18 +69,18 @@ def keep(entries: DataFrame, kinds=(), stages=(), initiators=(), act_types=()) -
     return entries.where(reduce(lambda a, b: a & b, [F.col(c).isin(*v) for c, v in given.items() if v], F.lit(True)))
 
 
-def search(entries: DataFrame, text: str | None, offset: int = 0, size: int = PAGE, **filters) -> dict[str, DataFrame]:
+def search(entries: DataFrame, text: str | None, offset: int = 0, size: int = PAGE, index: DataFrame | None = None, **filters) -> dict[str, DataFrame]:
     """``hits`` (a page, best first), ``total`` and ``facets`` of one search.
 
     An entry matches by a stem of its title (weighing ``TITLE_BOOST``) or by one of its identifiers as a whole. Blank text lists
-    all that pass the filters, in order of ids. Filters change no score.
+    all that pass the filters, in order of ids. Filters change no score. ``index``: stored postings of the entries, if there are any.
     """
     spark = entries.sparkSession
     text = (text or "").strip()
     passed = keep(entries, **filters)
     if text:
         query = spark.range(1).select(F.lit(0).alias("query"), stems(F.lit(text)).alias("wanted"))
-        scores = title_scores(entries, query).select("id", (TITLE_BOOST * F.col("score")).alias("title_score"))
+        scores = title_scores(entries, query, index).select("id", (TITLE_BOOST * F.col("score")).alias("title_score"))
         rows = passed.join(scores, "id", "left").withColumn("named", F.array_contains(F.coalesce("identifiers", F.array().cast("array<string>")), text))
         matching = rows.where(F.col("title_score").isNotNull() | F.col("named"))
         matching = matching.withColumn("score", F.coalesce("title_score", F.lit(0.0)) + F.when(F.col("named"), 1.0).otherwise(0.0))

@@ -201,5 +201,7 @@ def test_blobs_are_added_once(spark, tmp_path):
 def test_index_is_switched(spark, tmp_path):
     sinks.publish_index(entries(spark), str(tmp_path), "ix")
     assert spark.table("ix").count() == 4
+    by_index, by_title = (search.search(spark.table("ix"), "ceny energii", index=i)["hits"].select("id", "score").collect() for i in (spark.table("ix_postings"), None))
+    assert by_index == by_title != []
     sinks.publish_index(entries(spark).where("kind = 'act'"), str(tmp_path), "ix")
     assert spark.table("ix").count() == 2 and spark.table("ix_postings").where("stem = 'cen'").count() == 1
