@@ -33,7 +33,8 @@ def postings(entries: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 
     With ``wanted(stem)`` only those stems count, and others are dropped before anything is grouped.
     """
-    tokens = entries.select("id", F.size("stems").alias("length"), F.explode("stems").alias("stem"))
+    # The outer form and a filter after it: for the inner one the optimizer would take titles apart once more to find empty ones.
+    tokens = entries.select("id", F.size("stems").alias("length"), F.explode_outer("stems").alias("stem")).where("stem is not null")
     if wanted is not None:
         tokens = tokens.join(wanted, "stem", "left_semi")
     return tokens.groupBy("stem", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
