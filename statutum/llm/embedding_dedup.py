@@ -72,9 +72,9 @@ def _compare(threshold: float):
             ids, side, members = (rows.column(c).to_numpy() for c in ("class_id", "block", "members"))
             order = np.lexsort((ids, side))
             ids, side, members = ids[order], side[order], members[order]
-            x = np.array(rows.column("vector").to_pylist(), np.float64)[order]
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            codes = np.array(rows.column("codes").to_pylist(), np.int64)[order]
+            x = rows.column("vector").combine_chunks().flatten().to_numpy().reshape(n, -1)[order]
+            x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+            codes = rows.column("codes").combine_chunks().flatten().to_numpy().reshape(n, -1)[order]
             split = int((side == low).sum())
             left, right = (slice(0, split), slice(split, n)) if low != high else (slice(0, n), slice(0, n))
             if low != high and split in (0, n):
@@ -84,7 +84,9 @@ def _compare(threshold: float):
             if low == high:
                 a, b = a[a < b], b[a < b]
             if table and len(a):
-                fresh = ~(codes[a, :table] == codes[b, :table]).any(axis=1)
+                fresh = np.ones(len(a), bool)
+                for k in range(table):  # a table at a time: all at once would take as many numbers as pairs times tables
+                    fresh &= codes[a, k] != codes[b, k]
                 a, b = a[fresh], b[fresh]
             if not len(a):
                 continue
