@@ -65,12 +65,19 @@ class Matcher:
             norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
             for t, w in weights.items():
                 self.postings.setdefault(t, []).append((name, w / norm))
-        # Lines that share only terms of most documents with every template are passed over.
-        self.telling = {t for t in vocabulary if frequency.get(t, 0) * 2 <= documents or documents < 20}
 
     def line(self, words: list[bytes]) -> tuple[float, str | None]:
-        """The best cosine of a line and its template; terms outside the templates count in the line's length."""
-        if self.telling.isdisjoint(words):
+        """The best cosine of a line and its template; terms outside the templates count in the line's length.
+
+        A line is passed over only if its cosines are below ``COSINE`` for certain: templates have length 1, so no cosine
+        exceeds the share of the line's length that lies in their terms, and n other words are no shorter than sqrt(n) unseen ones.
+        """
+        inside = Counter(filter(self.idf.__contains__, words))
+        if not inside:
+            return 0.0, None
+        within = sum((n * self.idf[t]) ** 2 for t, n in inside.items())
+        others = len(words) - inside.total()
+        if within * (1 + 1e-9) < COSINE * COSINE * (within + others * self.unseen * self.unseen):
             return 0.0, None
         bag, dots, norm = Counter(words), {}, 0.0
         for t, n in bag.items():

@@ -67,6 +67,15 @@ def test_equals_brute_force(spark):
     assert by_id[2][1] == "MIT" and by_id[2][4] == "a" and by_id[3][1] == "GPL-3.0" and by_id[5][4] == "a/b" and by_id[9][1] == "MIT" and by_id[10][1] == "Proprietary" and by_id[7][1] is None
 
 
+def test_one_header_in_every_file(spark):
+    """As many files as one likes may carry the same header: none of them loses its licence."""
+    apache = op.TEMPLATES["Apache-2.0"]
+    for header, licence in ((MIT, "MIT"), (apache, "Apache-2.0")):
+        rows = [(i, f"p{i % 3}/f{i}.py", f"# {header}\ncode of file {i} and more") for i in range(29)] + [(29, "p0/LICENSE", header), (30, "p0/q/plain.py", "nothing")]
+        out = got(op.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(3)))
+        assert out == brute(rows) and all(r[1] == licence for r in out) and (30, licence, None, None, "p0") in out
+
+
 def test_no_files_and_no_templates(spark):
     files = spark.createDataFrame(ROWS, "doc_id long, path string, text string")
     assert op.scan(files.limit(0)).count() == 0 and {r.licence for r in op.scan(files, {}).collect()} == {None}
