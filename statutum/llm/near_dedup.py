@@ -1,9 +1,10 @@
 """MinHash near-dedup with tensored banding.
 
 A document is the set of its ``SHINGLE``-word shingles (lower-cased A-Z; fewer words make one shingle of the whole sequence).
-``COLLECTIONS`` small collections of ``ROWS`` minhashes each are computed, and a table key is a pair of collections: 16
-collections of 4 give 120 tables of 8 minhashes from 64 minhashes in place of 960. Two documents of similarity s meet in
-some table if two collections agree: at 0.85 that is missed with probability 1.4e-4, at 0.3 met with 8e-3.
+Small collections of minhashes are computed, and a table key is a pair of collections: 16 collections of 4 give 120
+tables of 8 minhashes from 64 minhashes in place of 960. Two documents of similarity s meet in some table if two
+collections agree. ``layout`` takes as many collections as keep the chance to miss a pair at the threshold within
+``MISS``: at 0.85 those 16 of 4 (missed 1.4e-4; at 0.3 met with 8e-3), at 0.8 23 of 4.
 
 1. Rows with equal word sequences form a class; one member, the smallest id, goes on for it.
 2. Keys: members of a map batch that share a key are linked to the first of them there; only that first one travels to
@@ -32,14 +33,24 @@ from pyspark.sql import functions as F
 from .common import WordHashes, bounded_batches, components, groups, local_roots, materialize, mix, ngram_hashes, shuffle_partitions
 
 SHINGLE, NUMERATOR, DENOMINATOR = 3, 85, 100
-COLLECTIONS, ROWS, BLOCK = 16, 4, 256
+#: Chance to miss a pair at the threshold; collections and minhashes in one, at most; members of a block.
+MISS, COLLECTIONS, ROWS, BLOCK = 1.5e-4, 24, 4, 256
 #: Shingles whose columns are multiplied at once.
 COLUMNS = 4096
 
-_PAIRS = list(combinations(range(COLLECTIONS), 2))
 _SALTS = mix(np.arange(1, COLLECTIONS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def layout(threshold: float) -> tuple[int, int]:
+    """Number of collections and of minhashes in each, for pairs at a threshold; refuses those that cannot be met."""
+    for rows in range(ROWS, 0, -1):
+        agree = threshold**rows
+        for n in range(2, COLLECTIONS + 1):
+            if (1 - agree) ** n + n * agree * (1 - agree) ** (n - 1) <= MISS:
+                return n, rows
+    raise ValueError(f"no layout of {COLLECTIONS} collections misses at most {MISS} of the pairs at {threshold}")
+
+
 def shingle_set(words: list[bytes], hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of lower-cased words."""
     if not words:
@@ -49,16 +60,17 @@ def shingle_set(words: list[bytes], hashes: WordHashes, n: int = SHINGLE) -> np.
     return np.unique(ngram_hashes(hashes.of(words), n))
 
 
-def collection_keys(shingles: np.ndarray) -> np.ndarray:
+def collection_keys(shingles: np.ndarray, collections: int, rows: int) -> np.ndarray:
     """One 64-bit key for each collection of minhashes of a set that is not empty."""
-    least = np.empty(len(_SALTS), np.uint64)
+    salts = _SALTS[: collections * rows]
+    least = np.empty(len(salts), np.uint64)
     for at in range(0, len(shingles), 1 << 15):
         part = shingles[at : at + (1 << 15)]
-        for i, salt in enumerate(_SALTS):
+        for i, salt in enumerate(salts):
             x = part * salt
             value = (x ^ (x >> np.uint64(29))).min()
             least[i] = value if at == 0 else min(least[i], value)
-    return ngram_hashes_rows(least.reshape(COLLECTIONS, ROWS))
+    return ngram_hashes_rows(least.reshape(collections, rows))
 
 
 def ngram_hashes_rows(rows: np.ndarray) -> np.ndarray:
@@ -70,11 +82,11 @@ def ngram_hashes_rows(rows: np.ndarray) -> np.ndarray:
 
 def table_keys(collections: np.ndarray) -> np.ndarray:
     """Keys of all tables for rows of collection keys."""
-    a, b = np.array(_PAIRS).T
+    a, b = np.array(list(combinations(range(collections.shape[1]), 2))).T
     return mix(mix(collections[:, a]) ^ (collections[:, b] * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _sign(shingle: int):
+def _sign(shingle: int, collections: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -84,7 +96,7 @@ def _sign(shingle: int):
                 found = shingle_set(words, hashes, shingle)
                 names.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 sizes.append(len(found))
-                keys.append(collection_keys(found).view(np.int64).tolist() if len(found) else None)
+                keys.append(collection_keys(found, collections, rows).view(np.int64).tolist() if len(found) else None)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "name": pa.array(names, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
     return run
@@ -93,9 +105,9 @@ def _sign(shingle: int):
 def _batch_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of a batch with the least id under each; and links (id, that least id) of the others."""
     ids = batch.column("doc_id").to_numpy()
-    rows = batch.column("keys").flatten().to_numpy().view(np.uint64).reshape(len(ids), COLLECTIONS)
-    keys = table_keys(rows).ravel()
-    owner = np.repeat(ids, len(_PAIRS))
+    keys = table_keys(batch.column("keys").flatten().to_numpy().view(np.uint64).reshape(len(ids), -1))
+    owner = np.repeat(ids, keys.shape[1])
+    keys = keys.ravel()
     order = np.lexsort((owner, keys))
     keys, owner = keys[order], owner[order]
     first = np.concatenate(([True], keys[1:] != keys[:-1]))
@@ -204,13 +216,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NU
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``, other columns ignored.
 
     Documents are linked if ``denominator * |A and B| >= numerator * |A or B|``; a component is named by its smallest id and
-    keeps that document.
+    keeps that document. A pair at the threshold is missed with probability ``MISS`` at most, one above it less often; a
+    threshold too low for that is refused.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = shuffle_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialize(docs.mapInArrow(_sign(shingle), "doc_id long, name binary, n_shingles long, keys array<long>"), "signatures")
+    signed = materialize(docs.mapInArrow(_sign(shingle, *layout(numerator / denominator)), "doc_id long, name binary, n_shingles long, keys array<long>"), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
     members = classes.select("doc_id", "keys")

@@ -64,6 +64,27 @@ def test_other_shingles_and_thresholds(spark):
     assert got(op.near_duplicates(docs, 5, 80, 100)) == brute(rows, 5, 80, 100)
 
 
+@pytest.mark.parametrize("threshold", [0.95, 0.85, 0.8, 0.7, 0.5])
+def test_layout_meets_pairs_at_the_threshold(threshold):
+    """Few enough pairs are missed by the formula, and as few meet no table when drawn."""
+    n, rows = op.layout(threshold)
+    agree = threshold**rows
+    assert (1 - agree) ** n + n * agree * (1 - agree) ** (n - 1) <= op.MISS
+    rng, missed = np.random.default_rng(3), 0
+    common, apart = round(100 * threshold), 100 - round(100 * threshold)
+    for _ in range(300):
+        both = rng.integers(0, 1 << 63, common).astype(np.uint64)
+        keys = [op.table_keys(op.collection_keys(np.concatenate([both, rng.integers(0, 1 << 63, k).astype(np.uint64)]), n, rows)[None]) for k in (apart // 2, apart - apart // 2)]
+        missed += not (keys[0] == keys[1]).any()
+    assert missed <= 1
+
+
+def test_layouts():
+    assert op.layout(0.85) == (16, 4)
+    with pytest.raises(ValueError):
+        op.layout(0.1)
+
+
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(op, "BLOCK", 8)
     rng = random.Random(4)
