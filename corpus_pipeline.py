@@ -6,11 +6,13 @@ judge what the stage before kept. Null and empty texts pass every stage; equal r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statutum.llm import decontamination, mixing, near_dedup, token_tables, toxicity
-from statutum.llm.common import materialize, table
+from statutum.llm.common import components, materialize, table
 from statutum.llm.queries import tokenizer_path
 
 
@@ -19,9 +21,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(docs.columns)
 
 
+#: Shingle, numerator and denominator of each measure of near copies: one finds scattered edits, the other single long ones.
+NEAR_COPIES = ((3, 85, 100), (5, 80, 100))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; of equal ids in it, all do."""
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    """Of each group of near copies the document with the smallest id stays; of equal ids in it, all do.
+
+    Documents are near copies if any measure of ``NEAR_COPIES`` links them; groups are connected by the links of all.
+    """
+    found = [near_dedup.near_duplicates(docs, *measure).where("doc_id is not null").select("doc_id", "component_id") for measure in NEAR_COPIES]
+    groups = components(reduce(DataFrame.unionByName, found).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    later = groups.where("node <> component").select(F.col("node").alias("doc_id"))
+    kept = found[0].select("doc_id").distinct().join(later, "doc_id", "left_anti")
     return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi")).select(docs.columns)
 
 

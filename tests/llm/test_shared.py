@@ -94,6 +94,26 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()) == sorted(written)
 
 
+def test_pipeline_drops_near_copies_of_either_measure(spark, tmp_path):
+    """A long addition is near by five words and 0.80 alone, scattered edits by three words and 0.85 alone; a chain of both is one group."""
+    import corpus_pipeline
+
+    from .test_near import shingles
+
+    words = [f"w{i}" for i in range(400)]
+    added = words + [f"n{i}" for i in range(95)]
+    scattered = [f"e{i}" if i % 40 == 20 else w for i, w in enumerate(words)]
+    chain = [f"e{i}" if i % 40 == 20 else w for i, w in enumerate(added)]
+    other = [f"o{i}" for i in range(300)]
+    texts = {i: " ".join(t) for i, t in enumerate((words, added, scattered, chain, other))}
+    like = lambda a, b, n: len(shingles(texts[a], n) & shingles(texts[b], n)) / len(shingles(texts[a], n) | shingles(texts[b], n))
+    assert like(0, 1, 5) >= 0.8 and like(0, 1, 3) < 0.85 and like(0, 2, 3) >= 0.85 and like(0, 2, 5) < 0.8
+    assert like(1, 3, 3) >= 0.85 and max(like(0, 3, 5), like(2, 3, 3)) < 0.85
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()] + [(4, texts[4], "en", "s", 0), (7, None, "en", "s", 0), (8, "", "en", "s", 0), (None, texts[0], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()), key=str) == [0, 4, 4, 7, 8, None]
+
+
 def test_pipeline_of_no_documents(spark, tmp_path):
     import corpus_pipeline
 
