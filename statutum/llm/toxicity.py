@@ -145,13 +145,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     # twice as many as wanted: labels may name documents that are not there
-    positive = known.where("toxic = 1").orderBy(spread, "doc_id").limit(2 * POSITIVES).select("doc_id", F.lit(1).alias("kind"))
-    other = docs.select("doc_id").where("doc_id is not null").where(remainder() != HELD_OUT).orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(UNLABELLED).select("doc_id", F.lit(0).alias("kind"))
-    chosen = docs.sparkSession.createDataFrame(positive.unionByName(other).dropDuplicates().collect(), "doc_id long, kind int")
+    positive = known.where("toxic = 1").orderBy(spread, "doc_id").limit(2 * POSITIVES).select("doc_id", F.lit(1).alias("kind"), spread.alias("place"))
+    other = docs.select("doc_id").where("doc_id is not null").where(remainder() != HELD_OUT).orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(UNLABELLED).select("doc_id", F.lit(0).alias("kind"), F.xxhash64(F.lit(13), "doc_id").alias("place"))
+    chosen = docs.sparkSession.createDataFrame(positive.unionByName(other).dropDuplicates().collect(), "doc_id long, kind int, place long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = sorted(((r.kind, r.doc_id, bytes(r.text)) for r in rows.collect()), key=lambda r: r)
-    positives = [t for k, _, t in rows if k == 1][:POSITIVES]
-    return fit(positives, [t for k, _, t in rows if k == 0], prior or 0.01)
+    rows = sorted((r.kind, r.place, r.doc_id, bytes(r.text)) for r in rows.collect())
+    positives = [t for k, _, _, t in rows if k == 1][:POSITIVES]
+    return fit(positives, [t for k, _, _, t in rows if k == 0], prior or 0.01)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

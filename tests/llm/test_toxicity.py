@@ -77,3 +77,14 @@ def test_query_on_held_out_labels(spark):
     out = op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     tp = sum(r.predicted and r.toxic for r in out)
     assert tp / max(1, sum(r.predicted for r in out)) >= 0.8 and tp / max(1, sum(r.toxic for r in out)) >= 0.9
+
+
+def test_positives_are_cut_in_order_of_the_hash(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op, "POSITIVES", 10)
+    monkeypatch.setattr(op, "fit", lambda positives, unlabelled, prior: seen.append(positives))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(80)], "doc_id long, text string").repartition(3)
+    labels = docs.selectExpr("doc_id", "1 as toxic")
+    op.train(docs, labels)
+    spread = docs.selectExpr("doc_id", "xxhash64(11, doc_id) as h").where(op.remainder() != op.HELD_OUT).orderBy("h").limit(10)
+    assert seen == [[f"text {r.doc_id}".encode() for r in spread.collect()]]
