@@ -43,7 +43,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree: source, language, hundreds of the id, id."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.floor(F.col("doc_id") / 100), "doc_id")
-    return licenses.scan(docs.select("doc_id", path.alias("path"), "text")).select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "line", "inherited_from")
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text")).select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "line", "last_line", "inherited_from")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
