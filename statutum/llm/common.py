@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -146,6 +146,28 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield current, pa.Table.from_batches(held)
 
 
+def numbered_runs(batches: Iterator[pa.RecordBatch], columns: list[str], key: Callable) -> Iterator[list[np.ndarray]]:
+    """Runs of rows with equal keys as arrays of the columns, for batches sorted by the key.
+
+    ``key`` takes the columns and returns arrays that a run has in common; a run may go over several batches and should be bounded.
+    """
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+        keys = key(*held)
+        edges = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+        start = 0
+        for end in edges.tolist():
+            yield [x[start:end] for x in held]
+            start = end
+        held = [x[start:] for x in held]
+    if held:
+        yield held
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index that each of n nodes reaches by the edges (a, b)."""
     root = np.arange(n)
