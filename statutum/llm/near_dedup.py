@@ -7,27 +7,33 @@ collections agree. ``layout`` takes as many collections as keep the chance to mi
 ``MISS``: at 0.85 those 16 of 4 (missed 1.4e-4; at 0.3 met with 8e-3), at 0.8 23 of 4.
 
 1. Rows with equal word sequences form a class; one member, the smallest id, goes on for it.
-2. Keys: members of a map batch that share a key are linked to the first of them there; only that first one travels to
-   the key's sorted run, where all are linked to the first of the run. Connected components of these links are families.
-   So a key sends one row for each batch, whatever the size of its group, and no pairs are made.
-3. Families are cut into blocks of about ``BLOCK`` members; every pair of blocks is a task unit that receives its
-   texts, computes all similarities on full sets as a product of incidence matrices and returns, for each member, the
-   least member that it reaches by links inside the unit.
-4. Connected components of those links are the result.
+2. Keys: a member sends its id and its sketch, two bits of each of 64 minhashes, to the sorted run of each of its keys. In a run only
+   those are linked whose sketches differ in no more places than all but ``SKETCH_MISS`` of the pairs at the threshold do, so
+   that chance meetings link nothing. Where ``CROWD`` members of a map batch share a key, they are linked to the first of them without
+   being asked, only that first one travels, and its run is linked as a whole, like any run of more than ``RUN`` members: a key of any
+   size sends few rows for each batch and makes no pairs. Connected components of these links are families: every pair
+   that meets in a table and is similar by its sketches is in one family.
+3. Families are cut into blocks of about ``BLOCK`` members. A block receives its texts and the text of the family's smallest id,
+   and links those of its members whose similarity on full sets, computed as a product of incidence matrices, reaches the threshold.
+4. In families of several blocks, members that these links connect with the smallest id need not be compared with each other. The
+   others are, with every member: each block of others meets each block of the family. So a group of copies of one text costs
+   two readings of its texts, whatever its size.
+5. Connected components of all verified links are the result.
 
 Null and empty texts, and texts without words, have an empty set, link with nothing and are kept. Null ids are not
-linked, equal (id, text) rows are one. An empty table gives no rows.
+linked, equal (id, text) rows are one. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, bounded_batches, components, groups, local_roots, materialize, mix, ngram_hashes, shuffle_partitions
@@ -35,6 +41,8 @@ from .common import WordHashes, bounded_batches, components, groups, local_roots
 SHINGLE, NUMERATOR, DENOMINATOR = 3, 85, 100
 #: Chance to miss a pair at the threshold; collections and minhashes in one, at most; members of a block.
 MISS, COLLECTIONS, ROWS, BLOCK = 1.5e-4, 24, 4, 256
+#: Minhashes in a sketch, at most; chance that a pair's sketches differ too much; members of a batch, and of a run, linked unasked.
+SKETCH, SKETCH_MISS, CROWD, RUN = 64, 1e-6, 32, 256
 #: Shingles whose columns are multiplied at once.
 COLUMNS = 4096
 
@@ -60,17 +68,37 @@ def shingle_set(words: list[bytes], hashes: WordHashes, n: int = SHINGLE) -> np.
     return np.unique(ngram_hashes(hashes.of(words), n))
 
 
+def sketch_limit(threshold: float, places: int) -> int:
+    """Places in which the sketches of a pair at the threshold differ at most, but for a chance of ``SKETCH_MISS``."""
+    p, upto = (1 - threshold) * 3 / 4, 0.0  # two bits of unequal minhashes agree in a quarter of cases
+    for k in range(places + 1):
+        upto += math.comb(places, k) * p**k * (1 - p) ** (places - k)
+        if 1 - upto <= SKETCH_MISS:
+            return k
+    return places
+
+
+def minhashes(shingles: np.ndarray, n: int) -> np.ndarray:
+    """n minhashes of a set that is not empty."""
+    salts, least = _SALTS[:n], None
+    for at in range(0, len(shingles), 1 << 10):
+        x = shingles[at : at + (1 << 10), None] * salts
+        x ^= x >> np.uint64(29)
+        part = x.min(axis=0)
+        least = part if least is None else np.minimum(least, part)
+    return least
+
+
 def collection_keys(shingles: np.ndarray, collections: int, rows: int) -> np.ndarray:
     """One 64-bit key for each collection of minhashes of a set that is not empty."""
-    salts = _SALTS[: collections * rows]
-    least = np.empty(len(salts), np.uint64)
-    for at in range(0, len(shingles), 1 << 15):
-        part = shingles[at : at + (1 << 15)]
-        for i, salt in enumerate(salts):
-            x = part * salt
-            value = (x ^ (x >> np.uint64(29))).min()
-            least[i] = value if at == 0 else min(least[i], value)
-    return ngram_hashes_rows(least.reshape(collections, rows))
+    return ngram_hashes_rows(minhashes(shingles, collections * rows).reshape(collections, rows))
+
+
+def sketch(least: np.ndarray) -> tuple[int, int]:
+    """Two bits of each of the first minhashes, as two numbers."""
+    mixed = mix(least[:SKETCH])
+    bits = np.left_shift(np.uint64(1), np.arange(len(mixed), dtype=np.uint64))
+    return tuple(int(((mixed >> np.uint64(k) & np.uint64(1)) * bits).sum(dtype=np.uint64).view(np.int64)) for k in (0, 1))
 
 
 def ngram_hashes_rows(rows: np.ndarray) -> np.ndarray:
@@ -90,63 +118,116 @@ def _sign(shingle: int, collections: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            names, sizes, keys = [], [], []
+            names, sizes, keys, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = text.lower().split() if text else []
                 found = shingle_set(words, hashes, shingle)
                 names.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 sizes.append(len(found))
-                keys.append(collection_keys(found, collections, rows).view(np.int64).tolist() if len(found) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "name": pa.array(names, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+                least = minhashes(found, collections * rows) if len(found) else None
+                keys.append(None if least is None else ngram_hashes_rows(least.reshape(collections, rows)).view(np.int64).tolist())
+                sketches.append((None, None) if least is None else sketch(least))
+            s0, s1 = zip(*sketches, strict=True) if sketches else ((), ())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "name": pa.array(names, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "s0": pa.array(s0, pa.int64()), "s1": pa.array(s1, pa.int64())})
 
     return run
 
 
-def _batch_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of a batch with the least id under each; and links (id, that least id) of the others."""
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.empty((0, 2), np.int64)
+    return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+
+def _by_key(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a batch's members in order, the member of each, and the bounds of runs of equal keys."""
+    n = batch.num_rows
+    keys = table_keys(batch.column("keys").flatten().to_numpy().view(np.uint64).reshape(n, -1))
     ids = batch.column("doc_id").to_numpy()
-    keys = table_keys(batch.column("keys").flatten().to_numpy().view(np.uint64).reshape(len(ids), -1))
-    owner = np.repeat(ids, keys.shape[1])
+    owner = np.repeat(np.argsort(np.argsort(ids, kind="stable"), kind="stable"), keys.shape[1])  # places in order of ids
     keys = keys.ravel()
     order = np.lexsort((owner, keys))
-    keys, owner = keys[order], owner[order]
-    first = np.concatenate(([True], keys[1:] != keys[:-1]))
-    head = owner[first][np.cumsum(first) - 1]
-    linked = head != owner
-    return keys[first], owner[first], owner[linked], head[linked]
+    keys, owner = keys[order], np.argsort(ids, kind="stable")[owner[order]]
+    return keys, owner, np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
 
 
 def _send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            keys, ids, _, _ = _batch_keys(batch)
-            yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "doc_id": ids})
+        if not batch.num_rows:
+            continue
+        keys, owner, first = _by_key(batch)
+        size = np.diff(np.append(first, len(keys)))
+        crowded = np.repeat(size >= CROWD, size)
+        sent = ~crowded
+        sent[first] = True
+        who = owner[sent]
+        columns = {c: batch.column(c).to_numpy()[who] for c in ("doc_id", "s0", "s1")}
+        yield pa.RecordBatch.from_pydict({"key": keys[sent].view(np.int64), "crowd": crowded[sent], **columns})
 
 
 def _batch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            _, _, a, b = _batch_keys(batch)
-            both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
-
-
-def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last_key, head = None, None
+    """Links to the first of a crowd in a batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, ids = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
-        first = np.concatenate(([keys[0] != last_key], keys[1:] != keys[:-1]))
-        heads = ids[first]
-        if not first[0]:
-            heads = np.concatenate(([head], heads))
-        at = np.cumsum(first) - (1 if first[0] else 0)
-        head_of = heads[at]
-        last_key, head = keys[-1], head_of[-1]
-        linked = head_of != ids
-        both = np.unique(np.stack([ids[linked], head_of[linked]], axis=1), axis=0)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+        keys, owner, first = _by_key(batch)
+        size = np.diff(np.append(first, len(keys)))
+        ids = batch.column("doc_id").to_numpy()[owner]
+        crowded = np.repeat(size >= CROWD, size)
+        yield _pairs([ids[crowded]], [np.repeat(ids[first], size)[crowded]])
+
+
+def _run_links(limit: int):
+    """Links in sorted runs: of those alike by sketch, or of all with the first where a run is crowded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None  # key, first member, and whether the run was linked as a whole, of a run longer than RUN
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "crowd", "doc_id", "s0", "s1")]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            keys = held[0]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            done = first[-1] if len(keys) - first[-1] <= RUN else len(keys)  # a long run is linked as it comes
+            a, b, carried = _links_of([x[:done] for x in held], first[first < done], carried, limit)
+            held = [x[done:] for x in held]
+            yield _pairs(a, b)
+        if held and len(held[0]):
+            keys = held[0]
+            a, b, _ = _links_of(held, np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), carried, limit)
+            yield _pairs(a, b)
+
+    return run
+
+
+def _links_of(rows: list[np.ndarray], first: np.ndarray, carried: tuple | None, limit: int) -> tuple[list[np.ndarray], list[np.ndarray], tuple | None]:
+    """Links of whole runs, the last of which may go on if it is longer than ``RUN``."""
+    keys, crowd, ids, s0, s1 = rows
+    if not len(keys):
+        return [], [], carried
+    s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+    size = np.diff(np.append(first, len(keys)))
+    head = np.repeat(first, size)
+    head_id = ids[head]
+    whole = np.logical_or.reduceat(crowd, first) | (size > RUN)
+    if carried is not None and keys[0] == carried[0]:
+        head_id[: size[0]] = carried[1]
+        whole[0] = True
+    apart = np.bitwise_count((s0 ^ s0[head]) | (s1 ^ s1[head]))
+    like = apart <= limit
+    to_head = np.repeat(whole, size) | like
+    a, b = [ids[to_head]], [head_id[to_head]]
+    for k in np.flatnonzero(~np.logical_and.reduceat(like, first) & ~whole & (size > 2)).tolist():
+        part = slice(first[k], first[k] + size[k])
+        i, j = np.nonzero(np.bitwise_count((s0[part, None] ^ s0[None, part]) | (s1[part, None] ^ s1[None, part])) <= limit)
+        i, j = i[i < j], j[i < j]
+        root = local_roots(size[k], i, j)
+        a.append(ids[part])
+        b.append(ids[part][root])
+    moved = [x != y for x, y in zip(a, b, strict=True)]
+    last = (keys[-1], head_id[-1]) if whole[-1] else None
+    return [x[m] for x, m in zip(a, moved, strict=True)], [y[m] for y, m in zip(b, moved, strict=True)], last
 
 
 def linked_pairs(sets: list[np.ndarray], split: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> tuple[np.ndarray, np.ndarray]:
@@ -180,28 +261,27 @@ def linked_pairs(sets: list[np.ndarray], split: int, numerator: int = NUMERATOR,
 
 
 def _verify(shingle: int, numerator: int, denominator: int):
+    """Verified links of units ``family, low, high``: between its two sides, or among all where it has one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         held_a: list[int] = []
         held_b: list[int] = []
-        for (_, low, high), rows in groups(batches, ["family", "low", "high"]):
-            ids = rows.column("doc_id").to_numpy()
-            if len(ids) < 2:
+        for _, rows in groups(batches, ["family", "low", "high"]):
+            ids, side = rows.column("doc_id").to_numpy(), rows.column("side").to_numpy()
+            split = int((side == 0).sum()) if side.any() else 0
+            if len(ids) < 2 or side.any() and not split:
                 continue
-            side = rows.column("block").to_numpy()
             order = np.lexsort((ids, side))
             texts = rows.column("text")
             sets = [shingle_set(texts[int(i)].as_py().lower().split(), hashes, shingle) for i in order]
             ids = ids[order]
-            split = int((side == low).sum()) if low != high else 0
-            if low != high and split in (0, len(ids)):
-                continue
             a, b = linked_pairs(sets, split, numerator, denominator)
             by_id = np.argsort(ids, kind="stable")
             place = np.empty(len(ids), np.int64)
             place[by_id] = np.arange(len(ids))
             root = local_roots(len(ids), place[a], place[b])
-            moved = np.flatnonzero(root != np.arange(len(ids)))
+            moved = np.flatnonzero(ids[by_id] != ids[by_id][root])
             held_a += ids[by_id][moved].tolist()
             held_b += ids[by_id][root[moved]].tolist()
             if len(held_a) > 10_000:
@@ -212,35 +292,57 @@ def _verify(shingle: int, numerator: int, denominator: int):
     return run
 
 
+def _up_to(n: Column) -> Column:
+    """Rows for 0 to n - 1."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``, other columns ignored.
 
     Documents are linked if ``denominator * |A and B| >= numerator * |A or B|``; a component is named by its smallest id and
-    keeps that document. A pair at the threshold is missed with probability ``MISS`` at most, one above it less often; a
+    keeps that document. A pair at the threshold is missed with probability ``MISS + SKETCH_MISS`` at most, one above it less often; a
     threshold too low for that is refused.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = shuffle_partitions(spark)
+    threshold = numerator / denominator
+    collections, rows = layout(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialize(docs.mapInArrow(_sign(shingle, *layout(numerator / denominator)), "doc_id long, name binary, n_shingles long, keys array<long>"), "signatures")
+    signed = materialize(docs.mapInArrow(_sign(shingle, collections, rows), "doc_id long, name binary, n_shingles long, keys array<long>, s0 long, s1 long"), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "classes")
-    members = classes.select("doc_id", "keys")
-    runs = members.mapInArrow(_send_keys, "key long, doc_id long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
-    links = members.mapInArrow(_batch_links, "a long, b long").unionByName(runs.mapInArrow(_run_links, "a long, b long"))
+    classes = some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("keys", "s0", "s1")).alias("f"))
+    classes = materialize(classes.select("name", "doc_id", "f.keys", "f.s0", "f.s1"), "classes")
+    members = classes.select("doc_id", "keys", "s0", "s1")
+    runs = members.mapInArrow(_send_keys, "key long, crowd boolean, doc_id long, s0 long, s1 long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    limit = sketch_limit(threshold, min(SKETCH, collections * rows))
+    links = members.mapInArrow(_batch_links, "a long, b long").unionByName(runs.mapInArrow(_run_links(limit), "a long, b long"))
     family = components(links)
-    sizes = family.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    placed = family.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)))
-    placed = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    # Merged at every size: a plan that changes with the size would hide what the join of texts costs.
-    texts = docs.join(placed.hint("merge"), "doc_id")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    units = texts.select("doc_id", "text", "family", "block", other.alias("other"))
-    units = units.select("doc_id", "text", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    units = units.repartition(parts, "family", "low", "high").sortWithinPartitions("family", "low", "high")
-    verified = components(units.mapInArrow(_verify(shingle, numerator, denominator), "a long, b long"))
-    named = classes.select("name", F.col("doc_id").alias("head")).join(verified.select(F.col("node").alias("head"), "component"), "head", "left")
+    sizes = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    placed = family.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    placed = materialize(placed, "families")
+    first = F.when(F.col("doc_id") == F.col("family"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+    kind = "a long, b long"
+
+    def verified(units: DataFrame) -> DataFrame:
+        units = units.repartition(parts, "family", "low", "high").sortWithinPartitions("family", "low", "high")
+        return materialize(units.mapInArrow(_verify(shingle, numerator, denominator), kind), "verified")
+
+    units = docs.join(placed, "doc_id").select("doc_id", "text", "family", F.explode(first).alias("low"))
+    inside = verified(units.select("doc_id", "text", "family", "low", F.lit(0).cast("long").alias("high"), F.lit(0).alias("side")))
+    closed = components(inside)
+    if not placed.where("blocks > 1").isEmpty():  # large families still have to compare those not connected with the smallest id, with all
+        large = placed.where("blocks > 1").join(closed.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+        large = large.withColumn("open", F.coalesce("component", "doc_id") != F.col("family"))
+        left = large.groupBy("family").agg(F.ceil(F.count_if("open") / F.lit(BLOCK)).alias("others")).where("others > 0")
+        other = F.when(F.col("open"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("others")))
+        large = materialize(large.join(left, "family").select("doc_id", "family", "blocks", "block", "others", other.alias("other")), "open")
+        texts = docs.join(large, "doc_id")
+        mine = texts.where("other is not null").select("doc_id", "text", "family", F.col("other").alias("low"), _up_to(F.col("blocks")).alias("high"), F.lit(0).alias("side"))
+        theirs = texts.select("doc_id", "text", "family", _up_to(F.col("others")).alias("low"), F.col("block").alias("high"), F.lit(1).alias("side"))
+        closed = components(inside.unionByName(verified(mine.unionByName(theirs))))
+    named = classes.select("name", F.col("doc_id").alias("head")).join(closed.select(F.col("node").alias("head"), "component"), "head", "left")
     named = named.select("name", F.coalesce("component", "head").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "name").join(named, "name", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))

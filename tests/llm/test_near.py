@@ -93,6 +93,36 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert got(op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_crowds_and_long_runs_are_linked_as_a_whole(spark, monkeypatch):
+    """Small bounds, so that batches have crowds, runs are long and go over batches, and large families have members unlike their first."""
+    for name, value in (("CROWD", 3), ("RUN", 4), ("BLOCK", 8)):
+        monkeypatch.setattr(op, name, value)
+    rng = random.Random(9)
+    text = prose(rng, 150)
+    rows = [(i, edited(rng, text, i % 30)) for i in range(200)] + [(1000 + i, prose(rng, 120) + " " + text) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert got(op.near_duplicates(docs)) == brute(rows)
+
+
+def test_runs_link_by_sketch_and_over_batches():
+    import pyarrow as pa
+
+    rows = [(1, False, 10, 0, 0), (2, False, 11, 0, 0), (2, False, 12, -1, -1), (2, False, 13, -1, -2), (3, True, 14, 0, 0), (3, False, 15, -1, 0)] + [(4, False, 20 + i, -i, i << 40) for i in range(op.RUN + 50)] + [(5, False, 9000, 0, 0), (5, False, 9001, 1, 2)]
+    for cut in ([len(rows)], [2, 3, 5, 40, 200, 300, len(rows)]):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a:b], strict=True)], ["key", "crowd", "doc_id", "s0", "s1"]) for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+        links = {(a, b) for out in op._run_links(5)(iter(batches)) for a, b in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)}
+        assert links == {(13, 12), (15, 14), (9001, 9000)} | {(20 + i, 20) for i in range(1, op.RUN + 50)}
+
+
+def test_sketches_keep_pairs_at_the_threshold():
+    rng, limit, missed = np.random.default_rng(5), op.sketch_limit(0.85, op.SKETCH), 0
+    for _ in range(1000):
+        both = rng.integers(0, 1 << 63, 170).astype(np.uint64)
+        a, b = (op.sketch(op.minhashes(np.concatenate([both, rng.integers(0, 1 << 63, 15).astype(np.uint64)]), 64)) for _ in range(2))
+        missed += ((a[0] ^ b[0]) | (a[1] ^ b[1])) % (1 << 64) > 0 and bin(((a[0] ^ b[0]) | (a[1] ^ b[1])) % (1 << 64)).count("1") > limit
+    assert missed == 0 and limit < 26
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "x y z")]
     out = [tuple(r) for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
