@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Arrow batches sent to Python hold at most so many rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
@@ -58,6 +59,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_rows(df: DataFrame, run: Callable, added: list[StructField], *needed: str) -> DataFrame:
+    """``mapInArrow`` with columns added to all that there are; those that are not needed go by numbers meanwhile, as odd names cannot pass."""
+    plain = df.toDF(*(c if c in needed else f"c{i}_" for i, c in enumerate(df.columns)))
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, *added])).toDF(*df.columns, *(f.name for f in added))
+
+
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in one struct ``rest``, so that no name of theirs can clash."""
+    others = [quoted(c) for c in df.columns if c not in needed]
+    return df.select(*map(quoted, needed), *([F.struct(*others).alias("rest")] if others else []))
+
+
+def unpacked(df: DataFrame, columns: list[str], *needed: str) -> DataFrame:
+    """The columns of the table that ``packed`` was given, in their order."""
+    return df.select(*(F.col(quoted(c) if c in needed else f"rest.{quoted(c)}").alias(c) for c in columns))
+
+
 def row_name(id_col: str = "doc_id", text_col: str = "text"):
     """16 bytes that name a row by its id and text: repeated ids with different texts stay apart, equal rows share it."""
     halves = [F.lpad(F.hex(F.xxhash64(F.lit(k), F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col(text_col))), 16, "0") for k in (0, 1)]

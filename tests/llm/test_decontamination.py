@@ -58,12 +58,26 @@ def test_overlapping_windows_and_ends(spark):
     assert got == {i: (h, n) for i, _, h, n, _ in brute(docs, [(1, "a b a"), (2, "b a b a b")])}
 
 
-def test_empty_tables_and_too_large_sets(spark, monkeypatch):
+def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a")], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert op.contamination(docs, items.limit(0)).first().contamination.n_hit == 0 and op.contamination(docs.limit(0), items).count() == 0
-    monkeypatch.setattr(op, "MOST_BYTES", 10)
-    with pytest.raises(ValueError, match="in parts"):
-        op.contamination(docs, items)
+
+
+@pytest.mark.parametrize("most", [1, 3, 8])
+def test_large_sets_are_taken_in_parts(spark, monkeypatch, most):
+    """Several automata, words hit by any of them counted once, columns of any name kept."""
+    monkeypatch.setattr(op, "MOST_WINDOWS", most)
+    rng = random.Random(7)
+    items = [*ITEMS, *((20 + i, prose(rng, rng.randint(1, 18))) for i in range(8))]
+    docs = [(i, " ".join([prose(rng, 15), items[8 + i % 8][1], prose(rng, 3), items[8 + (i + 3) % 8][1]])) for i in range(20)] + [(90, None), (91, ""), (92, "Krótkie pytanie two words samo")]
+    frame = spark.createDataFrame([(i, t, 1, 2.0) for i, t in docs], "doc_id long, text string, contamination int, `odd``name, x` double")
+    out = op.contamination(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert out.columns == ["doc_id", "text", "odd`name, x", "contamination"]
+    rows = [(r.doc_id, r.contamination) for r in out.collect()]
+    assert sorted(((i, c.n_words, c.n_hit, list(c["items"]), c.contaminated) for i, c in rows), key=str) == brute(docs, items)
+    monkeypatch.setattr(op, "MOST_WINDOWS", 10_000)
+    whole = op.contamination(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, out.collect()))
 
 
 def test_query(spark, sf_dir):
