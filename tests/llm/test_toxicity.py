@@ -68,7 +68,9 @@ def test_the_risk_stays_above_zero():
     rng = random.Random(5)
     positives = [f"badword {prose(rng, 10)}".encode() for _ in range(30)]
     unlabelled = [prose(rng, 10).encode() for _ in range(70)] + [f"badword {prose(rng, 10)}".encode() for _ in range(10)]
-    score = op.fit(positives, unlabelled, 0.125).scorer()
+    names = sorted(set().union(*map(op.feature_set, positives + unlabelled)))
+    numbers = lambda texts: [np.array([i for i, name in enumerate(names) if name in op.feature_set(t)]) for t in texts]
+    score = op.fit(numbers(positives), numbers(unlabelled), names, 0.125).scorer()
     assert score([b"badword ba"])[0] > 0.5 > score([WORDS[0].encode()])[0]
 
 
@@ -80,11 +82,35 @@ def test_query_on_held_out_labels(spark):
 
 
 def test_positives_are_cut_in_order_of_the_hash(spark, monkeypatch):
-    seen = []
     monkeypatch.setattr(op, "POSITIVES", 10)
-    monkeypatch.setattr(op, "fit", lambda positives, unlabelled, prior: seen.append(positives))
-    docs = spark.createDataFrame([(i, f"text {i}") for i in range(80)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(op, "UNLABELLED", 20)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(80)] + [(7, "text 6")], "doc_id long, text string").repartition(3)
     labels = docs.selectExpr("doc_id", "1 as toxic")
-    op.train(docs, labels)
-    spread = docs.selectExpr("doc_id", "xxhash64(11, doc_id) as h").where(op.remainder() != op.HELD_OUT).orderBy("h").limit(10)
-    assert seen == [[f"text {r.doc_id}".encode() for r in spread.collect()]]
+    rows, prior = op.sample(docs, labels)
+    for kind, seed, most in ((1, 11, 10), (0, 13, 20)):
+        spread = docs.select("doc_id").distinct().selectExpr("doc_id", f"xxhash64({seed}, doc_id) as h").where(op.remainder() != op.HELD_OUT).orderBy("h").limit(most)
+        want = {(r.doc_id, f"text {6 if r.doc_id == 7 else r.doc_id}".encode()) for r in spread.collect()}
+        assert {(r.doc_id, bytes(r.text)) for r in rows.where(f"kind = {kind}").collect()} == want
+    assert prior == 1
+
+
+def test_features_are_counted_and_sent_by_executors(spark):
+    """The features chosen, and those of each document, equal those of a count in one place; few or many, they arrive."""
+    rng = random.Random(6)
+    docs, labels = made(rng, 400)
+    frame, known = frames(spark, docs, labels)
+    rows, _ = op.sample(frame, known)
+    local = [(r.kind, bytes(r.text)) for r in rows.collect()]
+    n, m = sum(k for k, _ in local), sum(1 - k for k, _ in local)
+    names = op.telling_features(rows, n, m)
+    found = []
+    for name in set().union(*(op.feature_set(t) for _, t in local)):
+        a, b = sum(k == 1 and name in op.feature_set(t) for k, t in local), sum(k == 0 and name in op.feature_set(t) for k, t in local)
+        share = (a + b) / (n + m)
+        z = (a / n - b / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m) + 1e-12)
+        if a >= op.LEAST and z > op.SIGNIFICANCE:
+            found.append((-z, name))
+    assert names == [name for _, name in sorted(found)] and b"wbadword" in names
+    every = sorted(set().union(*(op.feature_set(t) for _, t in local)))
+    got = {(r.kind, r.doc_id): [every[i] for i in op._numbers(bytes(r.features))] for r in rows.mapInArrow(op._present(every), "kind int, place long, doc_id long, features binary").collect()}
+    assert got == {(r.kind, r.doc_id): sorted(op.feature_set(bytes(r.text))) for r in rows.collect()}
