@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: toxic texts go, near copies go, benchmark passages go, sources are mixed, token ids are written.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. Stages
-judge what the stage before kept. Null and empty texts pass every stage; equal rows are treated alike.
+judge what the stage before kept. Null and empty texts pass every stage; equal rows are treated alike. Columns that stages do not
+read are carried in a struct, so their names may be any, those of the operators' results included, and their values stay.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statutum.llm import decontamination, mixing, near_dedup, token_tables, toxicity
-from statutum.llm.common import components, materialize, table
+from statutum.llm.common import components, materialize, packed, table, unpacked
 from statutum.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(docs.columns)
+    kept = toxicity.toxicity(packed(docs, "doc_id", "text"), table(spark, sf_dir, "labels")).where("predicted = 0")
+    return unpacked(kept, docs.columns, "doc_id", "text")
 
 
 #: Shingle, numerator and denominator of each measure of near copies: one finds scattered edits, the other single long ones.
@@ -34,21 +36,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = components(reduce(DataFrame.unionByName, found).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
     later = groups.where("node <> component").select(F.col("node").alias("doc_id"))
     kept = found[0].select("doc_id").distinct().join(later, "doc_id", "left_anti")
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi")).select(docs.columns)
+    rows = packed(docs, "doc_id")
+    return unpacked(rows.where("doc_id is null").unionByName(rows.join(kept, "doc_id", "left_semi")), docs.columns, "doc_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words or more are benchmark passages go."""
-    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("not contamination.contaminated").select(docs.columns)
+    kept = decontamination.contamination(packed(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark")).where("not contamination.contaminated")
+    return unpacked(kept, docs.columns, "doc_id", "text")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes; documents taken no time go. Equal rows get the same copies."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id", "source", "text_hash").agg(F.max("copies").alias("copies"))
+    rows = packed(docs, "doc_id", "text", "source")
+    taken = mixing.mix(rows).where("copies > 0").groupBy("doc_id", "source", "text_hash").agg(F.max("copies").alias("copies"))
     taken = materialize(taken, "copies").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("text_hash").alias("h"), "copies")
-    keyed = docs.withColumn("h_", F.xxhash64("text"))
+    keyed = rows.withColumn("h_", F.xxhash64("text"))
     joined = keyed.join(taken, keyed["doc_id"].eqNullSafe(F.col("i")) & keyed["source"].eqNullSafe(F.col("s")) & (keyed["h_"] == F.col("h")))
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    return unpacked(joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns, "doc_id", "text", "source")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,6 +114,26 @@ def test_pipeline_drops_near_copies_of_either_measure(spark, tmp_path):
     assert sorted((r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()), key=str) == [0, 4, 4, 7, 8, None]
 
 
+def test_pipeline_carries_columns_of_any_name(spark, tmp_path):
+    """Columns named like those of the operators, or with odd characters, keep their values through every stage."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    small(spark, tmp_path)
+    names = ["score", "predicted", "held_out", "contamination", "copies", "copy_", "taken", "target", "size", "text_hash", "h", "h_", "i", "s", "spans", "rest", "component_id", "kept", "odd`name.x, y"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = docs.withColumns({n: F.concat(F.lit(f"{n}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        columns = docs.columns
+        docs, plain = stage(spark, docs, str(tmp_path)), stage(spark, plain, str(tmp_path))
+        assert sorted(r.doc_id for r in docs.collect()) == sorted(r.doc_id for r in plain.collect()), name
+        if k < len(corpus_pipeline.STAGES) - 1:
+            docs, plain = common.materialize(docs, name), common.materialize(plain, name)
+            assert docs.columns == columns
+            assert all(r[n] == f"{n}:{r.doc_id}" for r in docs.collect() for n in names), name
+
+
 def test_pipeline_of_no_documents(spark, tmp_path):
     import corpus_pipeline
 
