@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,26 +25,34 @@ niż no nowe np nr o od ok on one oraz pan po pod ponad ponieważ poza przed prz
 sposób swoje są ta tak takich takie także tam te tego tej temu ten teraz też to trzeba tu tych tylko tym tys tzw tę w we wie
 więc wszystko wśród właśnie z za zaś ze że żeby ii iii iv vi vii viii ix xi xii xiii xiv xv
 """.split()
-#: Endings of Polish inflection that the stemmer takes off, the longest that leaves three letters.
+#: Endings of Polish inflection that the stemmer takes off, the longest that leaves ``LEFT`` letters.
 ENDINGS = "iami iach iego iemu ami ach ego emu iom ich ych imi ymi owi iej iej ów om ej im ym ią ię ie ii ia iu a ą e ę i o u y".split()
-STEM = rf"\A(.{{3,}}?)(?:{'|'.join(dict.fromkeys(ENDINGS))})\z"
+LEFT = 3
 #: Least similarity of a candidate, of one for review, and of one that is taken at once.
 SIMILAR, REVIEW, TAKEN = 0.3, 0.35, 0.60
 
 
-def normalise_title(title: Column) -> Column:
-    """Lower case, Polish letters without marks, other runs than letters and digits as one space, no space at the ends."""
-    plain = F.translate(F.lower(title), "ąćęłńóśźż", "acelnoszz")
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+def _letters_without_marks() -> tuple[str, str]:
+    """Characters that decompose into one letter and marks, and those letters; and the one Polish letter that does not decompose.
+
+    Hangul syllables, which decompose into several letters, stay as they are.
+    """
+    found = {"ł": "l"}
+    for code in range(0x80, 0x10000):
+        if not 0xAC00 <= code < 0xE000:
+            plain = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")
+            if len(plain) == 1 and plain != chr(code):
+                found[chr(code)] = plain
+    return "".join(found), "".join(found.values())
 
 
-def _marks_off(title: pd.Series) -> pd.Series:
-    return title.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t.lower()) if unicodedata.category(c) != "Mn"))
+MARKED, PLAIN = _letters_without_marks()
 
 
-def without_marks(title: Column) -> Column:
-    """Titles whose letters lose every combining mark, not only the Polish ones; for titles in other languages."""
-    return F.pandas_udf(_marks_off, "string")(title)
+def normalise_title(title: Column) -> Column:
+    """Lower case, letters without any marks, other runs than letters and digits as one space, no space at the ends."""
+    plain = F.regexp_replace(F.translate(F.lower(title), MARKED, PLAIN), r"\p{Mn}+", "")
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
 
 
 def words(text: Column) -> Column:
@@ -77,8 +84,14 @@ def stem(word: Column) -> Column:
 
     The table-driven stemmer that a search server would use is not available here; this one takes off the longest ending.
     """
-    forms = [F.lit(x) for root, many in LEGAL_FORMS.items() for w in many.split() for x in (w, root)]
-    return F.coalesce(F.try_element_at(F.create_map(*forms), word), F.regexp_replace(word, STEM, "$1"))
+    out, size = None, F.length(word)
+    for root, forms in LEGAL_FORMS.items():
+        fixed = word.isin(*dict.fromkeys([*forms.split(), root]))
+        out = F.when(fixed, root) if out is None else out.when(fixed, root)
+    for n in sorted({len(e) for e in ENDINGS}, reverse=True):
+        ends = (size >= n + LEFT) & F.right(word, F.lit(n)).isin(*dict.fromkeys(e for e in ENDINGS if len(e) == n))
+        out = out.when(ends, F.left(word, size - n))
+    return out.otherwise(word)
 
 
 def stems(text: Column) -> Column:
