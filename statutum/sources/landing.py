@@ -1,107 +1,44 @@
-"""A Spark data source over a folder of landed payload files, for batch and streams.
+"""Landed payload files, read by Spark's own file source, in batches and as a stream.
 
-``spark.read.format("landed").load(folder)`` gives ``source, external_id, payload, landed_at``. Files are named by the address of
-what they hold, percent-encoded, under a folder for each source. Batch reads are one partition for every ``files_per_task`` files;
-a stream's offset is the newest landing time it has read, a cursor that moves only when a batch is committed.
+Files lie under a folder for each source and are named by the address of what they hold, percent-encoded; a payload that lands again gets
+a new name, ``address@anything.json``. A stream keeps a log of the files it has read in its checkpoint and takes every other file,
+whatever its time: files of the same second, files copied with older times and files renamed into place late are all read once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-import pyarrow as pa
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+#: How much older than the newest file seen a file may be for a stream to take it.
+OLDEST = "36500d"
+_OPTIONS = {"recursiveFileLookup": "true", "pathGlobFilter": "[!._]*"}
 
-SCHEMA = "source string, external_id string, payload binary, landed_at timestamp"
-FILES_PER_TASK = 64
 
+def address_of(path: Column) -> Column:
+    """The address that a file's name encodes, without version and ending."""
+    name = F.regexp_replace(F.substring_index(path, "/", -1), r"(?:@[^@.]*)?(?:\.[A-Za-z0-9]+)?$", "")
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
-def _filesystem(uri: str):
-    from pyarrow import fs
 
-    if urlparse(uri).scheme in ("", "file"):
-        return fs.LocalFileSystem(), urlparse(uri).path
-    return fs.FileSystem.from_uri(uri)
+def landed(files: DataFrame, folder: str) -> DataFrame:
+    """``source, external_id, payload, landed_at`` of files as Spark's binary source gives them."""
+    root = folder.rstrip("/").rpartition("://")[2]
+    below = F.regexp_extract("path", f"{_quoted(root)}/([^/]+)/", 1)
+    return files.select(F.url_decode(F.replace(below, F.lit("+"), F.lit("%2B"))).alias("source"), address_of(F.col("path")).alias("external_id"), F.col("content").alias("payload"), F.col("modificationTime").alias("landed_at"))
 
 
-@dataclass
-class Files(InputPartition):
-    files: tuple[tuple[str, int], ...]
+def _quoted(text: str) -> str:
+    return "".join(c if c.isalnum() or c == "/" else f"\\{c}" for c in text)
 
 
-def _listed(folder: str) -> list[tuple[str, int]]:
-    """Files below a folder with their times in microseconds, in order of time, then name."""
-    from pyarrow import fs
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """All landed files of a folder."""
+    return landed(spark.read.format("binaryFile").options(**_OPTIONS).load(folder), folder)
 
-    system, path = _filesystem(folder)
-    found = system.get_file_info(fs.FileSelector(path, recursive=True))
-    return sorted(((f.path, f.mtime_ns // 1000) for f in found if f.is_file and not f.base_name.startswith((".", "_"))), key=lambda f: (f[1], f[0]))
 
-
-def _split(files: list[tuple[str, int]], size: int) -> list[Files]:
-    return [Files(tuple(files[i : i + size])) for i in range(0, len(files), size)]
-
-
-def _batches(folder: str, part: Files) -> Iterator[pa.RecordBatch]:
-    system, root = _filesystem(folder)
-    for path, micros in part.files:
-        source, _, name = path[len(root) :].strip("/").partition("/")
-        with system.open_input_stream(path) as stream:
-            payload = stream.read()
-        yield pa.RecordBatch.from_pydict({"source": [source], "external_id": [unquote(name.rpartition(".")[0] or name)], "payload": pa.array([payload], pa.binary()), "landed_at": pa.array([micros], pa.timestamp("us", tz="UTC"))})
-
-
-class _Batch(DataSourceReader):
-    def __init__(self, folder: str, size: int):
-        self.folder, self.size = folder, size
-
-    def partitions(self):
-        return _split(_listed(self.folder), self.size) or [Files(())]
-
-    def read(self, partition):
-        return _batches(self.folder, partition)
-
-
-class _Stream(DataSourceStreamReader):
-    def __init__(self, folder: str, size: int):
-        self.folder, self.size = folder, size
-
-    def initialOffset(self):
-        return {"landed": 0}
-
-    def latestOffset(self):
-        return {"landed": max((t for _, t in _listed(self.folder)), default=0)}
-
-    def partitions(self, start, end):
-        return _split([f for f in _listed(self.folder) if start["landed"] < f[1] <= end["landed"]], self.size) or [Files(())]
-
-    def read(self, partition):
-        return _batches(self.folder, partition)
-
-    def commit(self, end):
-        pass
-
-
-class LandedSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "landed"
-
-    def schema(self):
-        return SCHEMA
-
-    def _args(self):
-        return self.options["path"], int(self.options.get("files_per_task", FILES_PER_TASK))
-
-    def reader(self, schema):
-        return _Batch(*self._args())
-
-    def streamReader(self, schema):
-        return _Stream(*self._args())
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(LandedSource)
+def stream(spark: SparkSession, folder: str, files: int | None = None) -> DataFrame:
+    """A stream of landed files, ``files`` of them at a time."""
+    reader = spark.readStream.format("binaryFile").schema(SCHEMA).options(**_OPTIONS).option("maxFileAge", OLDEST)
+    return landed((reader.option("maxFilesPerTrigger", files) if files else reader).load(folder), folder)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.dates import digest_boundary
 from ..operators.alerts import COOLDOWN_S
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,13 +59,21 @@ def once_stream(events: DataFrame) -> DataFrame:
     return events.dropDuplicates(["owner_id", "event_key"])
 
 
-def local_windows(notifications: DataFrame, width: str = "1 hour", late: str = "15 minutes") -> DataFrame:
+#: Hours of a window by mode.
+HOURS = {"hourly": 1, "daily": 24, "weekly": 7 * 24}
+
+
+def local_windows(notifications: DataFrame, mode: str = "hourly", late_minutes: int = 15) -> DataFrame:
     """Waiting notifications by window of the owner's own clock: ``owner_id, zone, window_start, n``, times in UTC.
 
-    ``window`` knows one zone only, so times are shifted to the owner's clock, put into windows and shifted back. A window is
-    given out once the watermark has passed it in every zone; later arrivals are left to the batch run.
+    ``window`` knows one zone only, so each row gets the end of its window by its owner's clock (and, for daily and weekly ones, ``at_hour``
+    and ``on_weekday``), which is the time that the watermark follows: behind the newest end by the window and ``late_minutes``, so
+    behind the newest row by ``late_minutes`` at most. A window is given out, once and whole, when the watermark has passed its
+    end; later arrivals are left to the batch run. Owners of one mode make one stream.
     """
-    timed = notifications.withWatermark("created_at", late)
-    local = F.from_utc_timestamp("created_at", F.col("zone"))
-    grouped = timed.groupBy("owner_id", "zone", F.window("created_at", width).alias("w"), F.date_trunc("hour", local).alias("local_hour"))
-    return grouped.agg(F.count(F.lit(1)).alias("n")).select("owner_id", "zone", F.to_utc_timestamp("local_hour", F.col("zone")).alias("window_start"), "n")
+    zone, width = F.col("zone"), F.make_dt_interval(hours=F.lit(HOURS[mode]))
+    at_hour, on_weekday = (F.col(c) if c in notifications.columns else F.lit(None).cast("int") for c in ("at_hour", "on_weekday"))
+    start = digest_boundary(F.lit(mode), zone, at_hour, on_weekday, F.col("created_at"))
+    ends = F.to_utc_timestamp(F.from_utc_timestamp(start, zone) + width, zone)  # by the clock: a day may have 23 or 25 hours
+    timed = notifications.withColumn("window_start", start).withColumn("ends", ends).withWatermark("ends", f"{HOURS[mode] * 60 + 60 + late_minutes} minutes")
+    return timed.groupBy("owner_id", "zone", "window_start", "ends").agg(F.count(F.lit(1)).alias("n")).select("owner_id", "zone", "window_start", "n")

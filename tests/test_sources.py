@@ -1,6 +1,7 @@
 """Readers: registers as JSON and HTML, walks, the landed-files source."""
 
 import json
+import os
 from datetime import date, datetime
 from urllib.parse import quote
 
@@ -9,12 +10,12 @@ from pyspark.sql import functions as F
 from statutum.sources import gazette, government, landing, parliament
 
 PROCESS = {
-    "number": "31", "term": 10, "title": "Obywatelski projekt ustawy", "documentTypeEnum": "BILL", "processStartDate": "2023-11-13", "closureDate": "2023-11-29", "passed": True, "ELI": "DU/2023/2730",
+    "number": "8842", "term": 10, "title": "Obywatelski projekt ustawy o latarniach", "documentTypeEnum": "BILL", "processStartDate": "2031-03-03", "closureDate": "2031-03-19", "passed": True, "ELI": "DU/2031/77",
     "stages": [
-        {"date": "2023-11-13", "stageName": "Projekt wpłynął do Sejmu", "stageType": "Start", "children": [{"stageName": "x"}]},
-        {"date": "2023-11-20", "stageName": "I czytanie na posiedzeniu Sejmu", "stageType": "SejmReading"},
-        {"date": "2023-11-22", "stageName": "III czytanie na posiedzeniu Sejmu", "stageType": "SejmReading"},
-        {"date": "2023-11-24", "stageName": "Coś", "stageType": "Other"},
+        {"date": "2031-03-03", "stageName": "Projekt wpłynął do Sejmu", "stageType": "Start", "children": [{"stageName": "x"}]},
+        {"date": "2031-03-10", "stageName": "I czytanie na posiedzeniu Sejmu", "stageType": "SejmReading"},
+        {"date": "2031-03-12", "stageName": "III czytanie na posiedzeniu Sejmu", "stageType": "SejmReading"},
+        {"date": "2031-03-14", "stageName": "Coś", "stageType": "Other"},
         {"stageName": "Uchwalono", "stageType": "End"},
     ],
 }
@@ -25,9 +26,9 @@ def documents(spark, *rows):
 
 
 def test_processes(spark):
-    rows = documents(spark, ("term10/process/31", PROCESS), ("x", PROCESS | {"documentTypeEnum": "CANDIDATE"}), ("y", "no json"), ("z", None))
+    rows = documents(spark, ("term10/process/8842", PROCESS), ("x", PROCESS | {"documentTypeEnum": "CANDIDATE"}), ("y", "no json"), ("z", None))
     (p,) = parliament.processes(rows).collect()
-    assert (p.address, p.initiator, p.outcome, p.closed_on, p.eli) == ("term10/print/31", "obywatelski", "uchwalony", date(2023, 11, 29), "DU/2023/2730")
+    assert (p.address, p.initiator, p.outcome, p.closed_on, p.eli) == ("term10/print/8842", "obywatelski", "uchwalony", date(2031, 3, 19), "DU/2031/77")
     assert [(s.ordinal, s.stage) for s in p.stages] == [(0, "wplynal_do_sejmu"), (1, "i_czytanie"), (2, "iii_czytanie"), (3, None), (4, None)]
     open_ = parliament.processes(documents(spark, ("a", PROCESS | {"closureDate": None, "ELI": None}))).first()
     assert (open_.outcome, open_.closed_on, open_.eli) == (None, None, None)
@@ -36,24 +37,24 @@ def test_processes(spark):
 
 def test_addresses_are_classified(spark):
     rows = documents(
-        spark, ("term10/print/3005", {"title": "Druk", "documentDate": "2026-08-12"}), ("term10/club/KO", {"name": "Klub"}), ("term10/mp/1", {"firstLastName": "Ktoś"}),
-        ("term10/proceeding/1/voting/2", {"description": "Głosowanie", "date": "2023-11-13T15:17:22"}), ("term10/proceeding/1", {"title": "Posiedzenie", "dates": ["2023-11-13"]}), ("term9/proceeding/2023-03-23", {"title": "P", "dates": ["2023-03-23"]}), ("term10/interpellation/7", {"title": "x"}), ("aterm10/print/1", {"title": "x"}),
+        spark, ("term10/print/61", {"title": "Druk", "documentDate": "2031-05-06"}), ("term10/club/KO", {"name": "Klub"}), ("term10/mp/1", {"firstLastName": "Ktoś"}),
+        ("term10/proceeding/1/voting/2", {"description": "Głosowanie", "date": "2031-02-01T09:08:07"}), ("term10/proceeding/1", {"title": "Posiedzenie", "dates": ["2031-03-03"]}), ("term9/proceeding/2030-07-08", {"title": "P", "dates": ["2030-07-08"]}), ("term10/interpellation/7", {"title": "x"}), ("aterm10/print/1", {"title": "x"}),
     )
     got = {r.external_id: (r.kind, r.title, r.published_at) for r in parliament.classified(rows).collect()}
-    assert got["term10/print/3005"] == ("print", "Druk", datetime(2026, 8, 12))
-    assert got["term10/proceeding/1/voting/2"] == ("voting", "Głosowanie", datetime(2023, 11, 13, 15, 17, 22))
-    assert got["term9/proceeding/2023-03-23"][0] == "proceeding" and got["term10/mp/1"] == ("mp", "Ktoś", None)
+    assert got["term10/print/61"] == ("print", "Druk", datetime(2031, 5, 6))
+    assert got["term10/proceeding/1/voting/2"] == ("voting", "Głosowanie", datetime(2031, 2, 1, 9, 8, 7))
+    assert got["term9/proceeding/2030-07-08"][0] == "proceeding" and got["term10/mp/1"] == ("mp", "Ktoś", None)
     assert got["term10/interpellation/7"] == ("unknown", None, None) and got["aterm10/print/1"][0] == "unknown"
 
 
 def test_acts(spark):
-    act = {"ELI": "DU/2026/1074", "title": "Ustawa", "type": " ", "promulgation": "2026-08-10", "entryIntoForce": "kiedyś", "prints": [{"term": 10, "number": "2620"}, {"number": "1"}], "references": {"Akty zmienione": [{"id": "DU/2020/1", "date": "x"}, {"id": "bad"}]}}
-    rows = documents(spark, ("DU/2026/1074", act), ("DU/2026/1", act | {"ELI": "DU-2026-1"}), ("DU/2026/2", act | {"title": ""}))
+    act = {"ELI": "DU/2032/15", "title": "Ustawa", "type": " ", "promulgation": "2032-01-09", "entryIntoForce": "kiedyś", "prints": [{"term": 10, "number": "48"}, {"number": "1"}], "references": {"Akty zmienione": [{"id": "DU/2020/1", "date": "x"}, {"id": "bad"}]}}
+    rows = documents(spark, ("DU/2032/15", act), ("DU/2026/1", act | {"ELI": "DU-2026-1"}), ("DU/2026/2", act | {"title": ""}))
     acts = gazette.parsed_acts(rows)
     (a,) = acts.collect()
-    assert (a.act_type, a.announced_on, a.in_force_from, a.prints) == ("nieokreślony", date(2026, 8, 10), None, ["term10/print/2620"])
-    assert [tuple(r) for r in gazette.references(acts).collect()] == [("DU/2026/1074", "Akty zmienione", "DU/2020/1")]
-    assert [r.kind for r in gazette.classified(documents(spark, ("DU/2026/1079", act), ("DU-2026-1079", act))).orderBy("external_id").collect()] == ["unknown", "act"]
+    assert (a.act_type, a.announced_on, a.in_force_from, a.prints) == ("nieokreślony", date(2032, 1, 9), None, ["term10/print/48"])
+    assert [tuple(r) for r in gazette.references(acts).collect()] == [("DU/2032/15", "Akty zmienione", "DU/2020/1")]
+    assert [r.kind for r in gazette.classified(documents(spark, ("DU/2026/16", act), ("DU-2026-16", act))).orderBy("external_id").collect()] == ["unknown", "act"]
 
 
 def test_search_pages(spark):
@@ -82,17 +83,17 @@ def test_backfill_chunks_resume(spark):
 CARD = """<html><body><div class="projectTitle"><span class="rcl-title">Projekt <b>ustawy</b></span></div>
 <div class="info"><div class="row"><div class="col-xs-4">Data utworzenia:</div><div class="col-xs-6">09-04-2026</div></div>
 <div class="row"><div class="col-xs-4">Kadencja sejmu:</div><div class="col-xs-6"> X </div></div>
-<div class="row"><div class="col-xs-4">Numer z wykazu:</div><div class="col-xs-6"><a href="https://p.example/1">UD383</a>, </div></div></div>
-<a href="/projekt/rejestr/projekt/12409051">rejestr</a>
+<div class="row"><div class="col-xs-4">Numer z wykazu:</div><div class="col-xs-6"><a href="https://p.example/1">UX17</a>, </div></div></div>
+<a href="/projekt/rejestr/projekt/70001">rejestr</a>
 <ul class="cbp_tmtimeline"><li id="501"><div class="cbp_tmlabel_notstart"><div>1. Zgłoszenia</div></div></li>
-<li id="502"><div class="cbp_tmlabel"><a href="/projekt/12409051/katalog/502">2. Uzgodnienia</a><div class="small2">Data ostatniej modyfikacji: 26-05-2026</div></div></li>
-<li><div class="cbp_tmlabel_active"><a href="/projekt/12409051/katalog/503">Konsultacje</a></div></li><li><div>no id</div></li></ul></body></html>"""
+<li id="502"><div class="cbp_tmlabel"><a href="/projekt/70001/katalog/502">2. Uzgodnienia</a><div class="small2">Data ostatniej modyfikacji: 26-05-2026</div></div></li>
+<li><div class="cbp_tmlabel_active"><a href="/projekt/70001/katalog/503">Konsultacje</a></div></li><li><div>no id</div></li></ul></body></html>"""
 
 
 def test_project_cards(spark):
     pages = spark.createDataFrame([("a", CARD), ("b", "<p>none"), ("c", None), ("d", "")], "page string, html string")
     (c,) = government.project_cards(pages).collect()
-    assert (c.page, c.project_id, c.title, c.created_on, c.term, c.register_numbers, c.programme_url) == ("a", "12409051", "Projekt ustawy", date(2026, 4, 9), 10, ["UD383"], "https://p.example/1")
+    assert (c.page, c.project_id, c.title, c.created_on, c.term, c.register_numbers, c.programme_url) == ("a", "70001", "Projekt ustawy", date(2026, 4, 9), 10, ["UX17"], "https://p.example/1")
     assert [(s.catalog_id, s.ordinal, s.name, s.state, s.visitable) for s in c.stages] == [("501", 1, "Zgłoszenia", "not_started", False), ("502", 2, "Uzgodnienia", "done", True), ("503", None, "Konsultacje", "current", True)]
     assert c.stages[1].last_modified_on == date(2026, 5, 26)
 
@@ -116,14 +117,14 @@ def test_registers(spark):
     assert (s.scope, s.name, s.parent_scope, s.parent_name, s.parent_id) == ("catalog", "Konsultacje", "project", 'Projekt "X"', "77")
 
 
-LISTING = """<div id="list"><div class="col-sm-8">Lista projektów według wybranych kryteriów: 2602</div></div><div id="lista"><table id="table"><tbody>
+LISTING = """<div id="list"><div class="col-sm-8">Lista projektów według wybranych kryteriów: 345</div></div><div id="lista"><table id="table"><tbody>
 <tr><td><a href="/projekt/11">Pierwszy</a></td><td>MF</td><td>UD1</td><td>01-02-2026</td><td>17-08-2026</td></tr><tr><td>no link</td></tr>
 <tr><td><a href="/projekt/12">Drugi</a></td><td>MZ</td><td></td><td></td><td></td></tr></tbody></table></div>"""
 
 
 def test_listings(spark):
     rows = government.listing_entries(spark.createDataFrame([(LISTING,)], "html string")).orderBy("place").collect()
-    assert [(r.project_id, r.title, r.register_number, r.modified_on, r.total_count) for r in rows] == [("11", "Pierwszy", "UD1", date(2026, 8, 17), 2602), ("12", "Drugi", None, None, 2602)]
+    assert [(r.project_id, r.title, r.register_number, r.modified_on, r.total_count) for r in rows] == [("11", "Pierwszy", "UD1", date(2026, 8, 17), 345), ("12", "Drugi", None, None, 345)]
 
 
 def test_walk_stops_after_the_page_with_an_older_entry(spark):
@@ -142,18 +143,44 @@ def test_catalogs_within_depth_and_without_cycles(spark):
     assert {r.catalog_id for r in government.reachable_catalogs(stages, children, F.lit(None).cast("date"), depth=3).collect()} == {"1", "3", "10", "100"}
 
 
-def land(folder, source, address, payload):
+def land(folder, source, address, payload, version=""):
     (folder / source).mkdir(exist_ok=True, parents=True)
-    (folder / source / f"{quote(address, safe='')}.json").write_text(json.dumps(payload))
+    path = folder / source / f"{quote(address, safe='')}{version and '@' + version}.json"
+    path.write_text(json.dumps(payload))
+    return path
 
 
 def test_landed_files(spark, tmp_path):
-    landing.register(spark)
     for n in range(5):
-        land(tmp_path, "sejm", f"term10/print/{n}", {"n": n})
-    rows = spark.read.format("landed").option("files_per_task", 2).load(str(tmp_path))
-    assert rows.rdd.getNumPartitions() == 3
-    assert sorted(r.external_id for r in rows.collect()) == [f"term10/print/{n}" for n in range(5)]
-    assert {r.source for r in rows.collect()} == {"sejm"}
+        land(tmp_path / "in", "sejm", f"term10/print/{n}", {"n": n})
+    land(tmp_path / "in", "rcl", "a b+c%/ż@x?", {}, "2")
+    (tmp_path / "in" / "sejm" / ".hidden.json").write_text("x")
+    for folder in (f"{tmp_path}/in", f"file://{tmp_path}/in/"):
+        rows = landing.read(spark, folder).collect()
+        assert sorted((r.source, r.external_id) for r in rows) == [("rcl", "a b+c%/ż@x?")] + [("sejm", f"term10/print/{n}") for n in range(5)]
+    assert {json.loads(r.payload)["n"] for r in rows if r.source == "sejm"} == set(range(5))
     (tmp_path / "none").mkdir()
-    assert spark.read.format("landed").load(str(tmp_path / "none")).count() == 0
+    assert landing.read(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_no_landed_file_is_lost(spark, tmp_path):
+    """Files of the same and of older times than those read are read, each once."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+
+    def put(address, seconds):
+        os.utime(land(folder, "sejm", address, {}), (seconds, seconds))
+
+    def run():
+        query = landing.stream(spark, str(folder)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out)
+        query.awaitTermination(120)
+        return sorted(r.external_id for r in spark.read.parquet(out).collect())
+
+    put("a", 1000)
+    assert run() == ["a"]
+    put("b", 1000)
+    put("c", 999)
+    put("d", 2_000_000_000)
+    put("e", 5)
+    assert run() == ["a", "b", "c", "d", "e"]
+    put("f", 1)
+    assert run() == ["a", "b", "c", "d", "e", "f"]

@@ -1,11 +1,12 @@
 """Streams give what batches give, however the input is split, and repeated batches change nothing."""
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from statutum.functions import dates
 from statutum.operators import alerts, archive, writes
 from statutum.sources import landing
 from statutum.streaming import alerts as live
@@ -21,31 +22,30 @@ def run(query):
 
 
 def test_chain_from_landed_files_to_facts(spark, tmp_path):
-    landing.register(spark)
     folder, out = tmp_path / "landed", tmp_path / "out"
     folder.mkdir()
 
     def pass_all():
-        landed = spark.readStream.format("landed").load(str(folder))
+        landed = landing.stream(spark, str(folder))
         run(chain.archive_stream(landed, f"{out}/raw", f"{out}/c1"))
         run(chain.document_stream(chain.follow(spark, f"{out}/raw", chain.RAW), f"{out}/documents", f"{out}/c2"))
         documents = chain.follow(spark, f"{out}/documents", chain.DOCUMENTS)
         run(chain.fact_stream(documents, f"{out}/facts", f"{out}/c3"))
         run(chain.act_stream(documents, f"{out}/acts", f"{out}/c4"))
 
-    land(folder, "sejm", "term10/process/31", PROCESS)
+    land(folder, "sejm", "term10/process/8842", PROCESS)
     (folder / "rcl").mkdir()
-    (folder / "rcl" / "projekt%2Fustawy%2F12409051.html").write_text(CARD)
+    (folder / "rcl" / "projekt%2Fustawy%2F70001.html").write_text(CARD)
     land(folder, "isap", "DU/2026/1", {"ELI": "DU/2026/1", "title": "Ustawa"})
     land(folder, "other", "x", {})
     pass_all()
     facts = chain.read_facts(spark, f"{out}/facts")
     assert facts.count() == 5 and facts.where("stage = 'proces_rzadowy'").count() == 1
     documents = chain.read_documents(spark, f"{out}/documents")
-    assert {(r.source, r.kind, r.title) for r in documents.collect()} == {("sejm", "process", "Obywatelski projekt ustawy"), ("rcl", "rcl-project", "Projekt ustawy"), ("isap", "act", "Ustawa"), ("other", "unknown", None)}
+    assert {(r.source, r.kind, r.title) for r in documents.collect()} == {("sejm", "process", "Obywatelski projekt ustawy o latarniach"), ("rcl", "rcl-project", "Projekt ustawy"), ("isap", "act", "Ustawa"), ("other", "unknown", None)}
     assert spark.read.parquet(f"{out}/acts").count() == 1
-    later = PROCESS | {"stages": [*PROCESS["stages"], {"date": "2023-12-06", "stageName": "Prezydent podpisał", "stageType": "PresidentSignature"}]}
-    land(folder, "sejm", "term10/process/31", later)
+    later = PROCESS | {"stages": [*PROCESS["stages"], {"date": "2031-03-26", "stageName": "Prezydent podpisał", "stageType": "PresidentSignature"}]}
+    land(folder, "sejm", "term10/process/8842", later, "2")
     pass_all()
     assert chain.read_facts(spark, f"{out}/facts").count() == 7  # the new stage, and the period that it closes
     assert sorted(r.version_no for r in chain.document_tables(chain.read_documents(spark, f"{out}/documents"))[1].where(F.col("previous_hash").isNotNull()).collect()) == [2]
@@ -91,6 +91,24 @@ def test_once_and_local_windows(spark, tmp_path):
     assert (datetime(2026, 1, 1, 9, 30), 1) in got and (datetime(2026, 1, 1, 10, 30), 1) in got  # hours of the owner's clock
 
 
+@pytest.mark.parametrize("mode", ["hourly", "daily", "weekly"])
+def test_windows_of_owners_clocks_equal_the_batch(spark, tmp_path, mode):
+    """Each window once and whole, over changes of clocks and two zones, but for the last ones, which the watermark has not passed."""
+    rows = [("a" if i % 3 else "b", "Europe/Warsaw" if i % 3 else "Asia/Kolkata", 8, 3, datetime(2026, 3, 20) + timedelta(minutes=47 * i)) for i in range(900)]
+    schema = "owner_id string, zone string, at_hour int, on_weekday int, created_at timestamp"
+    whole = spark.createDataFrame(rows, schema)
+    start = dates.digest_boundary(F.lit(mode), F.col("zone"), F.col("at_hour"), F.col("on_weekday"), F.col("created_at"))
+    want = {(r.owner_id, r.s): r["count"] for r in whole.groupBy("owner_id", start.alias("s")).count().collect()}
+    for k in range(3):
+        spark.createDataFrame(rows[k * 300 : k * 300 + 300], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run(live.local_windows(stream, mode).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "o")))
+    found = [((r.owner_id, r.window_start), r.n) for r in spark.read.parquet(str(tmp_path / "o")).collect()]
+    assert len(found) == len(dict(found)) and all(want[k] == n for k, n in found)
+    span = timedelta(hours=2 * live.HOURS[mode] + 3)
+    assert {k for k in want if k[1] < rows[-1][4] - span} <= set(dict(found))
+
+
 def test_streamed_payloads_are_json(spark):
     assert json.loads(json.dumps(PROCESS))["term"] == 10
     assert writes.drop_unnumbered_proceedings(spark.createDataFrame([("term1/proceeding/0",), ("term1/proceeding/10",), (None,)], "external_id string")).count() == 2
