@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import is_quiet, window_closed
+from ..functions.folds import running
 from ..functions.ids import case_key, email_address, event_key, stable_id
 from ..functions.text import escape_html, plural_of_matters
 from ..functions.vocabulary import specificity
@@ -29,6 +30,16 @@ def next_pass(pending: DataFrame, items: int = PASS_ITEMS) -> DataFrame:
     return pending.where("processed_at is null").orderBy("arrived_at", "kind", "subject").limit(items)
 
 
+def run_passes(pending: DataFrame, items: int = PASS_ITEMS, passes: int = PASSES) -> DataFrame:
+    """What one run judges, with ``pass_no``: the oldest items that wait, so many of them in each of so many passes.
+
+    A pass marks its items as processed before the next begins; what waits beyond the last pass is left to the next run.
+    """
+    taken = next_pass(pending, items * passes)  # a bounded number of rows
+    place = F.row_number().over(Window.orderBy("arrived_at", "kind", "subject")) - 1
+    return taken.withColumn("pass_no", F.floor(place / items) + 1)
+
+
 def resolve_items(pending: DataFrame, acts: DataFrame, drafts: DataFrame) -> DataFrame:
     """Pending items with title, address and stage; ``found`` is false for ids that name nothing, which count as judged too."""
     a = acts.select(F.lit("act").alias("kind"), F.col("act_id").alias("subject"), "title", "eli", F.lit(None).cast("string").alias("stage"))
@@ -60,14 +71,9 @@ def standing_reasons(candidates: DataFrame, rules: DataFrame) -> DataFrame:
 
 def raised_in_order(times: Column, before: Column, cooldown: int = COOLDOWN_S) -> Column:
     """Which of ascending seconds are raised if each has to be more than ``cooldown`` after the one raised last; a fold."""
-    none = F.array().cast("array<bigint>")
-    start = F.struct(before.cast("long").alias("last"), none.alias("out"))
-    return F.aggregate(
-        times,
-        start,
-        lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] > cooldown), F.struct(t.alias("last"), F.concat(acc["out"], F.array(t)).alias("out"))).otherwise(acc),
-        lambda acc: acc["out"],
-    )
+    due = lambda last, t: last.isNull() | (t - last > cooldown)
+    said = running(times, before.cast("long"), lambda last, t: F.when(due(last, t), t).otherwise(last), lambda last, t: F.when(due(last, t), t), "bigint")
+    return F.filter(said, lambda t: t.isNotNull())
 
 
 def cooldown(events: DataFrame, seconds: int = COOLDOWN_S) -> DataFrame:
@@ -98,18 +104,19 @@ def decide(candidates: DataFrame, rules: DataFrame, notifications: DataFrame, se
     past = notifications.groupBy("owner_id", "case_key").agg(F.max("at").alias("last"), F.collect_set("event_key").alias("told"))
     line = F.struct("at", "profile_id", "item_id", "event_key")
     matters = open_.groupBy("owner_id", "case_key").agg(F.array_sort(F.collect_list(line)).alias("line")).join(past, ["owner_id", "case_key"], "left")
-    kind = "array<struct<profile_id:string,item_id:string,reason:string>>"
-    start = F.struct(F.col("last").cast("long").alias("last"), F.coalesce("told", F.array().cast("array<string>")).alias("told"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.col("last").cast("long").alias("last"), F.coalesce("told", F.array().cast("array<string>")).alias("told"))
+    recent = lambda acc, c: acc["last"].isNotNull() & (c["at"] - acc["last"] <= seconds)
+    told = lambda acc, c: F.array_contains(acc["told"], c["event_key"])
 
     def step(acc: Column, c: Column) -> Column:
-        recent = acc["last"].isNotNull() & (c["at"] - acc["last"] <= seconds)
-        told = F.array_contains(acc["told"], c["event_key"])
-        reason = F.when(recent, "case_recently_raised").when(told, "already_told").otherwise("matched")
-        raised = ~recent & ~told
-        out = F.concat(acc["out"], F.array(F.struct(c["profile_id"].cast("string").alias("profile_id"), c["item_id"].cast("string").alias("item_id"), reason.alias("reason"))))
-        return F.struct(F.when(raised, c["at"]).otherwise(acc["last"]).alias("last"), F.when(raised, F.array_append(acc["told"], c["event_key"])).otherwise(acc["told"]).alias("told"), out.alias("out"))
-
-    said = matters.select("owner_id", "case_key", F.explode(F.aggregate("line", start, step, lambda acc: acc["out"])).alias("o"))
+        return F.when(recent(acc, c) | told(acc, c), acc).otherwise(F.struct(c["at"].alias("last"), F.array_append(acc["told"], c["event_key"]).alias("told")))
+
+    def emit(acc: Column, c: Column) -> Column:
+        reason = F.when(recent(acc, c), "case_recently_raised").when(told(acc, c), "already_told").otherwise("matched")
+        return F.struct(c["profile_id"].cast("string").alias("profile_id"), c["item_id"].cast("string").alias("item_id"), reason.alias("reason"))
+
+    lines = running(F.col("line"), start, step, emit, "struct<profile_id:string,item_id:string,reason:string>")
+    said = matters.select("owner_id", "case_key", F.explode(lines).alias("o"))
     said = said.select(F.col("owner_id").alias("o"), F.col("o.profile_id").alias("p"), F.col("o.item_id").alias("i"), F.col("o.reason").alias("reason"))
     done = judged.where("verdict is not null").withColumn("reason", F.col("verdict"))
     here = open_.join(said, (F.col("owner_id") == F.col("o")) & (F.col("profile_id").cast("string") == F.col("p")) & (F.col("item_id").cast("string") == F.col("i")))

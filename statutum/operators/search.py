@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import highlight, stems
+from ..storage import materialize
 
 #: Of the ranking: saturation, length, weight of a title; values of a facet; entries of a page, and at most.
 K1, B, TITLE_BOOST, FACET_VALUES, PAGE, MOST = 1.2, 0.75, 8.0, 20, 20, 100
 FACETS = ("kind", "stage", "initiator", "act_type")
 
 
+@dataclass
+class Index:
+    """Stored tables of an index: entries with stems, postings of their titles, and one row of statistics."""
+
+    entries: DataFrame
+    postings: DataFrame
+    statistics: DataFrame
+
+
 def index_entries(acts: DataFrame, drafts: DataFrame) -> DataFrame:
     """One row for each act and draft: ``id`` is ``kind:own id``, columns that a kind lacks are null."""
     a = acts.where("eli is not null").select(
@@ -42,22 +53,34 @@ def postings(entries: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 
 def statistics(entries: DataFrame) -> DataFrame:
     """One row: number of entries with words and their mean length."""
-    with_words = F.when(F.size("stems") > 0, F.size("stems"))
-    return entries.agg(F.count(with_words).alias("entries"), F.avg(with_words).alias("mean_length"))
+    return _statistics(entries.select(F.size("stems").alias("length")))
 
 
-def title_scores(entries: DataFrame, queries: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def _statistics(lengths: DataFrame) -> DataFrame:
+    with_words = F.when(F.col("length") > 0, F.col("length"))
+    return lengths.agg(F.count(with_words).alias("entries"), F.avg(with_words).alias("mean_length"))
+
+
+def title_scores(entries: DataFrame, queries: DataFrame, index: Index | DataFrame | None = None) -> DataFrame:
     """BM25 of titles: ``query, id, score, matched`` for ``queries(query, wanted array<string>)`` (a stem counts as often as it is asked).
 
     Only postings of stems that are asked for are kept before anything is shuffled for them, and partial sums are made by entry.
-    With ``index``, stored postings, titles are not taken apart again.
+    With ``index`` titles are not taken apart again (with postings alone, to count their lengths only). Without it they are once: what is kept of each entry, its length and its wanted
+    stems, is stored, and frequencies, lengths and scores are counted from that.
     """
     asked = queries.select("query", F.explode("wanted").alias("stem")).groupBy("query", "stem").agg(F.count(F.lit(1)).alias("times"))
     wanted = asked.select("stem").distinct()
-    found = postings(entries, wanted) if index is None else index.join(wanted, "stem", "left_semi")
+    if index is None:
+        named = wanted.agg(F.collect_set("stem").alias("named"))  # the stems of the queries, in one row
+        kept = F.filter("stems", lambda s: F.array_contains("named", s))
+        few = materialize(entries.select("id", "stems").join(F.broadcast(named)).select("id", F.size("stems").alias("length"), kept.alias("stems")), "titles")
+        found = few.select("id", "length", F.explode("stems").alias("stem")).groupBy("stem", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+        total = _statistics(few.select("length"))
+    else:
+        given = Index(entries, index, statistics(entries)) if isinstance(index, DataFrame) else index
+        found, total = given.postings.join(wanted, "stem", "left_semi"), given.statistics
     df = found.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
-    total = F.broadcast(statistics(entries))  # one row
-    weighted = found.join(df, "stem").join(total)
+    weighted = found.join(df, "stem").join(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("entries") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
     weighted = weighted.select("stem", "id", (idf * F.col("tf") * (K1 + 1) / norm).alias("w"))
@@ -70,11 +93,11 @@ def keep(entries: DataFrame, kinds=(), stages=(), initiators=(), act_types=()) -
     return entries.where(reduce(lambda a, b: a & b, [F.col(c).isin(*v) for c, v in given.items() if v], F.lit(True)))
 
 
-def search(entries: DataFrame, text: str | None, offset: int = 0, size: int = PAGE, index: DataFrame | None = None, **filters) -> dict[str, DataFrame]:
+def search(entries: DataFrame, text: str | None, offset: int = 0, size: int = PAGE, index: Index | DataFrame | None = None, **filters) -> dict[str, DataFrame]:
     """``hits`` (a page, best first), ``total`` and ``facets`` of one search.
 
     An entry matches by a stem of its title (weighing ``TITLE_BOOST``) or by one of its identifiers as a whole. Blank text lists
-    all that pass the filters, in order of ids. Filters change no score. ``index``: stored postings of the entries, if there are any.
+    all that pass the filters, in order of ids. Filters change no score. ``index``: a stored index of the entries, if there is any.
     """
     spark = entries.sparkSession
     text = (text or "").strip()

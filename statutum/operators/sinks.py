@@ -7,15 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .search import postings
+from ..storage import drop_folder
+from .search import Index, postings, statistics
 
 BUCKETS = ("raw", "derived", "exports")
+#: Bytes of a file of blobs, about.
+FILE_BYTES = 256 << 20
 
 
 def write_blobs(rows: DataFrame, root: str, bucket: str = "raw") -> None:
     """Add blobs ``(content_hash, payload)`` that the store lacks, one row for each hash, in folders by the first two letters.
 
-    Spark's commit makes the addition whole or absent. Presence is checked by hash alone: payloads take part in no join.
+    Spark's commit makes the addition whole or absent. Presence is checked by hash alone: payloads take part in no join. Letters are
+    dealt to as many tasks as their bytes need. One writer at a time adds to a bucket; blobs that two added at once are read as two equal rows.
     """
     if bucket not in BUCKETS:
         raise ValueError(f"no bucket {bucket}")
@@ -24,7 +28,9 @@ def write_blobs(rows: DataFrame, root: str, bucket: str = "raw") -> None:
     held = read_blobs(spark, root, bucket)
     if held is not None:
         one = one.join(held.select("content_hash"), "content_hash", "left_anti")
-    one.repartition("aa").write.mode("append").partitionBy("aa").parquet(path)
+    size = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    part = F.pmod(F.xxhash64("content_hash"), F.lit(max(1, size // (256 * FILE_BYTES))))
+    one.repartition("aa", part).write.mode("append").partitionBy("aa").parquet(path)
 
 
 def read_blobs(spark: SparkSession, root: str, bucket: str = "raw") -> DataFrame | None:
@@ -32,26 +38,58 @@ def read_blobs(spark: SparkSession, root: str, bucket: str = "raw") -> DataFrame
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.parquet(f"{root}/{bucket}")
+        return spark.read.schema("content_hash string, payload binary, aa string").parquet(f"{root}/{bucket}")
     except AnalysisException as absent:
         if "PATH_NOT_FOUND" not in str(absent):
             raise
         return None
 
 
-def publish_index(entries: DataFrame, root: str, view: str = "legislative_index") -> str:
-    """Build an index beside the live one, then switch: the views ``view`` and ``view_postings`` point at a complete table or the old one.
+def publish_index(entries: DataFrame, root: str, name: str = "legislative_index") -> str:
+    """Build an index beside the live one, then switch the stored alias to it; the folder of the new index.
 
-    Entries are stored by kind, postings in ranges of stems, so a search for a few stems reads a few row groups.
+    The alias is a table of versions, the newest of which is live: a version counts from the commit of its one row, by when all of its
+    tables are complete. Versions before the one that was live until then are removed, so searches that run keep their tables.
+    Entries are stored by kind with their stems, postings in ranges of stems, so a search for a few stems reads a few row groups, and
+    the numbers of all entries in one row: no search takes titles apart again. This session's views ``name`` and ``name_postings``
+    follow; other sessions ask for ``live_index``.
     """
-    spark, path = entries.sparkSession, f"{root}/{view}-{uuid.uuid4().hex}"
+    spark, path = entries.sparkSession, f"{root}/{name}-{uuid.uuid4().hex}"
     entries.write.partitionBy("kind").parquet(f"{path}/entries")
-    postings(spark.read.parquet(f"{path}/entries")).repartitionByRange("stem").sortWithinPartitions("stem").write.parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/entries").createOrReplaceTempView(view)
-    spark.read.parquet(f"{path}/postings").createOrReplaceTempView(f"{view}_postings")
+    stored = spark.read.parquet(f"{path}/entries")
+    postings(stored).repartitionByRange("stem").sortWithinPartitions("stem").write.parquet(f"{path}/postings")
+    statistics(stored).write.parquet(f"{path}/statistics")
+    before = _versions(spark, root, name)
+    number = before[0][0] + 1 if before else 1
+    spark.createDataFrame([(number, path)], "version long, path string").coalesce(1).write.mode("append").parquet(f"{root}/{name}.alias")
+    for _, old in before[1:]:
+        drop_folder(spark, old)
+    stored.createOrReplaceTempView(name)
+    spark.read.parquet(f"{path}/postings").createOrReplaceTempView(f"{name}_postings")
     return path
 
 
+def _versions(spark: SparkSession, root: str, name: str) -> list[tuple[int, str]]:
+    """Versions of an index, the live one first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema("version long, path string").parquet(f"{root}/{name}.alias").orderBy(F.col("version").desc(), "path").limit(1000).collect()
+    except AnalysisException as absent:
+        if "PATH_NOT_FOUND" not in str(absent):
+            raise
+        return []
+    return [(r.version, r.path) for r in rows]
+
+
+def live_index(spark: SparkSession, root: str, name: str = "legislative_index") -> Index:
+    """The live index, as the alias names it now."""
+    found = _versions(spark, root, name)
+    if not found:
+        raise FileNotFoundError(f"no index {name} is published under {root}")
+    return Index(*(spark.read.parquet(f"{found[0][1]}/{t}") for t in ("entries", "postings", "statistics")))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV with a header, every field quoted and quotes doubled."""
     rows.write.csv(path, header=True, quoteAll=True, escape='"')

@@ -218,5 +218,28 @@ def next_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NEXT_PASS = "SELECT event_type AS kind, user_id AS subject, strftime(ts, '%Y-%m-%d %H:%M:%S') AS arrived_at FROM events WHERE event_type <> 'view' ORDER BY ts, event_type, user_id LIMIT 200"
 
-QUERIES = {f.__name__: f for f in (best_reason, rule_verdicts, decision_cascade, cooldown_24h, exactly_once, digest_window, digests_due, digest_matters, digest_mails, polish_plural, delivery_outcomes, suppressed_semi, pending_buffer, next_pass)}
+def match_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one run of passes judges of the events that wait, and in which pass."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("subject"), F.col("ts").alias("arrived_at"), F.when(F.col("event_type") == "view", F.lit("2024-01-01").cast("timestamp")).alias("processed_at"))
+    return op.run_passes(e).select("kind", "subject", "pass_no")
+
+
+MATCH_RUN = "SELECT event_type AS kind, event_id AS subject, (row_number() OVER (ORDER BY ts, event_type, event_id) - 1) // 200 + 1 AS pass_no FROM events WHERE event_type <> 'view' ORDER BY ts, event_type, event_id LIMIT 5000"
+
+
+def resolved_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as pending items of acts (odd line numbers, by order) and drafts (even ones, by part as customer): title and stage, or nothing found."""
+    li = table(spark, sf_dir, "lineitem")
+    odd = F.col("l_linenumber") % 2 == 1
+    pending = li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.when(odd, "act").otherwise("draft").alias("kind"), F.when(odd, F.col("l_orderkey")).otherwise(F.col("l_partkey")).alias("subject"))
+    acts = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("act_id"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("DU/2024/"), F.col("o_orderkey").cast("string")).alias("eli"))
+    drafts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("draft_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("stage"))
+    return op.resolve_items(pending, acts, drafts).select("l_orderkey", "l_linenumber", "kind", "title", "eli", "stage", "found")
+
+
+RESOLVED_ITEMS = """WITH p AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN 'act' ELSE 'draft' END AS kind, CASE WHEN l_linenumber % 2 = 1 THEN l_orderkey ELSE l_partkey END AS subject FROM lineitem)
+SELECT l_orderkey, l_linenumber, kind, coalesce(o_orderpriority, c_name) AS title, 'DU/2024/' || o_orderkey AS eli, c_mktsegment AS stage, coalesce(o_orderpriority, c_name) IS NOT NULL AS found
+FROM p LEFT JOIN orders ON kind = 'act' AND o_orderkey = subject AND o_orderstatus <> 'P' LEFT JOIN customer ON kind = 'draft' AND c_custkey = subject"""
+
+QUERIES = {f.__name__: f for f in (match_run, resolved_items, best_reason, rule_verdicts, decision_cascade, cooldown_24h, exactly_once, digest_window, digests_due, digest_matters, digest_mails, polish_plural, delivery_outcomes, suppressed_semi, pending_buffer, next_pass)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import blob_key, content_hash
 from ..operators import archive as op
-from ..operators import writes
+from ..operators import sinks, writes
+from ..storage import shared_path
 from .tables import sql_stamp, stamp, table
 
 _PAYLOADS_SQL = "payloads AS (SELECT source, lang AS external_id, doc_id AS arrival, sha256(coalesce(text, '')) AS h FROM documents)"
@@ -206,5 +207,16 @@ def schema_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCHEMA_WARNINGS = """SELECT ts::DATE::VARCHAR AS run_id, 'MISSING_FIELD:/events[].purchase (' || user_id || ')' AS warning FROM events WHERE event_type = 'error'
 UNION ALL SELECT ts::DATE::VARCHAR, 'UNEXPECTED_TYPE:/events[].value (' || event_id || ')' FROM events WHERE value > 90"""
 
-QUERIES = {f.__name__: f for f in (content_dedup, archive_outcomes, blob_keys, version_chain, document_upsert, latest_write, insert_absent, upsert_merge, append_facts, conditional_update, direct_children, direct_children_count, completeness, volume_anomaly, recent_average, run_ledger, schema_warnings)}
+def blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' bytes as blobs, added twice and read back: each once."""
+    root = shared_path(spark, "blobs")
+    rows = op.with_hashes(table(spark, sf_dir, "pages").select(F.coalesce("html", F.lit("")).cast("binary").alias("payload")))
+    for _ in range(2):
+        sinks.write_blobs(rows.select("content_hash", "payload"), root)
+    return sinks.read_blobs(spark, root).select("content_hash", F.octet_length("payload").cast("long").alias("bytes"), F.col("aa").alias("folder"))
+
+
+BLOB_STORE = "SELECT DISTINCT sha256(coalesce(html, '')) AS content_hash, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes, sha256(coalesce(html, ''))[1:2] AS folder FROM pages"
+
+QUERIES = {f.__name__: f for f in (blob_store, content_dedup, archive_outcomes, blob_keys, version_chain, document_upsert, latest_write, insert_absent, upsert_merge, append_facts, conditional_update, direct_children, direct_children_count, completeness, volume_anomaly, recent_average, run_ledger, schema_warnings)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import audit, jobs, paging, validation
+from ..storage import shared_path
 from .tables import now, stamp, table
 
 
@@ -210,5 +211,25 @@ def status_by_now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STATUS_BY_NOW = "SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-28' AND ts < TIMESTAMP '2024-02-15 12:00:00' GROUP BY 1"
 
-QUERIES = {f.__name__: f for f in (hash_chain_links, hash_chain_verify, audit_history, claim_top_k, enqueue_dedup, backoff_bounds, reclaim, due_sources, unfinished_backfills, backfill_plan, token_rotation, constraint_violations, duplicate_keys, newest_list, keyset_page, optional_filters, page_counts, status_by_now)}
+def history_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit rows written as CSV and read back, quotes and all."""
+    path = shared_path(spark, "history")
+    audit.history_csv(_log(spark, sf_dir), path)
+    rows = spark.read.csv(path, header=True, escape='"', schema="`at` string, action string, resource string, outcome string, status string")
+    return rows.select("action", "resource", "outcome", "status").groupBy("action", "resource", "outcome", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+HISTORY_CSV = "SELECT event_type AS action, props AS resource, 'succeeded' AS outcome, '200' AS status, count(*) AS n FROM events GROUP BY ALL"
+
+
+def owned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the owner of most orders may see of them."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("owner_id"))
+    owner = o.groupBy("owner_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "owner_id").first()
+    return paging.owned_by(o, owner["owner_id"] if owner else "")
+
+
+OWNED_ROWS = """WITH w AS (SELECT o_custkey::VARCHAR AS owner_id FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT o_orderkey, owner_id FROM orders JOIN w ON o_custkey::VARCHAR = owner_id"""
+
+QUERIES = {f.__name__: f for f in (history_csv, owned_rows, hash_chain_links, hash_chain_verify, audit_history, claim_top_k, enqueue_dedup, backoff_bounds, reclaim, due_sources, unfinished_backfills, backfill_plan, token_rotation, constraint_violations, duplicate_keys, newest_list, keyset_page, optional_filters, page_counts, status_by_now)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

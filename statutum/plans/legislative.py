@@ -181,8 +181,20 @@ src AS (SELECT l_orderkey, l_partkey FROM lineitem QUALIFY row_number() OVER (PA
 SELECT e AS eli, length(p)::BIGINT AS vacatio_days, coalesce(outs.n, 0) AS cites, coalesce(ins.n, 0) AS cited_by, newest AS newest_cited, e AS identifier, l_partkey AS source_draft
 FROM acts LEFT JOIN outs ON from_eli = e LEFT JOIN ins ON to_eli = e LEFT JOIN src ON l_orderkey = act_id"""
 
-QUERIES = {f.__name__: f for f in (stage_timeline, stage_exceptions, current_stage, stage_pace, shipping_pace, stage_pace_fallback, draft_status, status_counts, as_of_stage, draft_left_act, edge_orientation, citations_out, citations_in, source_drafts, act_cards)}
+def draft_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of drafts in figures: where they stand, their history's length, its first and last stage."""
+    told = history(spark, sf_dir)
+    cards = op.draft_cards(drafts(spark, sf_dir).select("draft_id", "initiator"), _status(spark, sf_dir).select("draft_id", "initiator", "current_stage", "stalled_since"), told)
+    n = F.coalesce(F.size("history"), F.lit(0)).cast("long")
+    return cards.select("draft_id", "initiator", "current_stage", stamp("stalled_since"), F.greatest(n, F.lit(0).cast("long")).alias("periods"), F.get("history", F.lit(0))["stage"].alias("first_stage"), F.get("history", F.size("history") - 1)["stage"].alias("last_stage"))
+
+
+DRAFT_CARDS = f"""{_STATUS_WITH}, h AS (SELECT draft_id, count(*) AS n, first(stage ORDER BY valid_from, ordinal) AS f, first(stage ORDER BY valid_from DESC, ordinal DESC) AS l FROM timeline GROUP BY 1)
+SELECT d.draft_id, d.initiator, current_stage, {sql_stamp('stalled_since')}, coalesce(n, 0) AS periods, f AS first_stage, l AS last_stage FROM drafts d LEFT JOIN told t ON t.draft_id = d.draft_id LEFT JOIN h ON h.draft_id = d.draft_id"""
+
+QUERIES = {f.__name__: f for f in (draft_cards, stage_timeline, stage_exceptions, current_stage, stage_pace, shipping_pace, stage_pace_fallback, draft_status, status_counts, as_of_stage, draft_left_act, edge_orientation, citations_out, citations_in, source_drafts, act_cards)}
 ORACLES = {
+    "draft_cards": DRAFT_CARDS,
     "stage_timeline": STAGE_TIMELINE,
     "stage_exceptions": STAGE_EXCEPTIONS,
     "current_stage": CURRENT_STAGE,

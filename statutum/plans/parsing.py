@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, ids, vocabulary
 from ..functions.text import normalise_title
+from ..operators import legislative
 from ..operators.writes import roles_by_user, roles_of
 from ..sources import government, parliament
 from .tables import table
@@ -40,7 +41,7 @@ def title_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce(normalise_title(F.col("text")), F.lit("")), 256).alias("normalised_sha256"))
 
 
-TITLE_NORMALISE = r"""SELECT doc_id, sha256(coalesce(trim(regexp_replace(translate(lower(text), 'ąćęłńóśźż', 'acelnoszz'), '[^\p{L}\p{N}]+', ' ', 'g')), '')) AS normalised_sha256 FROM documents"""
+TITLE_NORMALISE = r"""SELECT doc_id, sha256(coalesce(trim(regexp_replace(replace(strip_accents(lower(text)), 'ł', 'l'), '[^\p{L}\p{N}]+', ' ', 'g')), '')) AS normalised_sha256 FROM documents"""
 
 
 def classify_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +95,45 @@ CASE WHEN o_orderpriority LIKE '4%' THEN NULL WHEN o_orderpriority LIKE '1%' THE
 CASE WHEN o_orderpriority NOT LIKE '4%' THEN o_orderdate::DATE END AS closed_on, 'wplynal_do_sejmu,ii_czytanie' AS stages FROM orders WHERE o_orderpriority NOT LIKE '5%'"""
 
 
+def stated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processes made of orders, two stages each, as drafts with the facts that they state."""
+    o = table(spark, sf_dir, "orders")
+    first, second = F.to_date("o_orderdate"), F.when(F.col("o_orderstatus") != "P", F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 9).cast("int")))
+    stage = lambda n, day, name: F.struct(F.lit(n).alias("ordinal"), day.alias("day"), F.lit(name).alias("stage"))
+    parsed = o.select(F.concat(F.lit("term10/print/"), F.col("o_orderkey").cast("string")).alias("address"), F.lit("t").alias("title"), F.col("o_orderstatus").alias("initiator"), first.alias("started_on"), F.when(F.col("o_orderstatus") == "F", second).alias("closed_on"), F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("string").alias("eli"), F.array(stage(0, first, "wplynal_do_sejmu"), stage(1, second, "i_czytanie")).alias("stages"))
+    facts = legislative.stage_facts(parsed, F.lit("2024-01-01").cast("timestamp"))
+    named = legislative.drafts_of(parsed).join(facts, "draft_id")
+    return named.select("address", F.col("ordinal").cast("long").alias("ordinal"), "stage", F.to_date("valid_from").alias("valid_from"), F.to_date("valid_to").alias("valid_to"), F.to_date("closed_at").alias("closed_on"))
+
+
+STATED_FACTS = """WITH o AS (SELECT 'term10/print/' || o_orderkey AS address, o_orderdate::DATE AS a, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE + (o_orderkey % 9)::INT END AS b, o_orderstatus AS s FROM orders)
+SELECT address, 0::BIGINT AS ordinal, 'wplynal_do_sejmu' AS stage, a AS valid_from, CASE WHEN b IS NOT NULL THEN greatest(b, a + 1) END AS valid_to, CASE WHEN s = 'F' THEN b END AS closed_on FROM o
+UNION ALL SELECT address, 1, 'i_czytanie', b, NULL, CASE WHEN s = 'F' THEN b END FROM o WHERE b IS NOT NULL"""
+
+
+def register_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists that a change register's lines give: moves between stages, catalogs below, documents filed."""
+    changes = _register_changes(spark, sf_dir)
+    parts = [(n, f(changes)) for n, f in (("transition", government.stage_transitions), ("catalog", government.child_catalogs), ("document", government.documents_filed))]
+    rows = [part.select(F.lit(n).alias("list"), "event_id", F.coalesce("new_value", "catalog_name", "document_name").alias("what")) for n, part in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+REGISTER_LISTS = """SELECT 'transition' AS list, event_id, user_id::VARCHAR AS what FROM events WHERE event_type = 'view' UNION ALL SELECT 'catalog', event_id, user_id::VARCHAR FROM events WHERE event_type = 'click'
+UNION ALL SELECT 'document', event_id, user_id || '.pdf' FROM events WHERE event_type = 'purchase'"""
+
+
+def registers_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as terms of which those of five nations are current, their last order as the time of change: which are read again."""
+    last = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("lastChanged"))
+    terms = table(spark, sf_dir, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").alias("term"), (F.col("c_nationkey") < 5).alias("current"), F.struct("lastChanged").alias("prints"))
+    return parliament.registers_changed(terms, F.lit("1998-07-01")).select("term", F.col("prints.lastChanged").alias("changed"))
+
+
+REGISTERS_CHANGED = """WITH t AS (SELECT c_custkey AS term, strftime(max(o_orderdate), '%Y-%m-%d') AS changed FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P' WHERE c_nationkey < 5 GROUP BY 1)
+SELECT * FROM t WHERE changed IS DISTINCT FROM '1998-07-01'"""
+
+
 def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pages and the number of links in them, by patterns on the whole page."""
     p = table(spark, sf_dir, "pages")
@@ -103,7 +143,7 @@ def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 HTML_TITLES = "SELECT page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(coalesce(html, ''), '<a href='))::BIGINT AS links FROM pages"
 
 
-def register_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _register_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as lines of a change register in the register's wording, classified."""
     e = table(spark, sf_dir, "events")
     k = F.col("user_id").cast("string")
@@ -115,7 +155,11 @@ def register_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Coś innego")
     )
     rows = e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), F.lit("x").alias("author"), said.alias("description"), F.concat(F.lit("/projekt/1/katalog/"), k).alias("href"))
-    return government.classified_changes(rows).select("event_id", F.date_format("occurred_at", "yyyy-MM-dd HH:mm").alias("occurred_at"), "kind", "attribute", "new_value", "catalog_name", "document_name", "catalog_id")
+    return government.classified_changes(rows)
+
+
+def register_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _register_changes(spark, sf_dir).select("event_id", F.date_format("occurred_at", "yyyy-MM-dd HH:mm").alias("occurred_at"), "kind", "attribute", "new_value", "catalog_name", "document_name", "catalog_id")
 
 
 REGISTER_EVENTS = """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS occurred_at,
@@ -125,16 +169,23 @@ CASE event_type WHEN 'click' THEN user_id::VARCHAR END AS catalog_name, CASE eve
 
 
 def listing_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by priority as listings, newest first, ten to a page: what a walk since a day visits."""
+    """Orders by priority as listings, newest first, ten to a page, but for those of status P, which stand by number: what a walk since a day visits.
+
+    A walk stops after the first page with an older entry, so entries behind it are not visited however new they are.
+    """
     from pyspark.sql import Window
 
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("list_type"), F.col("o_orderkey").alias("project_id"), F.to_date("o_orderdate").alias("modified_on"))
-    place = F.row_number().over(Window.partitionBy("list_type").orderBy(F.col("modified_on").desc(), "project_id")) - 1
+    o = table(spark, sf_dir, "orders").select(F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("list_type"), F.col("o_orderkey").alias("project_id"), F.to_date("o_orderdate").alias("modified_on"))
+    newest = F.when(~F.col("list_type").endswith("/P"), F.col("modified_on"))
+    place = F.row_number().over(Window.partitionBy("list_type").orderBy(newest.desc_nulls_last(), "project_id")) - 1
     entries = o.withColumn("place", place).withColumn("page", F.floor(F.col("place") / 10) + 1)
     return government.changed_entries(entries, F.lit("1998-06-01").cast("date")).select("list_type", "project_id", "modified_on")
 
 
-LISTING_WALK = "SELECT o_orderpriority AS list_type, o_orderkey AS project_id, o_orderdate::DATE AS modified_on FROM orders WHERE o_orderdate::DATE >= DATE '1998-06-01'"
+LISTING_WALK = """WITH o AS (SELECT o_orderpriority || '/' || o_orderstatus AS list_type, o_orderkey AS project_id, o_orderdate::DATE AS modified_on, o_orderstatus AS s FROM orders),
+p AS (SELECT *, (row_number() OVER (PARTITION BY list_type ORDER BY CASE WHEN s <> 'P' THEN modified_on END DESC NULLS LAST, project_id) - 1) // 10 AS page FROM o)
+SELECT list_type, project_id, modified_on FROM p WHERE modified_on >= DATE '1998-06-01'
+AND NOT EXISTS (SELECT 1 FROM p x WHERE x.list_type = p.list_type AND x.page < p.page AND x.modified_on < DATE '1998-06-01')"""
 
 
 def catalog_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,5 +282,5 @@ def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CANONICAL_JSON = """SELECT event_id, '{"a":{"k":' || json_extract(props, '$.k') || '},"b":{"a":[2,1],"z":1}}' AS canonical FROM events"""
 
-QUERIES = {f.__name__: f for f in (json_extract, date_tolerant, title_normalise, classify_addresses, process_outcomes, html_titles, register_events, listing_walk, catalog_walk, changed_processes, backfill_chunk, term_overlap, external_ids, roman_and_lists, role_rows, status_from_http, canonical_json)}
+QUERIES = {f.__name__: f for f in (stated_facts, register_lists, registers_changed, json_extract, date_tolerant, title_normalise, classify_addresses, process_outcomes, html_titles, register_events, listing_walk, catalog_walk, changed_processes, backfill_chunk, term_overlap, external_ids, roman_and_lists, role_rows, status_from_http, canonical_json)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

@@ -9,6 +9,7 @@ from ..functions import fetching
 from ..functions.text import stems
 from ..operators import alerts, legislative, matching, paging, writes
 from ..sources import gazette, government
+from .search import STEMS
 from .tables import table
 
 
@@ -156,10 +157,10 @@ def stem_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' names as keywords: every distinct name is stemmed once and joined back."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.lit("keyword").alias("kind"), F.col("p_name").alias("value"))
     once = p.select("value").distinct().withColumn("stems", stems(F.col("value")))
-    return matching.with_stems(p, once).select("p_partkey", F.size("stems").cast("long").alias("n"))
+    return matching.with_stems(p, once).select("p_partkey", F.array_join("stems", " ").alias("stems"))
 
 
-STEM_MEMO = "SELECT p_partkey, len(string_split(p_name, ' '))::BIGINT AS n FROM part"
+STEM_MEMO = f"SELECT p_partkey, array_to_string({STEMS.format('p_name')}, ' ') AS stems FROM part"
 
 
 def profile_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Archive, writes, matching, search, audit, jobs, constraints, sinks."""
 
+import os
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from statutum.functions.text import normalise_title, stems
-from statutum.operators import archive, audit, jobs, matching, paging, search, sinks, validation, writes
+from statutum.operators import alerts, archive, audit, jobs, matching, paging, search, sinks, validation, writes
 from statutum.schemas import RULES, SCHEMAS
 
 
@@ -205,3 +206,34 @@ def test_index_is_switched(spark, tmp_path):
     assert by_index == by_title != []
     sinks.publish_index(entries(spark).where("kind = 'act'"), str(tmp_path), "ix")
     assert spark.table("ix").count() == 2 and spark.table("ix_postings").where("stem = 'cen'").count() == 1
+
+
+def test_published_indexes_switch_and_go(spark, tmp_path):
+    """The alias names the newest complete index; searches of it equal those of the entries; indexes before the last are removed."""
+    root, e = str(tmp_path), entries(spark)
+    with pytest.raises(FileNotFoundError):
+        sinks.live_index(spark, root)
+    first = sinks.publish_index(e.where("kind = 'act'"), root)
+    held = sinks.live_index(spark, root)
+    second = sinks.publish_index(e, root)
+    live = sinks.live_index(spark, root)
+    for text in ("ustawy o cenach energii", "projekt ustawy", "zzz"):
+        got, want = (search.search(x, text, index=i) for x, i in ((live.entries, live), (e, None)))
+        assert [(r.id, round(r.score, 9)) for r in got["hits"].collect()] == [(r.id, round(r.score, 9)) for r in want["hits"].collect()]
+        assert got["total"].first() == want["total"].first()
+    assert held.entries.count() == e.where("kind = 'act'").count()  # what a running search holds stays
+    third = sinks.publish_index(e, root)
+    assert [os.path.isdir(p) for p in (first, second, third)] == [False, True, True]
+
+
+def test_a_run_has_passes(spark):
+    rows = spark.range(30).select(F.lit("act").alias("kind"), F.col("id").alias("subject"), F.timestamp_seconds(F.lit(100) - F.col("id")).alias("arrived_at"), F.when(F.col("id") < 3, F.lit(0).cast("timestamp")).alias("processed_at"))
+    got = {r.subject: r.pass_no for r in alerts.run_passes(rows, 5, 3).collect()}
+    assert got == {29 - k: k // 5 + 1 for k in range(15)}
+
+
+def test_repeated_interests_count_once(spark):
+    items = spark.createDataFrame([("i1", "act", "1", "DU/2024/1", ["urgent", "c1"])], "item_id string, kind string, subject string, eli string, stems array<string>")
+    rows = [("o", "p", 1, "keyword", "urgent", False, ["urgent"])] * 3 + [("o", "p", 1, "act", "DU/2024/1", False, None)] * 2
+    interests = spark.createDataFrame(rows, "owner_id string, profile_id string, version int, kind string, value string, excluded boolean, stems array<string>")
+    assert sorted((r.kind, r.value) for r in matching.interested_profiles(items, interests).collect()) == [("act", "DU/2024/1"), ("keyword", "urgent")]
