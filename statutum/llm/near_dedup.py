@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NU
     if not placed.where("blocks > 1").isEmpty():  # large families still have to compare those not connected with the smallest id, with all
         large = placed.where("blocks > 1").join(closed.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
         large = large.withColumn("open", F.coalesce("component", "doc_id") != F.col("family"))
-        left = large.groupBy("family").agg(F.ceil(F.count_if("open") / F.lit(BLOCK)).alias("others")).where("others > 0")
+        left = materialize(large.groupBy("family").agg(F.ceil(F.count_if("open") / F.lit(BLOCK)).alias("others")).where("others > 0"), "others")
         other = F.when(F.col("open"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("others")))
         large = materialize(large.join(left, "family").select("doc_id", "family", "blocks", "block", "others", other.alias("other")), "open")
         texts = docs.join(large, "doc_id")
