@@ -55,6 +55,30 @@ def test_super_kmers_hold_every_window_once():
     assert per.sum() == 2966 and per.max() <= op.LONGEST and len(flat) > 1
 
 
+def test_a_phrase_in_every_document_fills_no_bucket(spark, monkeypatch):
+    """A run of words that is all documents' least would draw every window around it; known to be heavy, it comes last."""
+    rng = random.Random(3)
+    hashes = op.WordHashes()
+    phrase = min((prose(rng, 4) for _ in range(3000)), key=lambda p: int(op.ngram_hashes(hashes.of(p.encode().split()), 4)[0]))
+    texts = [f"{prose(rng, 60)} {phrase} {prose(rng, 60)} {phrase} {prose(rng, 40)}" for _ in range(200)] + [f"{phrase} " * 60] * 3
+    fullest = lambda heavy: max(Counter(m for t in texts[:200] for _, c, minis in [op.super_kmers(hashes.of(t.encode().split()), 35, heavy=heavy)] for m, n in zip(minis.tolist(), c.tolist(), strict=True) for _ in range(n)).values())
+    monkeypatch.setattr(op, "LOOKED_AT", 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    heavy = op.heavy_minimisers(docs.select("text", op.row_name().alias("row_key")).selectExpr("cast(text as binary) as text", "row_key"))
+    assert len(heavy) >= 1 and fullest(None) > 10_000 > 2000 > fullest(heavy)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in op.substring_dedup(docs).collect()), key=str)
+    assert got == brute(list(enumerate(texts)), 35)
+
+
+@pytest.mark.parametrize("window", [5, 35])
+def test_heavy_minimisers_change_no_result(spark, monkeypatch, window):
+    monkeypatch.setattr(op, "LOOKED_AT", 1)
+    monkeypatch.setattr(op, "HEAVY_WORDS", 1)
+    rows = rows_of(random.Random(window + 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in op.substring_dedup(docs, window).collect()), key=str) == brute(rows, window)
+
+
 def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(op, "mix", lambda x: np.zeros_like(x))
     ids = np.array([1, 2, 3, 4, 1, 2, 9, 9, 3, 4])
