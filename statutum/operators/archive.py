@@ -85,7 +85,7 @@ def volume_anomalies(runs: DataFrame, sources: DataFrame, last: int = RECENT_RUN
     """
     order = Window.partitionBy("source", "mode").orderBy("finished_at", "run_id").rowsBetween(-(last - 1), 0)
     done = runs.where("outcome = 'succeeded' and finished_at is not null").withColumn("average", F.avg("documents_seen").over(order))
-    seen = done.join(F.broadcast(sources), "source", "left") if "minimum" in sources.columns else done
+    seen = done.join(sources, "source", "left") if "minimum" in sources.columns else done
     low = F.coalesce(F.col("documents_seen") < F.col("minimum"), F.lit(False))
     fell = (F.col("average") >= 1.0) & (F.col("documents_seen") < share * F.col("average"))
     return seen.withColumn("anomaly", F.when(F.coalesce("unchanged", F.lit(False)), None).when(low, "below_minimum").when(fell, "below_average"))

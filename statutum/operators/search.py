@@ -61,21 +61,24 @@ def _statistics(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(with_words).alias("entries"), F.avg(with_words).alias("mean_length"))
 
 
-def title_scores(entries: DataFrame, queries: DataFrame, index: Index | DataFrame | None = None) -> DataFrame:
+def title_scores(entries: DataFrame, queries: DataFrame, index: Index | DataFrame | None = None, few: bool = False) -> DataFrame:
     """BM25 of titles: ``query, id, score, matched`` for ``queries(query, wanted array<string>)`` (a stem counts as often as it is asked).
 
     Only postings of stems that are asked for are kept before anything is shuffled for them, and partial sums are made by entry.
-    With ``index`` titles are not taken apart again (with postings alone, to count their lengths only). Without it they are once: what is kept of each entry, its length and its wanted
-    stems, is stored, and frequencies, lengths and scores are counted from that.
+    With ``index`` titles are not taken apart again (with postings alone, to count their lengths only). Without it, and with
+    ``few`` stems asked for, they are once: what is kept of each entry, its length and its wanted stems, is stored, and frequencies, lengths
+    and scores are counted from that. With many stems they are once for the postings and once for the lengths.
     """
     asked = queries.select("query", F.explode("wanted").alias("stem")).groupBy("query", "stem").agg(F.count(F.lit(1)).alias("times"))
     wanted = asked.select("stem").distinct()
-    if index is None:
+    if index is None and not few:
+        found, total = postings(entries, wanted), statistics(entries)
+    elif index is None:
         named = wanted.agg(F.collect_set("stem").alias("named"))  # the stems of the queries, in one row
         kept = F.filter("stems", lambda s: F.array_contains("named", s))
-        few = materialize(entries.select("id", "stems").join(F.broadcast(named)).select("id", F.size("stems").alias("length"), kept.alias("stems")), "titles")
-        found = few.select("id", "length", F.explode("stems").alias("stem")).groupBy("stem", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-        total = _statistics(few.select("length"))
+        short = materialize(entries.select("id", "stems").join(F.broadcast(named)).select("id", F.size("stems").alias("length"), kept.alias("stems")), "titles")
+        found = short.select("id", "length", F.explode("stems").alias("stem")).groupBy("stem", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
+        total = _statistics(short.select("length"))
     else:
         given = Index(entries, index, statistics(entries)) if isinstance(index, DataFrame) else index
         found, total = given.postings.join(wanted, "stem", "left_semi"), given.statistics
@@ -104,7 +107,7 @@ def search(entries: DataFrame, text: str | None, offset: int = 0, size: int = PA
     passed = keep(entries, **filters)
     if text:
         query = spark.range(1).select(F.lit(0).alias("query"), stems(F.lit(text)).alias("wanted"))
-        scores = title_scores(entries, query, index).select("id", (TITLE_BOOST * F.col("score")).alias("title_score"))
+        scores = title_scores(entries, query, index, few=True).select("id", (TITLE_BOOST * F.col("score")).alias("title_score"))
         rows = passed.join(scores, "id", "left").withColumn("named", F.array_contains(F.coalesce("identifiers", F.array().cast("array<string>")), text))
         matching = rows.where(F.col("title_score").isNotNull() | F.col("named"))
         matching = matching.withColumn("score", F.coalesce("title_score", F.lit(0.0)) + F.when(F.col("named"), 1.0).otherwise(0.0))

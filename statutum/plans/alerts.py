@@ -121,13 +121,13 @@ SELECT owner_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS boundary, mode = 'immediate
 
 
 def _waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders since 1998 as notifications that wait, raised at the hour their number names on the day before; urgent ones are critical."""
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz '1998-01-01'")
+    """Orders as notifications that wait, raised at the hour their number names on the day before; urgent ones are critical."""
+    o = table(spark, sf_dir, "orders")
     created = F.timestamp_add("MINUTE", (F.col("o_orderkey") % 1440).cast("int"), F.lit("2024-03-30 05:00:00").cast("timestamp"))
     return o.select(F.col("o_orderkey").alias("notification_id"), F.col("o_custkey").alias("owner_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "critical").otherwise("normal").alias("urgency"), created.alias("created_at"), F.lit("act").alias("subject_kind"), F.col("o_orderpriority").alias("subject"), F.col("o_orderstatus").alias("title"), F.lit("v").alias("value"))
 
 
-_WAITING = """waiting AS (SELECT o_orderkey AS notification_id, o_custkey AS owner_id, o_orderpriority = '1-URGENT' AS critical, TIMESTAMP '2024-03-30 05:00:00' + to_minutes(o_orderkey % 1440) AS created_at, o_orderpriority AS subject, o_orderstatus AS title FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01')"""
+_WAITING = """waiting AS (SELECT o_orderkey AS notification_id, o_custkey AS owner_id, o_orderpriority = '1-URGENT' AS critical, TIMESTAMP '2024-03-30 05:00:00' + to_minutes(o_orderkey % 1440) AS created_at, o_orderpriority AS subject, o_orderstatus AS title FROM orders)"""
 
 
 def _due(spark: SparkSession, sf_dir: str) -> DataFrame:

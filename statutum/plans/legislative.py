@@ -57,7 +57,7 @@ UNION ALL SELECT NULL, TRUE, stage, trunc(quantile_cont(seconds, 0.5))::BIGINT,
 
 
 def stage_pace_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = drafts(spark, sf_dir).select("initiator").distinct().crossJoin(F.broadcast(stages(spark, sf_dir).select("stage").distinct()))
+    wanted = drafts(spark, sf_dir).select("initiator").distinct().crossJoin(stages(spark, sf_dir).select("stage").distinct())
     return op.pace_or_fallback(wanted, _paces(spark, sf_dir), 60).select("initiator", "stage", "pace")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fetching
 from ..functions.text import stems
 from ..operators import alerts, legislative, matching, paging, writes
-from ..sources import gazette, government
+from ..sources import gazette, government, parliament
 from .search import STEMS
 from .tables import table
 
@@ -153,6 +153,22 @@ def delivery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 DELIVERY_COUNTS = "SELECT 'delivery' AS what, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'suppression', c_mktsegment, count(*) FROM customer GROUP BY 2"
 
 
+def declared_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three registers say they hold: nations as terms with their customers as prints, suppliers' years of lines as publishers' acts, priorities as project types."""
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("term")).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("c_acctbal") < 0).alias("n"))
+    terms = c.select("term", F.struct("count").alias("prints"))
+    listed = c.select("term", F.lit("proceeding").alias("kind"), "n")
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("code"), F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("total_count"))
+    o = table(spark, sf_dir, "orders").groupBy(F.lower("o_orderpriority").alias("list_type")).agg(F.count(F.lit(1)).alias("total_count"))
+    return parliament.declared_volumes(terms, listed).unionByName(gazette.declared_volumes(li)).unionByName(government.declared_volumes(o))
+
+
+DECLARED_VOLUMES = """WITH c AS (SELECT 'term' || c_nationkey AS p, count(*) AS n, count(*) FILTER (c_acctbal < 0) AS k FROM customer GROUP BY 1)
+SELECT 'sejm' AS source, p AS partition, 'print' AS kind, p || '/print/' AS prefix, n AS declared, TRUE AS authoritative FROM c UNION ALL SELECT 'sejm', p, 'proceeding', p || '/proceeding/', k, FALSE FROM c
+UNION ALL SELECT 'isap', l_suppkey || '/' || year(l_shipdate), 'act', l_suppkey || '/' || year(l_shipdate) || '/', count(*), TRUE FROM lineitem GROUP BY l_suppkey, year(l_shipdate)
+UNION ALL SELECT 'rcl', lower(o_orderpriority), 'project', 'projekt/' || lower(o_orderpriority) || '/', count(*), TRUE FROM orders GROUP BY o_orderpriority"""
+
+
 def stem_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' names as keywords: every distinct name is stemmed once and joined back."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.lit("keyword").alias("kind"), F.col("p_name").alias("value"))
@@ -194,6 +210,6 @@ SELECT CASE WHEN event_type = 'error' OR (event_type = 'signup' AND s = 200) THE
 
 QUERIES = {
     f.__name__: f
-    for f in (act_reader, act_edges, unmapped_labels, replaced_edges, search_page_items, publisher_cursor, lookback_window, backfill_partitions, html_cards, linkage_ratio, unmatched_prints, match_outcomes, delivery_counts, stem_memo, profile_versions, dropped_proceedings, fetch_outcomes)
+    for f in (act_reader, act_edges, unmapped_labels, replaced_edges, search_page_items, publisher_cursor, lookback_window, backfill_partitions, html_cards, linkage_ratio, unmatched_prints, match_outcomes, delivery_counts, declared_volumes, stem_memo, profile_versions, dropped_proceedings, fetch_outcomes)
 }
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

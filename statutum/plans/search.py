@@ -34,7 +34,7 @@ b AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents that a search finds."""
     query = spark.range(1).select(F.lit(0).alias("query"), F.array_distinct(stems(F.lit(_QUERY))).alias("wanted"))
-    return op.title_scores(_entries(spark, sf_dir), query).select(F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "matched")
+    return op.title_scores(_entries(spark, sf_dir), query, few=True).select(F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "matched")
 
 
 BM25_SCORES = f"WITH {_SCORED} SELECT doc_id, round(score, 6) AS score, matched FROM b"

@@ -82,6 +82,13 @@ def next_cursor(passes: DataFrame, published_through: Column, known_change: Colu
     )
 
 
+def declared_volumes(pages: DataFrame) -> DataFrame:
+    """How many acts a publisher says it has in a year, of ``pages(code, year, total_count)``, one or more pages each; binding."""
+    total = pages.groupBy("code", "year").agg(F.max("total_count").cast("long").alias("declared"))
+    partition = F.concat_ws("/", "code", F.col("year").cast("string"))
+    return total.select(F.lit("isap").alias("source"), partition.alias("partition"), F.lit("act").alias("kind"), F.concat(partition, F.lit("/")).alias("prefix"), "declared", F.lit(True).alias("authoritative"))
+
+
 def partitions(publishers: DataFrame, window_from: Column, window_to: Column) -> DataFrame:
     """Backfill partitions ``(code, year)`` of ``publishers(code, years)`` in a window, in order: newest year first, then code."""
     years = publishers.select("code", F.explode("years").alias("year")).where(F.col("year").between(F.year(window_from), F.year(window_to)))

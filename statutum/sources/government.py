@@ -288,6 +288,12 @@ def listing_entries(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.select(*kept, "total_count", "place", project.alias("project_id"), "r.title", "r.applicant", F.col("r.number").alias("register_number"), day_first_date(F.col("r.created")).alias("created_on"), day_first_date(F.col("r.modified")).alias("modified_on")).where("project_id is not null")
 
 
+def declared_volumes(listings: DataFrame) -> DataFrame:
+    """How many projects of a type the register says it has, of ``listings(list_type, total_count)``; binding."""
+    total = listings.groupBy("list_type").agg(F.max("total_count").cast("long").alias("declared"))
+    return total.select(F.lit("rcl").alias("source"), F.col("list_type").alias("partition"), F.lit("project").alias("kind"), F.concat(F.lit("projekt/"), "list_type", F.lit("/")).alias("prefix"), "declared", F.lit(True).alias("authoritative"))
+
+
 def pages_of(total: Column, page_size: Column) -> Column:
     return page_count(total, page_size)
 

@@ -101,6 +101,18 @@ def registers_changed(terms: DataFrame, last_changed: Column) -> DataFrame:
     return terms.where(F.col("current") & (stamp.isNull() | ~stamp.eqNullSafe(last_changed)))
 
 
+def declared_volumes(terms: DataFrame, listed: DataFrame) -> DataFrame:
+    """How much the register says it holds: ``source, partition, kind, prefix, declared, authoritative``.
+
+    ``terms(term, prints struct<count>)`` states prints, which is binding; ``listed(term, kind, n)`` are lengths of other lists, which
+    may be cut by the register, so they only warn.
+    """
+    stated = terms.select("term", F.lit("print").alias("kind"), F.col("prints.count").cast("long").alias("declared"), F.lit(True).alias("authoritative"))
+    rows = stated.unionByName(listed.select("term", "kind", F.col("n").cast("long").alias("declared"), F.lit(False).alias("authoritative")))
+    partition = F.concat(F.lit("term"), F.col("term").cast("string"))
+    return rows.where("declared is not null").select(F.lit("sejm").alias("source"), partition.alias("partition"), "kind", F.concat_ws("/", partition, "kind", F.lit("")).alias("prefix"), "declared", "authoritative")
+
+
 def backfill_chunk(rows: DataFrame, partition: str, order: str, after: Column, size: int) -> DataFrame:
     """The next ``size`` rows of each partition after a position, with ``done``: whether nothing is left behind them."""
     window = Window.partitionBy(partition)
