@@ -61,13 +61,24 @@ def row_name(id_col: str = "doc_id", text_col: str = "text"):
     return F.unhex(F.concat(*halves))
 
 
+#: Names that clusters give to stores, and pyarrow's for them; mounted ones are folders.
+SCHEMES, MOUNTED = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "wasb": "abfss", "wasbs": "abfss"}, {"dbfs": "/dbfs"}
+
+
+def place_of(uri: str) -> str:
+    """A location as pyarrow names it."""
+    scheme = urlparse(uri).scheme
+    if scheme in ("", "file") or scheme in MOUNTED:
+        return MOUNTED.get(scheme, "") + urlparse(uri).path
+    return SCHEMES.get(scheme, scheme) + uri[len(scheme) :]
+
+
 def filesystem(uri: str):
-    """A pyarrow file system and the path in it, for any scheme that pyarrow knows."""
+    """A pyarrow file system and the path in it, for local and mounted folders and the stores of ``SCHEMES`` and of pyarrow."""
     from pyarrow import fs
 
-    if urlparse(uri).scheme in ("", "file"):
-        return fs.LocalFileSystem(), urlparse(uri).path
-    return fs.FileSystem.from_uri(uri)
+    place = place_of(uri)
+    return (fs.LocalFileSystem(), place) if place.startswith("/") else fs.FileSystem.from_uri(place)
 
 
 def write_file(uri: str, chunks) -> int:

@@ -2,10 +2,11 @@
 
 Every record is its own gzip member, so a file can be entered at any member. A reading task scans its byte range for the
 gzip magic, takes a place as a record's start only if inflating there gives a WARC header, and owns the records that start
-inside its range; it reads on past the end of the range to finish the last one. A false magic inside compressed data
+inside its range; it reads on past the end of the range to finish the last one. A task that writes begins a new file when one has
+``FILE_BYTES``. A false magic inside compressed data
 fails to inflate to a header and is passed over. Ranges are as many as the bytes need, whatever the number of files.
 
-Payloads that are equal: the rows with the largest page_id hold the bytes (``response``), the others refer to that page
+Payloads that are equal (in SHA-256 and length; the SHA-1 that archives print names no payload here): the rows with the largest page_id hold the bytes (``response``), the others refer to that page
 (``revisit``, whose block is the HTTP header alone, with the payload's length in Content-Length). A null html is an empty
 payload, a null url an empty target, a null page_id is named ``null`` and refers or is referred to last. Equal rows that tie
 as largest are all responses. An empty table gives no archive and no rows.
@@ -17,6 +18,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, filesystem, shared_path, shuffle_partitions, write_file
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes a reading task owns; bytes read at once; bytes inflated to tell a record from chance; bytes of payload in a file, about.
-RANGE_BYTES, READ_BYTES, PROBE_BYTES = 8 << 20, 1 << 20, 64
+#: Bytes a reading task owns; bytes read at once; bytes inflated to tell a record from chance; bytes of a file, about.
+RANGE_BYTES, READ_BYTES, PROBE_BYTES, FILE_BYTES = 8 << 20, 1 << 20, 64, 1 << 30
 RECORD = "page_id {0}, payload_bytes long, payload_digest string, record_type string, refers_to {0}, target_uri string, payload binary, file string, offset long"
 
 
@@ -60,27 +62,32 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     spark = pages.sparkSession
     bounded_batches(spark)
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))
-    rows = pages.select("page_id", "url", html.alias("html")).withColumn("sha", F.sha1("html"))
-    owner = rows.groupBy("sha").agg(F.max("page_id").alias("owner"))
-    rows = rows.join(owner, "sha").select("page_id", "url", "html", "owner", (F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))).alias("revisit"))
+    rows = pages.select("page_id", "url", html.alias("html")).withColumns({"sha": F.unhex(F.sha2("html", 256)), "size": F.octet_length("html")})
+    owner = rows.groupBy("sha", "size").agg(F.max("page_id").alias("owner"))
+    rows = rows.join(owner, ["sha", "size"]).select("page_id", "url", "html", "owner", (F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name, count = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0
-
-        def members():
-            nonlocal count
-            for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "owner", "revisit")), strict=True):
-                    count += 1
-                    yield record(*row)
-
-        first = next(source := members(), None)
-        if first is None:
-            return
-        size = write_file(name, (x for part in ([first], source) for x in part))
-        yield pa.RecordBatch.from_pydict({"file": [name], "bytes": pa.array([size], pa.int64()), "records": pa.array([count], pa.int64())})
+        members = (record(*row) for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "owner", "revisit")), strict=True))
+        part, task = 0, TaskContext.get().partitionId()
+        count = size = 0
+
+        def file_of(first: bytes) -> Iterator[bytes]:
+            nonlocal count, size
+            count = size = 0
+            for member_ in chain([first], members):
+                count += 1
+                size += len(member_)
+                yield member_
+                if size >= FILE_BYTES:
+                    return
+
+        while (first := next(members, None)) is not None:
+            name = f"{folder}/part-{task:06d}-{part:04d}.warc.gz"
+            written = write_file(name, file_of(first))
+            yield pa.RecordBatch.from_pydict({"file": [name], "bytes": pa.array([written], pa.int64()), "records": pa.array([count], pa.int64())})
+            part += 1
 
     return rows.mapInArrow(run, "file string, bytes long, records long")
 

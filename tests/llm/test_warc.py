@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statutum.llm import warc
-from statutum.llm.common import filesystem
+from statutum.llm.common import filesystem, place_of
 from statutum.llm.queries import op2_warc
 
 SCHEMA = "page_id long, url string, html string, file string"
@@ -52,6 +52,21 @@ def test_members_are_plain_gzip_and_false_magic_is_passed_over(spark, tmp_path):
     assert sorted(r.page_id for r in warc.read_warc(spark, listed, range_bytes=700).collect()) == list(range(30))
 
 
+def test_full_files_are_followed_by_others(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 2000)
+    rows = [(i, f"http://x/{i}", f"page {i % 20} " * 30) for i in range(100)]
+    files = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), f"file://{tmp_path}/w").collect()
+    assert len(files) > 8 and len({f.file for f in files}) == len(files) and sum(f.records for f in files) == 100 and max(f.bytes for f in files) < 3500
+    listed = spark.createDataFrame([(f.file, f.bytes) for f in files], "file string, bytes long")
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_warc(spark, listed).collect()), key=str)
+    assert got == brute([(i, h) for i, _, h in rows])
+
+
+def test_places_of_stores():
+    for uri, place in (("s3a://b/x", "s3://b/x"), ("dbfs:/a/b", "/dbfs/a/b"), ("file:///a", "/a"), ("/a", "/a"), ("hdfs://h:1/a", "hdfs://h:1/a"), ("gs://b/a", "gs://b/a"), ("wasbs://c@a/x", "abfss://c@a/x")):
+        assert place_of(uri) == place
+
+
 def test_ids_of_other_types_and_no_pages(spark):
     rows = spark.createDataFrame([("a", "u", "x"), ("b", "u", "x")], "page_id string, url string, html string")
     assert {(r.page_id, r.refers_to) for r in warc.warc_round_trip(rows).collect()} == {("a", "b"), ("b", None)}
