@@ -7,7 +7,8 @@ numbers. About ``BLOCK_BYTES`` of entries make a block, compressed by itself and
 come a sparse index (first key, offset, length and entries of each block), a Bloom filter of the ids and a footer of fixed size
 with their places, the entry and id counts and a magic number. A look-up reads the footer, asks the Bloom filter, bisects the
 index and opens one block. Shards hold disjoint ranges of ids; a list of them with their first and last keys finds the
-shard.
+shard. A task begins a new shard when one has ``SHARD_BYTES``, never between equal ids. Documents of equal ids follow each other in order of
+their texts, so any layout of the input gives the same ids in the same places.
 
 Texts are encoded whole with the ``tokenizers`` library. Before a space that a non-space follows, byte-level BPE always
 starts a new pre-token, so a text is cut there and each distinct piece is encoded once and remembered (a bounded number of
@@ -34,6 +35,8 @@ from .common import bounded_batches, filesystem, materialize, shared_path, shuff
 END_ID = 0
 #: Bytes of ids in a block, about; bits of the Bloom filter for each entry; hashes in it; pieces remembered in a process.
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES, REMEMBERED = 256 << 10, 10, 7, 250_000
+#: Bytes of a shard, about.
+SHARD_BYTES = 512 << 20
 MAGIC = b"STATSST1"
 #: A space that no non-space follows: there a text is not cut.
 _ODD = re.compile(r" (?:\s|$)")
@@ -226,33 +229,35 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     spark = docs.sparkSession
     bounded_batches(spark)
     by_id = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    by_id = by_id.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    by_id = by_id.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder = _encoder(tokenizer)
-        shard, writer, ends = TaskContext.get().partitionId(), Writer(encoder.width), []
         end = np.array([end_id], encoder.kind).tobytes()
-        name = f"{folder}/shard-{shard:06d}.sst"
-
-        def chunks():
-            for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                for doc_id, raw in zip(ids, encoder.encode(batch.column("text").to_pylist()), strict=True):
-                    yield from writer.add(doc_id, raw + end)
-                ends.extend(ids[:1] if not ends else [])
-                ends[1:] = ids[-1:]
+        entries = (e for batch in batches for e in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True))
+        task, part, entry = TaskContext.get().partitionId(), 0, next(entries, None)
+
+        def chunks(writer: Writer, ends: list) -> Iterator[bytes]:
+            """A shard of the entries from the next one on; leaves the first that it does not take."""
+            nonlocal entry
+            while entry is not None:
+                doc_id, raw = entry
+                if ends and writer.at >= SHARD_BYTES and doc_id != ends[-1]:
+                    break
+                yield from writer.add(doc_id, raw + end)
+                ends[:] = [*ends[:1], doc_id]
+                entry = next(entries, None)
             yield from writer.close()
 
-        first = next(source := iter(batches), None)
-        if first is None:
-            return
-        batches = (x for part in ([first], source) for x in part)
-        write_file(name, chunks())
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], "entries": pa.array([writer.entries], pa.int64()), "ids": pa.array([writer.ids], pa.int64()), "first_id": pa.array(ends[:1], pa.int64()), "last_id": pa.array(ends[-1:], pa.int64())})
+        while entry is not None:
+            writer, ends, name = Writer(encoder.width), [], f"{folder}/shard-{task:06d}-{part:04d}.sst"
+            write_file(name, chunks(writer, ends))
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([(task << 20) + part], pa.int64()), "file": [name], "entries": pa.array([writer.entries], pa.int64()), "ids": pa.array([writer.ids], pa.int64()), "first_id": pa.array(ends[:1], pa.int64()), "last_id": pa.array(ends[-1:], pa.int64())})
+            part += 1
 
-    return materialize(by_id.mapInArrow(run, "shard int, file string, entries long, ids long, first_id long, last_id long"), "shards")
+    return materialize(by_id.mapInArrow(run, "shard long, file string, entries long, ids long, first_id long, last_id long"), "shards")
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -58,6 +58,30 @@ def test_null_and_equal_ids(spark, tokenizer):
     assert [s for s, _ in end] == [sum(n for _, n in end[:k]) for k in range(5)] and next(r for r in got if r.doc_id is None).start == 0
 
 
+def test_layouts_agree_where_ids_are_equal(spark, tokenizer):
+    """Documents of one id come in order of their texts, however the table is dealt out."""
+    rows = [(7, prose(random.Random(i % 5), 1 + i % 5)) for i in range(40)] + [(3, "x y"), (9, None)]
+    want = brute(tokenizer, sorted(rows, key=lambda r: (r[0], r[1] or "")))
+    for seed in (1, 2, 3):
+        shuffled = rows[:]
+        random.Random(seed).shuffle(shuffled)
+        docs = spark.createDataFrame(shuffled, "doc_id long, text string").repartition(seed + 1)
+        assert sorted((tuple(r) for r in op.token_round_trip(docs, tokenizer_path()).collect()), key=lambda r: r[1]) == want
+
+
+def test_full_shards_are_followed_by_others(spark, tokenizer, monkeypatch):
+    """A task writes several shards, in order, none of which parts equal ids."""
+    monkeypatch.setattr(op, "SHARD_BYTES", 0)
+    rng = random.Random(8)
+    rows = [(i // 3, prose(rng, 1 + i % 9)) for i in range(90)]
+    folder = shared_path(spark, "tokens")
+    shards = op.write_tables(spark.createDataFrame(rows, "doc_id long, text string"), folder, tokenizer_path())
+    listed = shards.orderBy("shard").collect()
+    assert len(listed) == 30 and [r.first_id for r in listed] == list(range(30)) == [r.last_id for r in listed] and {r.entries for r in listed} == {3}
+    want = brute(tokenizer, sorted(rows))
+    assert sorted((tuple(r) for r in op.read_tables(spark, shards).collect()), key=lambda r: r[1]) == want
+
+
 def test_no_documents(spark):
     assert op.token_round_trip(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
