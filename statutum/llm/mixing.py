@@ -4,13 +4,15 @@ Targets: the sources, ordered by code point with null last, weigh 3, 1, 2, repea
 a source's target stops at ``MOST`` times its own words and what is over is shared again by weight. Whole copies: every
 document is taken as often as its source's target holds all of the source. The rest of the target is filled by a Pareto
 sample: a document's inclusion probability grows with the ``POWER``-th power of its size and is scaled so that the expected
-words meet the rest; documents are ranked by ``odds(u) / odds(p)``, u being a hash of the id and the seed, and are taken in
+words meet the rest; documents whose probability would reach 1 are taken for certain, and the others' are scaled to what is left (sizes are
+grouped, so a source's window holds its distinct sizes); documents are ranked by ``odds(u) / odds(p)``, u being a hash of the id and the seed, and are taken in
 that order until the rest is reached, so that the sample's size in words is fixed up to one document.
 
 The order statistics are found without sorting a source: words are summed by source and bin of the rank, the running sums
 of the bins tell the bin in which the rest is reached, and only that bin's rows are ordered. A source may hold any share
-of the rows. A null or empty text has size 0 and is never sampled. Equal ids share u, ties go by size, then by chance of order;
-equal rows are told apart by nothing but take the same room. Sources without words have target 0.
+of the rows. A null or empty text has size 0 and is never sampled. Equal ids share u (a null id takes its text's hash instead), ties go by size, then by a hash of the text;
+equal rows are told apart by nothing but take the same room. Sources without words have target 0. Sources are ranked and shared out to in
+one task, one row for each: tens of thousands are no burden, a source for each host of a large crawl would be.
 """
 
 from __future__ import annotations
@@ -59,17 +61,37 @@ def mix(docs: DataFrame) -> DataFrame:
     return copies_of(sizes)
 
 
+def without_certain(sizes: DataFrame, goal: DataFrame) -> DataFrame:
+    """``goal`` with ``open_size``: larger documents are taken for certain, and ``rest`` and ``tempered_words`` are what is left without them.
+
+    In order of size, largest first, a size is certain if its probability, scaled to what is left without the larger ones, reaches 1; the
+    first that does not ends the row of certain ones.
+    """
+    by_size = sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("k"))
+    by_size = by_size.join(goal.where("rest > 0").select("s", "rest", "tempered_words"), by_size["source"].eqNullSafe(F.col("s")))
+    tempered = F.pow(F.col("size").cast("double"), F.lit(POWER))
+    larger = Window.partitionBy("s").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    words, weight = (F.coalesce(F.sum(x).over(larger), F.lit(0.0)) for x in (F.col("k") * F.col("size").cast("double"), F.col("k") * tempered * F.col("size")))
+    left = by_size.withColumn("left_words", F.col("rest") - words).withColumn("left_weight", F.col("tempered_words") - weight)
+    open_ = left.where(F.col("left_words") * tempered < F.col("left_weight") * (1 - 1e-9)).groupBy("s").agg(F.max(F.struct("size", "left_words", "left_weight")).alias("o"))
+    joined = goal.join(open_.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left")
+    return joined.select("s", "source_size", "target", "whole", F.coalesce("o.left_words", "rest").alias("rest"), F.coalesce("o.left_weight", "tempered_words").alias("tempered_words"), "n", F.coalesce("o.size", F.lit(1 << 62)).alias("open_size"))
+
+
 def copies_of(sizes: DataFrame) -> DataFrame:
-    """Copies for each row of ``sizes(doc_id, source, size, text_hash)``; the table is read three times and should be stored."""
+    """Copies for each row of ``sizes(doc_id, source, size, text_hash)``; the table is read four times and should be stored."""
     goal = targets(sizes.select("source", "size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = goal.withColumn("whole", F.floor(ratio + F.lit(1e-12)).cast("int")).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     goal = materialize(goal.select(F.col("source").alias("s"), "source_size", "target", "whole", "rest", "tempered_words", "n"), "goals")
+    goal = materialize(without_certain(sizes, goal), "open_goals")
     rows = sizes.join(goal, sizes["source"].eqNullSafe(F.col("s"))).drop("s")
-    u = (F.pmod(F.xxhash64(F.lit(SEED), F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    p = F.least(F.lit(0.98), F.greatest(F.lit(1e-9), F.col("rest") * F.pow(F.col("size").cast("double"), F.lit(POWER)) / F.nullif("tempered_words", F.lit(0.0))))
+    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(SEED), "text_hash")).otherwise(F.xxhash64(F.lit(SEED), "doc_id"))
+    u = (F.pmod(hashed, F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("rest") * F.pow(F.col("size").cast("double"), F.lit(POWER)) / F.nullif("tempered_words", F.lit(0.0))))
     rank = F.log(u / (1 - u)) - F.log(p / (1 - p))
-    rows = rows.withColumn("rank", F.when((F.col("size") > 0) & (F.col("rest") > 0), rank))
+    certain = (F.col("rest") > 0) & (F.col("size") > F.col("open_size"))
+    rows = rows.withColumn("whole", F.col("whole") + F.when(certain, 1).otherwise(0)).withColumn("rank", F.when((F.col("size") > 0) & (F.col("rest") > 0) & ~certain, rank))
     bins = F.greatest(F.lit(64), F.ceil(F.col("n") / F.lit(BIN_ROWS)))
     share = F.least(F.lit(0.98), F.greatest(F.lit(1e-9), F.try_divide("rest", "source_size")))
     middle = F.col("rank") + F.log(share / (1 - share))  # about the log odds of u: the logistic spreads it evenly
