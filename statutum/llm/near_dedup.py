@@ -150,30 +150,39 @@ def _by_key(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, owner, np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
 
 
-def _send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, owner, first = _by_key(batch)
-        size = np.diff(np.append(first, len(keys)))
-        crowded = np.repeat(size >= CROWD, size)
-        sent = ~crowded
-        sent[first] = True
-        who = owner[sent]
-        columns = {c: batch.column(c).to_numpy()[who] for c in ("doc_id", "s0", "s1")}
-        yield pa.RecordBatch.from_pydict({"key": keys[sent].view(np.int64), "crowd": crowded[sent], **columns})
-
-
-def _batch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _send_keys(crowd: int):
+    """Rows of members for the runs of their keys; of a crowd in a batch the first alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, owner, first = _by_key(batch)
+            size = np.diff(np.append(first, len(keys)))
+            crowded = np.repeat(size >= crowd, size)
+            sent = ~crowded
+            sent[first] = True
+            who = owner[sent]
+            columns = {c: batch.column(c).to_numpy()[who] for c in ("doc_id", "s0", "s1")}
+            yield pa.RecordBatch.from_pydict({"key": keys[sent].view(np.int64), "crowd": crowded[sent], **columns})
+
+    return run
+
+
+def _batch_links(crowd: int):
     """Links to the first of a crowd in a batch."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, owner, first = _by_key(batch)
-        size = np.diff(np.append(first, len(keys)))
-        ids = batch.column("doc_id").to_numpy()[owner]
-        crowded = np.repeat(size >= CROWD, size)
-        yield _pairs([ids[crowded]], [np.repeat(ids[first], size)[crowded]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, owner, first = _by_key(batch)
+            size = np.diff(np.append(first, len(keys)))
+            ids = batch.column("doc_id").to_numpy()[owner]
+            crowded = np.repeat(size >= crowd, size)
+            yield _pairs([ids[crowded]], [np.repeat(ids[first], size)[crowded]])
+
+    return run
 
 
 def _run_links(limit: int):
@@ -315,9 +324,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NU
     classes = some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("keys", "s0", "s1")).alias("f"))
     classes = materialize(classes.select("name", "doc_id", "f.keys", "f.s0", "f.s1"), "classes")
     members = classes.select("doc_id", "keys", "s0", "s1")
-    runs = members.mapInArrow(_send_keys, "key long, crowd boolean, doc_id long, s0 long, s1 long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    runs = members.mapInArrow(_send_keys(CROWD), "key long, crowd boolean, doc_id long, s0 long, s1 long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
     limit = sketch_limit(threshold, min(SKETCH, collections * rows))
-    links = members.mapInArrow(_batch_links, "a long, b long").unionByName(runs.mapInArrow(_run_links(limit), "a long, b long"))
+    links = members.mapInArrow(_batch_links(CROWD), "a long, b long").unionByName(runs.mapInArrow(_run_links(limit), "a long, b long"))
     family = components(links)
     sizes = family.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
     placed = family.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
