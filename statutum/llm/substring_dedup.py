@@ -65,6 +65,19 @@ def super_kmers(words: np.ndarray, window: int = WINDOW, m: int = MINIMISER, hea
     return starts, ends - starts, least[starts]
 
 
+def packed_strings(text: bytes | None, hashes: WordHashes, window: int, heavy: np.ndarray) -> tuple[list[bytes], list[int], np.ndarray]:
+    """The super-k-mers of a text as strings of words, where they start, and their minimisers."""
+    words = text.split() if text else []
+    if len(words) < window:
+        return [], [], np.empty(0, np.uint64)
+    starts, counts, minis = super_kmers(hashes.of(words), window, heavy=heavy)
+    whole = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # behind the space that follows each word
+    first = np.concatenate(([0], ends))[starts].tolist()
+    last = (ends[starts + counts + window - 2] - 1).tolist()
+    return [whole[a:b] for a, b in zip(first, last, strict=True)], starts.tolist(), minis
+
+
 def _weigh(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -92,10 +105,8 @@ def _pack(buckets: int, window: int, heavy: np.ndarray):
         for batch in batches:
             seen: dict[bytes, int] = {}
             for text in batch.column("text").to_pylist():
-                words = text.split() if text else []
-                starts, counts, minis = super_kmers(hashes.of(words), window, heavy=heavy)
-                for s, c, bucket in zip(starts.tolist(), counts.tolist(), (minis % np.uint64(buckets)).tolist(), strict=True):
-                    packed = b" ".join(words[s : s + c + window - 1])
+                strings, _, minis = packed_strings(text, hashes, window, heavy)
+                for packed, bucket in zip(strings, (minis % np.uint64(buckets)).tolist(), strict=True):
                     seen[packed] = -1 - bucket if packed in seen else bucket
             by: dict[int, list[bytes]] = {}
             for packed, bucket in seen.items():
@@ -154,24 +165,28 @@ def _count(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for _, rows in groups(batches, ["bucket"]):
-            number, seen, parts, flags = _Numbers(), {}, [], []
+            number, seen, numbers, flat, sizes, flags = _Numbers(), {}, [], [], [], []
             for blob in rows.column("blob"):
-                for packed in press.decompress(blob.as_py()).split(b"\n"):
-                    key = xxhash.xxh3_128_digest(packed[1:])
+                for marked in press.decompress(blob.as_py()).split(b"\n"):
+                    packed = marked[1:]
+                    key = xxhash.xxh3_128_digest(packed)
                     at = seen.get(key)
                     if at is not None:
                         flags[at] = True
                         continue
-                    seen[key] = len(parts)
-                    words = packed[1:].split(b" ")
-                    parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-                    flags.append(packed[:1] == b"2")
-            sizes = np.array([len(x) for x in parts])
+                    seen[key] = len(sizes)
+                    words = packed.split(b" ")
+                    flat += words
+                    sizes.append(len(words))
+                    flags.append(marked[:1] == b"2")
+                numbers.append(np.fromiter(map(number.__getitem__, flat), np.int32, len(flat)))
+                flat.clear()
+            sizes = np.array(sizes)
             counts = sizes - window + 1
             first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             edges = np.concatenate(([0], np.cumsum(counts)))
             starts = np.repeat(first - edges[:-1], counts) + np.arange(edges[-1])
-            hit = repeated_windows(np.concatenate(parts), starts, np.repeat(np.array(flags), counts), window)
+            hit = repeated_windows(np.concatenate(numbers), starts, np.repeat(np.array(flags), counts), window)
             some = np.flatnonzero(np.add.reduceat(hit, edges[:-1])).tolist()
             if some:
                 names = list(seen)
@@ -191,12 +206,10 @@ def _places(window: int, heavy: np.ndarray):
         for batch in batches:
             keys, ids, at = [], [], []
             for key, text in zip(batch.column("row_key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = text.split() if text else []
-                starts, counts, _ = super_kmers(hashes.of(words), window, heavy=heavy)
-                for s, c in zip(starts.tolist(), counts.tolist(), strict=True):
-                    keys.append(key)
-                    ids.append(xxhash.xxh3_128_digest(b" ".join(words[s : s + c + window - 1])))
-                    at.append(s)
+                strings, starts, _ = packed_strings(text, hashes, window, heavy)
+                keys += [key] * len(starts)
+                ids += map(xxhash.xxh3_128_digest, strings)
+                at += starts
             yield pa.RecordBatch.from_pydict({"row_key": pa.array(keys, pa.binary()), "packed_id": pa.array(ids, pa.binary()), "start": pa.array(at, pa.int32())})
 
     return run
