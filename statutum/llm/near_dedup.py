@@ -7,7 +7,7 @@ collections agree. ``layout`` takes as many collections as keep the chance to mi
 ``MISS``: at 0.85 those 16 of 4 (missed 1.4e-4; at 0.3 met with 8e-3), at 0.8 23 of 4.
 
 1. Rows with equal word sequences form a class; one member, the smallest id, goes on for it.
-2. Keys: a member sends its id and its sketch, two bits of each of 64 minhashes, to the sorted run of each of its keys. In a run only
+2. Keys: a member sends its id and its sketch, a bit of each of 64 minhashes, to the sorted run of each of its keys. In a run only
    those are linked whose sketches differ in no more places than all but ``SKETCH_MISS`` of the pairs at the threshold do, so
    that chance meetings link nothing. Where ``CROWD`` members of a map batch share a key, they are linked to the first of them without
    being asked, only that first one travels, and its run is linked as a whole, like any run of more than ``RUN`` members: a key of any
@@ -70,7 +70,7 @@ def shingle_set(words: list[bytes], hashes: WordHashes, n: int = SHINGLE) -> np.
 
 def sketch_limit(threshold: float, places: int) -> int:
     """Places in which the sketches of a pair at the threshold differ at most, but for a chance of ``SKETCH_MISS``."""
-    p, upto = (1 - threshold) * 3 / 4, 0.0  # two bits of unequal minhashes agree in a quarter of cases
+    p, upto = (1 - threshold) / 2, 0.0  # bits of unequal minhashes agree in half of the cases
     for k in range(places + 1):
         upto += math.comb(places, k) * p**k * (1 - p) ** (places - k)
         if 1 - upto <= SKETCH_MISS:
@@ -94,11 +94,10 @@ def collection_keys(shingles: np.ndarray, collections: int, rows: int) -> np.nda
     return ngram_hashes_rows(minhashes(shingles, collections * rows).reshape(collections, rows))
 
 
-def sketch(least: np.ndarray) -> tuple[int, int]:
-    """Two bits of each of the first minhashes, as two numbers."""
-    mixed = mix(least[:SKETCH])
-    bits = np.left_shift(np.uint64(1), np.arange(len(mixed), dtype=np.uint64))
-    return tuple(int(((mixed >> np.uint64(k) & np.uint64(1)) * bits).sum(dtype=np.uint64).view(np.int64)) for k in (0, 1))
+def sketch(least: np.ndarray) -> int:
+    """A bit of each of the first minhashes, as one number."""
+    mixed = mix(least[:SKETCH]) & np.uint64(1)
+    return int((mixed << np.arange(len(mixed), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
 
 
 def ngram_hashes_rows(rows: np.ndarray) -> np.ndarray:
@@ -126,9 +125,8 @@ def _sign(shingle: int, collections: int, rows: int):
                 sizes.append(len(found))
                 least = minhashes(found, collections * rows) if len(found) else None
                 keys.append(None if least is None else ngram_hashes_rows(least.reshape(collections, rows)).view(np.int64).tolist())
-                sketches.append((None, None) if least is None else sketch(least))
-            s0, s1 = zip(*sketches, strict=True) if sketches else ((), ())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "name": pa.array(names, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "s0": pa.array(s0, pa.int64()), "s1": pa.array(s1, pa.int64())})
+                sketches.append(None if least is None else sketch(least))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "name": pa.array(names, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.int64())})
 
     return run
 
@@ -163,7 +161,7 @@ def _send_keys(crowd: int):
             sent = ~crowded
             sent[first] = True
             who = owner[sent]
-            columns = {c: batch.column(c).to_numpy()[who] for c in ("doc_id", "s0", "s1")}
+            columns = {c: batch.column(c).to_numpy()[who] for c in ("doc_id", "sketch")}
             yield pa.RecordBatch.from_pydict({"key": keys[sent].view(np.int64), "crowd": crowded[sent], **columns})
 
     return run
@@ -194,7 +192,7 @@ def _run_links(limit: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "crowd", "doc_id", "s0", "s1")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "crowd", "doc_id", "sketch")]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             keys = held[0]
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -212,10 +210,10 @@ def _run_links(limit: int):
 
 def _links_of(rows: list[np.ndarray], first: np.ndarray, carried: tuple | None, limit: int) -> tuple[list[np.ndarray], list[np.ndarray], tuple | None]:
     """Links of whole runs, the last of which may go on if it is longer than ``RUN``."""
-    keys, crowd, ids, s0, s1 = rows
+    keys, crowd, ids, bits = rows
     if not len(keys):
         return [], [], carried
-    s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
+    bits = bits.view(np.uint64)
     size = np.diff(np.append(first, len(keys)))
     head = np.repeat(first, size)
     head_id = ids[head]
@@ -223,13 +221,13 @@ def _links_of(rows: list[np.ndarray], first: np.ndarray, carried: tuple | None,
     if carried is not None and keys[0] == carried[0]:
         head_id[: size[0]] = carried[1]
         whole[0] = True
-    apart = np.bitwise_count((s0 ^ s0[head]) | (s1 ^ s1[head]))
+    apart = np.bitwise_count(bits ^ bits[head])
     like = apart <= limit
     to_head = np.repeat(whole, size) | like
     a, b = [ids[to_head]], [head_id[to_head]]
     for k in np.flatnonzero(~np.logical_and.reduceat(like, first) & ~whole & (size > 2)).tolist():
         part = slice(first[k], first[k] + size[k])
-        i, j = np.nonzero(np.bitwise_count((s0[part, None] ^ s0[None, part]) | (s1[part, None] ^ s1[None, part])) <= limit)
+        i, j = np.nonzero(np.bitwise_count(bits[part, None] ^ bits[None, part]) <= limit)
         i, j = i[i < j], j[i < j]
         root = local_roots(size[k], i, j)
         a.append(ids[part])
@@ -319,12 +317,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NU
     threshold = numerator / denominator
     collections, rows = layout(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialize(docs.mapInArrow(_sign(shingle, collections, rows), "doc_id long, name binary, n_shingles long, keys array<long>, s0 long, s1 long"), "signatures")
+    signed = materialize(docs.mapInArrow(_sign(shingle, collections, rows), "doc_id long, name binary, n_shingles long, keys array<long>, sketch long"), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("keys", "s0", "s1")).alias("f"))
-    classes = materialize(classes.select("name", "doc_id", "f.keys", "f.s0", "f.s1"), "classes")
-    members = classes.select("doc_id", "keys", "s0", "s1")
-    runs = members.mapInArrow(_send_keys(CROWD), "key long, crowd boolean, doc_id long, s0 long, s1 long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
+    classes = some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("keys", "sketch")).alias("f"))
+    classes = materialize(classes.select("name", "doc_id", "f.keys", "f.sketch"), "classes")
+    members = classes.select("doc_id", "keys", "sketch")
+    runs = members.mapInArrow(_send_keys(CROWD), "key long, crowd boolean, doc_id long, sketch long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
     limit = sketch_limit(threshold, min(SKETCH, collections * rows))
     links = members.mapInArrow(_batch_links(CROWD), "a long, b long").unionByName(runs.mapInArrow(_run_links(limit), "a long, b long"))
     family = components(links)
