@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, licenses, mixing, near_dedup, secrets, substring_dedup, token_tables, toxicity, warc
+from . import conversation_trie, decontamination, embedding_dedup, licenses, mixing, near_dedup, quality, resampling, secrets, substring_dedup, token_tables, toxicity, warc
 from .common import table
 
 
@@ -64,7 +64,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_embedding_dedup, op4_decontamination, op5_toxicity, op6_license_scan, op7_secret_scan, op8_token_tables, op9_near_dedup, op10_mixing)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.branched_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_embedding_dedup, op4_decontamination, op5_toxicity, op6_license_scan, op7_secret_scan, op8_token_tables, op9_near_dedup, op10_mixing, op11_importance_resampling, op12_quality_rules, op13_conversation_trie)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -133,4 +145,58 @@ SELECT vec_id, coalesce(c, 0)::BIGINT AS n_links, coalesce(m, vec_id) AS compone
 FROM u LEFT JOIN c ON c.a = vec_id LEFT JOIN m ON m.a = vec_id
 """
 
-SQL = {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_near_dedup": OP9_SQL}
+#: The table of crc32 and the unsigned crc32 of every distinct string w of ``words``, byte by byte.
+CRC_SQL = """
+crc_table AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n)),
+crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(w)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS crc
+  FROM (SELECT w, hex(w) AS h FROM (SELECT DISTINCT w FROM words)), crc_table)"""
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT doc_id, unnest(ws) AS w FROM d), bw AS (SELECT unnest(ws) AS w FROM b), words AS (SELECT w FROM dw UNION ALL SELECT w FROM bw), {CRC_SQL},
+s AS (SELECT crc % 10000 AS k, count(*) AS s FROM dw JOIN crc USING (w) GROUP BY 1), t AS (SELECT crc % 10000 AS k, count(*) AS t FROM bw JOIN crc USING (w) GROUP BY 1),
+n AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS s_all, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS t_all),
+g AS (SELECT k, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (k), n),
+m AS (SELECT doc_id, floor(sum(gain) / count(*))::BIGINT AS weight FROM dw JOIN crc USING (w) JOIN g ON g.k = crc % 10000 GROUP BY doc_id),
+h AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS noise FROM d LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS r, count(*) OVER () AS n FROM h WHERE n_features >= 20)
+SELECT h.doc_id, n_features, weight, (weight + noise)::BIGINT AS score, CASE WHEN r <= 10 * n // 100 THEN r END::BIGINT AS rank FROM h LEFT JOIN r USING (doc_id)
+"""
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d), words AS (SELECT w FROM p), {CRC_SQL},
+c AS (SELECT doc_id, i, crc FROM p JOIN crc USING (w)),
+f AS (SELECT doc_id, (65599 + crc) % 10007 AS k FROM c
+  UNION ALL SELECT a.doc_id, ((131198 + a.crc) % 10007 * 65599 + z.crc) % 10007 FROM c a JOIN c z ON z.doc_id = a.doc_id AND z.i = a.i + 1),
+o AS (SELECT doc_id, k, count(*) AS n FROM f GROUP BY ALL), m AS (SELECT doc_id, sum(n)::BIGINT AS m FROM o GROUP BY doc_id),
+s AS (SELECT k, sum(n) AS s FROM o GROUP BY k), t AS (SELECT k, sum(n) AS t FROM o SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l USING (doc_id) GROUP BY k),
+n AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS s_all, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS t_all),
+g AS (SELECT doc_id, sum(n * floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all - m + 10007)) / ((s - n + 1)::DOUBLE * (t_all + 10007)))))::BIGINT AS ratio FROM o JOIN m USING (doc_id) JOIN s USING (k) LEFT JOIN t USING (k), n GROUP BY doc_id),
+w3 AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 2)) AS i, ws FROM d WHERE len(ws) > 2), k3 AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS k FROM w3),
+r3 AS (SELECT doc_id, k FROM k3 GROUP BY ALL HAVING count(*) > 1), c3 AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM k3 JOIN r3 USING (doc_id, k), generate_series(0, 2) AS j(j) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d), l2 AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY doc_id),
+q AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(l2.n, 0)::BIGINT AS n_dup_lines, coalesce(c3.n, 0)::BIGINT AS n_repeat_words, coalesce(m, 0)::BIGINT AS n_features, CASE WHEN t_all > 0 THEN coalesce(ratio, 0) ELSE 0 END::BIGINT AS ratio_sum
+  FROM d LEFT JOIN l2 USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN g USING (doc_id), n),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q)
+SELECT *, NOT base_failed AND ratio_sum >= -75 * n_features AS kept FROM v
+"""
+
+OP13_SQL = f"""
+WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+words AS (SELECT conv_id::VARCHAR AS w FROM o), {CRC_SQL},
+h AS (SELECT conv_id, o.w, crc % 6 AS h FROM o JOIN crc ON crc.w = conv_id::VARCHAR),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.w[1:h.h], []), h.w[h.h + 1:]) AS w FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 100),
+e AS (SELECT conv_id, w, unnest(generate_series(0, len(w))) AS d FROM r),
+p AS (SELECT conv_id, d, w[1:d] AS k, d = len(w) AS ends, CASE WHEN d = 0 THEN 0 ELSE length(w[d].t) END AS tokens FROM e),
+n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(tokens) AS tokens, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM p GROUP BY d, k),
+c AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+v AS (SELECT n.d AS at, n.k, (n_convs - 1) * tokens AS saved, n_children IS NULL AS leaf, unnest(generate_series(0, n.d)) AS d FROM n LEFT JOIN c ON c.d = n.d AND c.k = n.k),
+s AS (SELECT d, k[1:d] AS k, sum(saved) AS saved_tokens, count(*) FILTER (leaf) AS n_leaves FROM v GROUP BY 1, 2)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(n.ids) AS ends_sha256
+FROM n JOIN s ON s.d = n.d AND s.k = n.k LEFT JOIN c ON c.d = n.d AND c.k = n.k LEFT JOIN n u ON u.d = n.d - 1 AND u.k = n.k[1:n.d - 1]
+"""
+
+SQL = {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op9_near_dedup": OP9_SQL, "op11_importance_resampling": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_conversation_trie": OP13_SQL}
