@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import drop_folder
-from .search import Index, postings, statistics
+from .search import Index, numbered, posting_blocks, statistics
 
 BUCKETS = ("raw", "derived", "exports")
 #: Bytes of a file of blobs, about.
@@ -49,32 +49,40 @@ def publish_index(entries: DataFrame, root: str, name: str = "legislative_index"
     """Build an index beside the live one, then switch the stored alias to it; the folder of the new index.
 
     The alias is a table of versions, the newest of which is live: a version counts from the commit of its one row, by when all of its
-    tables are complete. Versions before the one that was live until then are removed, so searches that run keep their tables.
-    Entries are stored by kind with their stems, postings in ranges of stems, so a search for a few stems reads a few row groups, and
-    the numbers of all entries in one row: no search takes titles apart again. This session's views ``name`` and ``name_postings``
-    follow; other sessions ask for ``live_index``.
+    tables are complete. The version before is kept, so searches that run keep their tables; what is older goes, folders and rows of the alias.
+    Entries are stored by kind in order of their numbers, postings in blocks in ranges of stems, identifiers in their order, and
+    the numbers of all entries in one row: a search reads the row groups of its stems and blocks, and takes no title apart again. This session's views
+    ``name`` and ``name_postings`` follow; other sessions ask for ``live_index``.
     """
     spark, path = entries.sparkSession, f"{root}/{name}-{uuid.uuid4().hex}"
-    entries.write.partitionBy("kind").parquet(f"{path}/entries")
+    numbered(entries).sortWithinPartitions("kind", "number").write.partitionBy("kind").parquet(f"{path}/entries")
     stored = spark.read.parquet(f"{path}/entries")
-    postings(stored).repartitionByRange("stem").sortWithinPartitions("stem").write.parquet(f"{path}/postings")
     statistics(stored).write.parquet(f"{path}/statistics")
+    blocks = posting_blocks(stored, spark.read.parquet(f"{path}/statistics"))
+    blocks.repartitionByRange("stem", "block").sortWithinPartitions("stem", "block").write.parquet(f"{path}/postings")
+    names = stored.select(F.explode("identifiers").alias("identifier"), "id", "number")
+    names.repartitionByRange("identifier").sortWithinPartitions("identifier").write.parquet(f"{path}/names")
     before = _versions(spark, root, name)
     number = before[0][0] + 1 if before else 1
-    spark.createDataFrame([(number, path)], "version long, path string").coalesce(1).write.mode("append").parquet(f"{root}/{name}.alias")
-    for _, old in before[1:]:
+    spark.createDataFrame([(number, path, number)], _ALIAS).coalesce(1).write.mode("append").partitionBy("v").parquet(f"{root}/{name}.alias")
+    for version, old in before[1:]:
         drop_folder(spark, old)
+        drop_folder(spark, f"{root}/{name}.alias/v={version}")
     stored.createOrReplaceTempView(name)
     spark.read.parquet(f"{path}/postings").createOrReplaceTempView(f"{name}_postings")
     return path
 
 
+#: A row of an alias; its folder is named by the version, so that old ones can go one by one.
+_ALIAS = "version long, path string, v long"
+
+
 def _versions(spark: SparkSession, root: str, name: str) -> list[tuple[int, str]]:
-    """Versions of an index, the live one first."""
+    """Versions of an index, the live one first: two, and more only where a publication was cut short or several ran at once."""
     from pyspark.errors import AnalysisException
 
     try:
-        rows = spark.read.schema("version long, path string").parquet(f"{root}/{name}.alias").orderBy(F.col("version").desc(), "path").limit(1000).collect()
+        rows = spark.read.schema(_ALIAS).parquet(f"{root}/{name}.alias").orderBy(F.col("version").desc(), "path").collect()
     except AnalysisException as absent:
         if "PATH_NOT_FOUND" not in str(absent):
             raise
@@ -87,7 +95,7 @@ def live_index(spark: SparkSession, root: str, name: str = "legislative_index")
     found = _versions(spark, root, name)
     if not found:
         raise FileNotFoundError(f"no index {name} is published under {root}")
-    return Index(*(spark.read.parquet(f"{found[0][1]}/{t}") for t in ("entries", "postings", "statistics")))
+    return Index(*(spark.read.parquet(f"{found[0][1]}/{t}") for t in ("entries", "postings", "statistics", "names")))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

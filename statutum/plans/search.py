@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ENDINGS, LEGAL_FORMS, STOP_WORDS, highlight, holds_all, stems
 from ..operators import search as op
 from ..operators import sinks
-from ..storage import shared_path
+from ..storage import shared_dir, shared_path
 from .tables import table
 
 _QUERY = "ention edtion ustawami queque thintion"
@@ -19,6 +19,19 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("kind"), F.col("source").alias("stage"), F.lit(None).cast("string").alias("initiator"), F.lit(None).cast("string").alias("act_type"), F.coalesce("text", F.lit("")).alias("title"), F.lit(None).cast("string").alias("eli"), F.array(F.concat(F.lit("no"), F.col("doc_id").cast("string"))).alias("identifiers")).withColumn("stems", stems(F.col("title")))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> op.Index:
+    """The documents' published index, which all searches of a session share; it is published anew where a file of the table has changed."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/documents.parquet").select(F.xxhash64("path", "length", "modificationTime").alias("h"))  # no contents are read
+    stamp = files.agg(F.bit_xor("h")).first()[0]
+    root = f"{shared_dir(spark)}/statutum/indexes-{spark.sparkContext.applicationId}"
+    name = f"documents_{stamp & 0xFFFFFFFFFFFFFFFF:016x}"
+    try:
+        return sinks.live_index(spark, root, name)
+    except FileNotFoundError:
+        sinks.publish_index(_entries(spark, sf_dir), root, name)
+        return sinks.live_index(spark, root, name)
+
+
 _FORMS = {w: root for root, many in LEGAL_FORMS.items() for w in many.split()}
 _STEM = f"coalesce(map {{{', '.join(repr(k) + ': ' + repr(v) for k, v in _FORMS.items())}}}[w], regexp_replace(w, '^(.{{3,}}?)(?:{'|'.join(dict.fromkeys(ENDINGS))})$', '\\1'))"
 STEMS = r"list_transform(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND NOT list_contains([" + ", ".join(repr(w) for w in STOP_WORDS) + "], w)), lambda w: " + _STEM.replace("{", "{{").replace("}", "}}") + ")"
@@ -34,7 +47,8 @@ b AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents that a search finds."""
     query = spark.range(1).select(F.lit(0).alias("query"), F.array_distinct(stems(F.lit(_QUERY))).alias("wanted"))
-    return op.title_scores(_entries(spark, sf_dir), query, few=True).select(F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "matched")
+    index = _index(spark, sf_dir)
+    return op.title_scores(index.entries, query, index).select(F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "matched")
 
 
 BM25_SCORES = f"WITH {_SCORED} SELECT doc_id, round(score, 6) AS score, matched FROM b"
@@ -42,7 +56,8 @@ BM25_SCORES = f"WITH {_SCORED} SELECT doc_id, round(score, 6) AS score, matched
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best twenty English documents, by title or number."""
-    hits = op.search(_entries(spark, sf_dir), _QUERY, kinds=("en",))["hits"]
+    index = _index(spark, sf_dir)
+    hits = op.search(index.entries, _QUERY, kinds=("en",), index=index)["hits"]
     return hits.select("id", F.round("score", 6).alias("score"))
 
 
@@ -62,7 +77,8 @@ PUBLISHED_SEARCH = BM25_SEARCH
 
 
 def search_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.search(_entries(spark, sf_dir), _QUERY)["facets"]
+    index = _index(spark, sf_dir)
+    return op.search(index.entries, _QUERY, index=index)["facets"]
 
 
 SEARCH_FACETS = f"""WITH {_SCORED}, f AS (SELECT 'kind' AS field, lang AS value, count(*) AS n FROM b JOIN e USING (doc_id) GROUP BY 2 UNION ALL SELECT 'stage', source, count(*) FROM b JOIN e USING (doc_id) GROUP BY 2)
@@ -70,7 +86,8 @@ SELECT * FROM f WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY
 
 
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.search(_entries(spark, sf_dir), _QUERY)["total"]
+    index = _index(spark, sf_dir)
+    return op.search(index.entries, _QUERY, index=index)["total"]
 
 
 SEARCH_TOTAL = f"WITH {_SCORED} SELECT count(*) AS total FROM b"
@@ -88,7 +105,8 @@ SELECT * FROM f WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY
 def phrase_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text has all words of a phrase, the best ten."""
     words = spark.range(1).select(F.lit("the and of").alias("value"), stems(F.lit("the and of")).alias("wanted"))
-    return op.titles_matching(_entries(spark, sf_dir), words, 10).select("value", F.col("entry_kind").alias("kind"), "id")
+    index = _index(spark, sf_dir)
+    return op.titles_matching(index.entries, words, 10, index).select("value", F.col("entry_kind").alias("kind"), "id")
 
 
 PHRASE_AND = f"WITH {_SCORED.replace(_QUERY, 'the and of')} SELECT 'the and of' AS value, lang AS kind, doc_id::VARCHAR AS id FROM b JOIN e USING (doc_id) WHERE matched = (SELECT count(*) FROM q) QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 10"

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of the run that is open, if there is one.
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
@@ -25,7 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/statutum/{name}-{uuid.uuid4().hex}"
+    return f"{_RUN.get() or shared_dir(spark) + '/statutum'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """One folder for all tables that operators store meanwhile; it goes when the run is over, so results are to be written or read before."""
+    path = shared_path(spark, "run")
+    held = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(held)
+        drop_folder(spark, path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
