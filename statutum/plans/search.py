@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ENDINGS, LEGAL_FORMS, STOP_WORDS, highlight, holds_all, stems
+from ..functions.word_forms import word_forms
+from ..operators import analysis, sinks
 from ..operators import search as op
-from ..operators import sinks
-from ..storage import shared_dir, shared_path
+from ..storage import materialize, shared_dir, shared_path
 from .tables import table
 
 _QUERY = "ention edtion ustawami queque thintion"
@@ -156,5 +157,26 @@ def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 INDEX_ENTRIES = """SELECT 'act:' || o_orderkey AS id, 'act' AS kind, o_orderpriority AS title, 'DU/' || o_orderkey AS eli, NULL AS initiator, 'DU/' || o_orderkey AS identifier, o_orderkey::VARCHAR AS own_id FROM orders
 UNION ALL SELECT 'draft:' || c_custkey, 'draft', c_name, NULL, c_mktsegment, c_name, c_custkey::VARCHAR FROM customer"""
 
-QUERIES = {f.__name__: f for f in (bm25_scores, bm25_search, published_search, search_facets, search_total, facets, phrase_and, browse_filter, title_stems, title_highlight, stems_subset, index_entries)}
+def learned_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents in letters alone, stemmed by rules learned from the library's word list: number of words and digest for each document."""
+    words = F.filter(F.split(F.lower(F.col("title")), r"[^\p{L}]+"), lambda w: w != "")
+    rules = materialize(analysis.edit_commands(analysis.known_forms(spark)), "rules")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("title"))
+    done = analysis.analysed(texts, rules, words)
+    return done.select("id", F.size("stems").cast("long").alias("n"), F.sha2(F.array_join("stems", " "), 256).alias("stems_sha256"))
+
+
+#: Learns from the list by itself: votes of suffixes, the most frequent command, the longest suffix.
+LEARNED_STEMS = rf"""WITH pairs AS (SELECT * FROM (VALUES {", ".join(f"('{f}', '{m}')" for f, m in word_forms())}) t(form, lemma)),
+c AS (SELECT form, lemma, (SELECT max(i) FROM range(0, least(length(form), length(lemma)) + 1) r(i) WHERE left(form, i) = left(lemma, i)) AS shared FROM pairs),
+v AS (SELECT form, length(form) - shared AS cut, substr(lemma, shared + 1) AS put, unnest(generate_series(greatest(1, length(form) - shared), least(8, length(form)))) AS n FROM c),
+g AS (SELECT right(form, n) AS suffix, cut, put, count(*) AS votes FROM v GROUP BY ALL), r AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY votes DESC, cut, put) = 1),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}]+'), lambda w: w <> '' AND NOT list_contains([{", ".join(repr(w) for w in STOP_WORDS)}], w)) AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+u AS (SELECT DISTINCT w FROM t), e AS (SELECT w, unnest(generate_series(1, least(8, length(w)))) AS n FROM u),
+b AS (SELECT w, arg_max(left(w, length(w) - cut) || put, n) AS stem FROM e JOIN r ON suffix = right(w, n) WHERE length(w) - cut >= 2 GROUP BY w),
+s AS (SELECT doc_id, list(coalesce(stem, w) ORDER BY i) AS s FROM t LEFT JOIN b USING (w) GROUP BY doc_id)
+SELECT doc_id::VARCHAR AS id, coalesce(len(s), 0)::BIGINT AS n, sha256(array_to_string(coalesce(s, []), ' ')) AS stems_sha256 FROM d LEFT JOIN s USING (doc_id)"""
+
+QUERIES = {f.__name__: f for f in (bm25_scores, bm25_search, published_search, search_facets, search_total, facets, phrase_and, browse_filter, title_stems, title_highlight, stems_subset, learned_stems, index_entries)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}
