@@ -23,13 +23,19 @@ from ..sources import gazette, government, parliament
 
 def stored(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
     """A table of batch folders, as batches before a number left it; an empty one if nothing was written yet."""
+    table = stored_batches(spark, path, schema)
+    return (table if before is None else table.where(F.col("batch") < before)).drop("batch")
+
+
+def stored_batches(spark: SparkSession, path: str, schema: str = "") -> DataFrame:
+    """A table of batch folders with the column ``batch``."""
+    schema = f"{schema}, batch long" if schema else "batch long"
     try:
-        table = spark.read.schema(f"{schema}, batch long").parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as absent:
         if "PATH_NOT_FOUND" not in str(absent):
             raise
         return spark.createDataFrame([], schema)
-    return (table if before is None else table.where(F.col("batch") < before)).drop("batch")
 
 
 def put_batch(rows: DataFrame, path: str, batch: int) -> None:

@@ -1,6 +1,7 @@
 """Streams give what batches give, however the input is split, and repeated batches change nothing."""
 
 import json
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,7 +11,7 @@ from statutum.functions import dates
 from statutum.operators import alerts, archive, writes
 from statutum.sources import landing
 from statutum.streaming import alerts as live
-from statutum.streaming import chain
+from statutum.streaming import chain, keyed
 
 from .test_sources import CARD, PROCESS, land
 
@@ -112,3 +113,46 @@ def test_windows_of_owners_clocks_equal_the_batch(spark, tmp_path, mode):
 def test_streamed_payloads_are_json(spark):
     assert json.loads(json.dumps(PROCESS))["term"] == 10
     assert writes.drop_unnumbered_proceedings(spark.createDataFrame([("term1/proceeding/0",), ("term1/proceeding/10",), (None,)], "external_id string")).count() == 2
+
+
+def archive_batches(spark, folder, parts):
+    schema = "source string, external_id string, payload binary, landed_at timestamp"
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_keyed_archive_equals_the_chain(spark, tmp_path):
+    """Seeded from a stored archive, batch by batch, then again from its checkpoint: what ``new_documents`` archives, and no more when it runs again."""
+    live.use_rocksdb(spark)
+    at = lambda k: datetime(2026, 1, 1) + timedelta(minutes=k)
+    old = [("s", "a", b"1", at(0)), ("s", "b", b"2", at(1)), (None, "n", b"0", at(1))]
+    schema = "source string, external_id string, payload binary, arrival timestamp"
+    path = str(tmp_path / "raw")
+    chain.put_batch(archive.new_documents(chain.stored(spark, path, chain.RAW), spark.createDataFrame(old, schema)), path, 0)
+    parts = [[("s", "a", b"1", at(9)), ("s", "a", b"3", at(12)), ("s", "a", b"3", at(11)), ("s", "c", b"1", at(10))], [("s", "b", b"2", at(20)), ("s", "c", b"4", at(21)), ("t", "a", b"1", at(22)), (None, "n", b"0", at(22))]]
+    run(keyed.archive_stream(archive_batches(spark, tmp_path / "in", parts), path, str(tmp_path / "c")))
+    held = chain.read_archive(spark, path).select("source", "external_id", "payload", "arrival")
+    want = archive.new_documents(spark.createDataFrame([], chain.RAW), spark.createDataFrame(old + sum(parts, []), schema)).select("source", "external_id", "payload", "arrival")
+    key = lambda frame: sorted(((r.source, r.external_id, bytes(r.payload), r.arrival) for r in frame.collect()), key=str)
+    assert key(held) == key(want) and held.count() == 7
+    later = [("s", "c", b"4", at(30)), ("s", "d", b"5", at(31))]
+    run(keyed.archive_stream(archive_batches(spark, tmp_path / "in", [later]), path, str(tmp_path / "c")))
+    assert chain.read_archive(spark, path).count() == 8
+    assert keyed.first_batch(spark, path, str(tmp_path / "c")) == 1 and keyed.first_batch(spark, path, str(tmp_path / "d")) == 4
+
+
+def test_keyed_archive_after_a_fault(spark, tmp_path):
+    """A first batch that was written but not committed runs again: its seed is the archive before it, and nothing is lost or twice there."""
+    live.use_rocksdb(spark)
+    path, at = str(tmp_path / "raw"), datetime(2026, 1, 1)
+    schema = "source string, external_id string, payload binary, arrival timestamp"
+    chain.put_batch(archive.new_documents(chain.stored(spark, path, chain.RAW), spark.createDataFrame([("s", "a", b"1", at)], schema)), path, 0)
+    stream = archive_batches(spark, tmp_path / "in", [[("s", "a", b"1", at), ("s", "a", b"2", at), ("s", "b", b"3", at)]])
+    run(keyed.archive_stream(stream, path, str(tmp_path / "c")))
+    want = sorted(tuple(r) for r in chain.read_archive(spark, path).select("external_id", "content_hash").collect())
+    assert len(want) == 3
+    shutil.rmtree(tmp_path / "c" / "commits")  # as if it had failed after writing
+    shutil.rmtree(tmp_path / "c" / "state")
+    run(keyed.archive_stream(stream, path, str(tmp_path / "c")))
+    assert sorted(tuple(r) for r in chain.read_archive(spark, path).select("external_id", "content_hash").collect()) == want
