@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,23 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of any store that Spark knows."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Names that clusters give to stores, and pyarrow's for them; mounted ones are folders.
+SCHEMES, MOUNTED = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "wasb": "abfss", "wasbs": "abfss"}, {"dbfs": "/dbfs"}
+
+
+def place_of(uri: str) -> str:
+    """A location as pyarrow names it."""
+    scheme = urlparse(uri).scheme
+    if scheme in ("", "file") or scheme in MOUNTED:
+        return MOUNTED.get(scheme, "") + urlparse(uri).path.rstrip("/")
+    return SCHEMES.get(scheme, scheme) + uri[len(scheme) :].rstrip("/")
+
+
+def filesystem(uri: str):
+    """A pyarrow file system and the path in it, for local and mounted folders and the stores of ``SCHEMES`` and of pyarrow."""
+    from pyarrow import fs
+
+    place = place_of(uri)
+    return (fs.LocalFileSystem(), place) if place.startswith("/") else fs.FileSystem.from_uri(place)
