@@ -1,16 +1,18 @@
 """Quality rules: plain counts of a text, and a log-likelihood ratio of hashed n-grams between trusted texts and the raw corpus.
 
 The trusted texts (labelled of good quality) and the raw corpus (all texts) are each a multinomial over ``BUCKETS`` buckets of hashed runs of one
-and two words. A text's score is the mean, over its features, of the log ratio of the two smoothed multinomials in floored thousandths: long and
-short texts are measured alike. The counts of the raw corpus are those of all other texts, a text's own being taken out, so that rare words of
+and two words. A text's score is the mean, over its features, of the log ratio of the two in floored thousandths: long and
+short texts are measured alike. The raw multinomial is smoothed by one feature in each bucket; the trusted one by the raw one, as if ``BUCKETS`` more trusted features
+were drawn from it, so that few trusted texts say little and none say nothing. The counts of the raw corpus are those of all other texts, a text's own being taken out, so that rare words of
 a small corpus don't speak against the only text that has them. A text is kept if its score is not under ``THRESHOLD``; no chance takes part, and every
 text is judged, in the task that reads it.
 
-Counts are taken over all texts, and over all trusted texts; arrays of ``BUCKETS`` numbers are all that reaches the driver. Finding trusted
-texts is a join on the id; labels are as many as they are.
+Counts are taken over all texts, and over all trusted texts; arrays of ``BUCKETS`` numbers are all that reaches the driver. Trusted texts are found by a join on
+the id. So that not all texts travel for it, those whose id's hash has no bit among the ``SPREAD`` bits of trusted ids, a table of bounded size
+that every task gets, are passed over where they are read; the join then decides about the others, by sorting whatever the sizes are.
 
 Null and empty texts have counts of 0 and fail the base rules. Rows with null ids are judged, but never trusted. Rows with one id are trusted together, an id
-labelled more than once counts once. Without trusted texts the ratio has no verdict and base rules alone decide. Equal rows give equal rows. An empty
+labelled more than once counts once. Without trusted texts every ratio is 1 and base rules alone decide. Equal rows give equal rows. An empty
 table gives no rows. Very long texts are read whole, one at a time. Other columns are ignored, whatever their names.
 """
 
@@ -30,6 +32,8 @@ from .common import bounded_batches
 GRAMS, BUCKETS, STEP, THRESHOLD = 2, 10_007, 65_599, -75
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
+#: Bits of the table that passes over texts without a trusted id, a power of two: 8 MB of masks at most.
+SPREAD = 1 << 25
 #: Base rules: fewest words; a text fails if more than so many words in a hundred are in windows found twice.
 LEAST_WORDS, WINDOW, REPEATED = 50, 3, 50
 SYMBOLS = b"#*$%&|<>"
@@ -108,11 +112,21 @@ def feature_counts(docs: DataFrame, grams: int = GRAMS, buckets: int = BUCKETS)
     return counts
 
 
+def trusted_texts(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``good(doc_id)``."""
+    good = good.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).where("doc_id is not null").distinct()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    masks = good.groupBy(F.shiftright(place, 6).alias("word_")).agg(F.bit_or(bit).alias("mask_"))
+    near = docs.join(F.broadcast(masks), F.shiftright(place, 6) == F.col("word_")).where(F.col("mask_").bitwiseAND(bit) != 0)
+    return near.select("doc_id", "text").join(good.hint("merge"), "doc_id")  # ids are distinct; a semi-join would be moved below the masks
+
+
 def ratio_sum(features: np.ndarray, raw: np.ndarray, trusted: np.ndarray) -> int:
     """Sum over features of the floored log ratio in thousandths, the text's own features taken out of the raw counts."""
     bucket, own = np.unique(features, return_counts=True)
-    others = (raw[bucket] - own).astype(float)
-    ratio = ((trusted[bucket] + 1.0) * (float(raw.sum() - len(features)) + len(raw))) / ((others + 1.0) * (float(trusted.sum()) + len(raw)))
+    rarity = (float(raw.sum() - len(features)) + len(raw)) / ((raw[bucket] - own).astype(float) + 1.0)
+    ratio = (trusted[bucket] * rarity + len(raw)) / (float(trusted.sum()) + len(raw))
     return int((np.floor(1000 * np.log(ratio)).astype(np.int64) * own).sum())
 
 
@@ -123,18 +137,17 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, gram
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    raw, trusted = feature_counts(docs, grams, buckets), feature_counts(docs.where("doc_id is not null").join(good, "doc_id", "left_semi"), grams, buckets)
+    raw, trusted = feature_counts(docs, grams, buckets), feature_counts(trusted_texts(docs, labels.where("quality = 1")), grams, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, some = _Crc(), trusted.any()
+        known = _Crc()
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 text = text or b""
                 words = text.split()
                 found = features_of(words, known, grams, buckets)
-                total = ratio_sum(found, raw, trusted) if len(found) and some else 0
+                total = ratio_sum(found, raw, trusted) if len(found) else 0
                 repeats = repeated_words(words)
                 failed = len(words) < LEAST_WORDS or 100 * repeats > REPEATED * len(words)
                 symbols = len(text) - len(text.translate(None, SYMBOLS))

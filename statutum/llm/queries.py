@@ -173,13 +173,13 @@ f AS (SELECT doc_id, (65599 + crc) % 10007 AS k FROM c
 o AS (SELECT doc_id, k, count(*) AS n FROM f GROUP BY ALL), m AS (SELECT doc_id, sum(n)::BIGINT AS m FROM o GROUP BY doc_id),
 s AS (SELECT k, sum(n) AS s FROM o GROUP BY k), t AS (SELECT k, sum(n) AS t FROM o SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l USING (doc_id) GROUP BY k),
 n AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS s_all, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS t_all),
-g AS (SELECT doc_id, sum(n * floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all - m + 10007)) / ((s - n + 1)::DOUBLE * (t_all + 10007)))))::BIGINT AS ratio FROM o JOIN m USING (doc_id) JOIN s USING (k) LEFT JOIN t USING (k), n GROUP BY doc_id),
+g AS (SELECT doc_id, sum(n * floor(1000 * ln((coalesce(t, 0)::DOUBLE * ((s_all - m + 10007) / (s - n + 1)::DOUBLE) + 10007) / (t_all + 10007))))::BIGINT AS ratio FROM o JOIN m USING (doc_id) JOIN s USING (k) LEFT JOIN t USING (k), n GROUP BY doc_id),
 w3 AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 2)) AS i, ws FROM d WHERE len(ws) > 2), k3 AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS k FROM w3),
 r3 AS (SELECT doc_id, k FROM k3 GROUP BY ALL HAVING count(*) > 1), c3 AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM k3 JOIN r3 USING (doc_id, k), generate_series(0, 2) AS j(j) GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d), l2 AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY doc_id),
 q AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  coalesce(l2.n, 0)::BIGINT AS n_dup_lines, coalesce(c3.n, 0)::BIGINT AS n_repeat_words, coalesce(m, 0)::BIGINT AS n_features, CASE WHEN t_all > 0 THEN coalesce(ratio, 0) ELSE 0 END::BIGINT AS ratio_sum
-  FROM d LEFT JOIN l2 USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN g USING (doc_id), n),
+  coalesce(l2.n, 0)::BIGINT AS n_dup_lines, coalesce(c3.n, 0)::BIGINT AS n_repeat_words, coalesce(m, 0)::BIGINT AS n_features, coalesce(ratio, 0)::BIGINT AS ratio_sum
+  FROM d LEFT JOIN l2 USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN g USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q)
 SELECT *, NOT base_failed AND ratio_sum >= -75 * n_features AS kept FROM v
 """
