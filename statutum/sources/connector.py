@@ -3,7 +3,7 @@
 Pages land in folders by hour, source and chunk (a term, a publisher's year, a list): ``root/2026-01-31T09/sejm/term10/address.json``. When an hour is
 over its writer puts the file ``_closed`` into the hour's folder, and nothing lands there any more. The stream's offset is the last closed hour that
 was read, so it remembers no names of files: a trigger lists folders of hours after it, and tasks list the files of their own chunk. A batch
-that fails is read again from the same two hours; the cursor is committed when a batch is done. Hours are taken in order, up to the first one that is
+that fails is read again from the same two hours; the cursor is committed when a batch is done, which Spark says when it begins the next. Hours are taken in order, up to the first one that is
 still open.
 
 A chunk of an hour is dealt to ``split`` tasks by a hash of the files' names, so a source that lands a third of all pages in one chunk is not one task's work.
@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +86,31 @@ def read(spark: SparkSession, root: str, source: str | None = None) -> DataFrame
     return spark.read.format(LandedHours.name()).options(**given).load()
 
 
+def land(rows: DataFrame, root: str) -> int:
+    """Write pages ``(hour, source, chunk, external_id, payload)`` as files of their hours, each whole or absent; their number.
+
+    A task that runs again writes the same files. Hours are closed by ``close_hour``.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = filesystem(root)
+        n = 0
+        for batch in batches:
+            for hour, source, chunk, address, payload in zip(*(batch.column(c).to_pylist() for c in ("hour", "source", "chunk", "external_id", "payload")), strict=True):
+                folder = f"{path}/{hour}/{quote(source, safe='')}/{quote(chunk, safe='')}"
+                system.create_dir(folder, recursive=True)
+                name = f"{folder}/{quote(address, safe='')}.json"
+                part = f"{folder}/_{zlib.crc32(name.encode()):08x}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(payload or b"")
+                system.move(part, name)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    pages = rows.select("hour", "source", "chunk", "external_id", F.col("payload").cast("binary").alias("payload"))
+    return pages.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def close_hour(root: str, hour: str) -> None:
     """Say that nothing lands in an hour's folder any more."""
     system, path = filesystem(root)

@@ -1,64 +1,24 @@
 """The archive link with keyed state: what is held already is known by key, so a batch reads nothing of the archive.
 
-The state of a (source, address) is the set of content hashes archived for it, one row each in RocksDB. A new stream is seeded from the stored
-archive in its first batch (``initialState``), by hashes alone; after that a batch costs what it brings. What a batch archives and what its state
-remembers are committed together, and its folder is replaced when it runs again.
+The state is Spark's own for ``dropDuplicates``, a row in RocksDB for each (source, address, content hash). A new stream is seeded from the archive as it is
+stored then: the keys alone are written beside its checkpoint and come in with its first batch, the only one that is also compared with the archive.
+After that a batch costs what it brings. A batch's folder is replaced when it runs again. Of equal payloads of one address in one batch
+any one is archived.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions.ids import blob_key, content_hash
+from ..operators.archive import with_hashes
 from .chain import RAW, put_batch, stored, stored_batches
 
+KEYS = ["source", "external_id", "content_hash"]
 COLUMNS = [x.split()[0] for x in RAW.split(", ")]
 
 
-class Archive(StatefulProcessor):
-    """Passes the first payload of each hash of an address. Rows of a batch are taken in order of arrival."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "content_hash string", "known boolean")
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        for found in initialState["content_hash"].tolist():
-            self.held.updateValue((found,), (True,))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best: dict[str, pd.DataFrame] = {}  # the earliest of each new hash; a payload is held once, whatever comes again
-        for part in rows:
-            for i, (found, at) in enumerate(zip(part["content_hash"], part["arrival"], strict=True)):
-                if found in best:
-                    if at < best[found]["arrival"].iloc[0]:
-                        best[found] = part.iloc[[i]]
-                elif not self.held.containsKey((found,)):
-                    best[found] = part.iloc[[i]]
-        for found, row in best.items():
-            self.held.updateValue((found,), (True,))
-            yield row[COLUMNS]
-
-    def close(self) -> None:
-        pass
-
-
-def archived(landed: DataFrame, held: DataFrame) -> DataFrame:
-    """New rows of a stream ``landed(source, external_id, payload, landed_at)``; ``held`` is the archive before its first batch.
-
-    Needs the RocksDB state store (``alerts.use_rocksdb``). Equals ``archive.new_documents`` over all batches in order.
-    """
-    hash_ = content_hash(F.col("payload"))
-    rows = landed.withColumnRenamed("landed_at", "arrival").withColumn("content_hash", hash_).withColumn("blob_key", blob_key(F.col("content_hash")))
-    seed = held.select("source", "external_id", "content_hash").groupBy("source", "external_id")
-    return rows.select(*COLUMNS).groupBy("source", "external_id").transformWithStateInPandas(statefulProcessor=Archive(), outputStructType=RAW, outputMode="Append", timeMode="None", initialState=seed)
-
-
 def first_batch(spark: SparkSession, path: str, checkpoint: str) -> int:
     """The number of a stream's first batch in a table that may hold batches of others: found once, and kept beside the checkpoint."""
     kept = f"{checkpoint.rstrip('/')}.start"
@@ -67,17 +27,28 @@ def first_batch(spark: SparkSession, path: str, checkpoint: str) -> int:
         return found[0]["first"]
     last = stored_batches(spark, path).agg(F.max("batch")).first()[0]
     first = 0 if last is None else last + 1
+    stored(spark, path, RAW, first).select(*KEYS).write.mode("overwrite").parquet(f"{checkpoint.rstrip('/')}.seed")
     put_batch(spark.createDataFrame([(first,)], "first long").coalesce(1), kept, 0)
     return first
 
 
 def archive_stream(landed: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """As ``chain.archive_stream``, over an archive that may be stored already; only a stream without a checkpoint reads it, in its first batch.
+    """As ``chain.archive_stream``, over an archive that may be stored already. Needs the RocksDB state store (``alerts.use_rocksdb``).
 
     Its batches are numbered on from those that the archive had, and its seed is these alone: a first batch that runs again finds the same.
     """
     spark = landed.sparkSession
     first = first_batch(spark, path, checkpoint)
-    new = archived(landed, stored(spark, path, RAW, first))
-    writer = new.writeStream.foreachBatch(lambda rows, batch: put_batch(rows, path, first + batch)).option("checkpointLocation", checkpoint)
+    rows = with_hashes(landed.withColumnRenamed("landed_at", "arrival")).select(*COLUMNS, F.lit(False).alias("seed"))
+    seed = spark.readStream.schema("source string, external_id string, content_hash string").parquet(f"{checkpoint.rstrip('/')}.seed")
+    both = rows.unionByName(seed.withColumn("seed", F.lit(True)), allowMissingColumns=True).dropDuplicates(KEYS)
+
+    def each(batch_rows: DataFrame, batch: int) -> None:
+        new = batch_rows.where(~F.col("seed")).select(*COLUMNS)
+        if batch == 0:  # the seed came in with it: which of two equal keys was met first is not known
+            held = stored(spark, path, RAW, first).select(*(F.col(c).alias(f"{c}_") for c in KEYS))
+            new = new.join(held, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in KEYS], "left_anti")
+        put_batch(new, path, first + batch)
+
+    writer = both.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -132,9 +132,9 @@ def test_keyed_archive_equals_the_chain(spark, tmp_path):
     chain.put_batch(archive.new_documents(chain.stored(spark, path, chain.RAW), spark.createDataFrame(old, schema)), path, 0)
     parts = [[("s", "a", b"1", at(9)), ("s", "a", b"3", at(12)), ("s", "a", b"3", at(11)), ("s", "c", b"1", at(10))], [("s", "b", b"2", at(20)), ("s", "c", b"4", at(21)), ("t", "a", b"1", at(22)), (None, "n", b"0", at(22))]]
     run(keyed.archive_stream(archive_batches(spark, tmp_path / "in", parts), path, str(tmp_path / "c")))
-    held = chain.read_archive(spark, path).select("source", "external_id", "payload", "arrival")
-    want = archive.new_documents(spark.createDataFrame([], chain.RAW), spark.createDataFrame(old + sum(parts, []), schema)).select("source", "external_id", "payload", "arrival")
-    key = lambda frame: sorted(((r.source, r.external_id, bytes(r.payload), r.arrival) for r in frame.collect()), key=str)
+    held = chain.read_archive(spark, path).select("source", "external_id", "payload", "content_hash")
+    want = archive.new_documents(spark.createDataFrame([], chain.RAW), spark.createDataFrame(old + sum(parts, []), schema)).select("source", "external_id", "payload", "content_hash")
+    key = lambda frame: sorted(((r.source, r.external_id, bytes(r.payload), r.content_hash) for r in frame.collect()), key=str)
     assert key(held) == key(want) and held.count() == 7
     later = [("s", "c", b"4", at(30)), ("s", "d", b"5", at(31))]
     run(keyed.archive_stream(archive_batches(spark, tmp_path / "in", [later]), path, str(tmp_path / "c")))
