@@ -36,14 +36,14 @@ def test_chain_from_landed_files_to_facts(spark, tmp_path):
 
     land(folder, "sejm", "term10/process/8842", PROCESS)
     (folder / "rcl").mkdir()
-    (folder / "rcl" / "projekt%2Fustawy%2F70001.html").write_text(CARD)
+    (folder / "rcl" / "projekt%2Fustawy%2F640.html").write_text(CARD)
     land(folder, "isap", "DU/2026/1", {"ELI": "DU/2026/1", "title": "Ustawa"})
     land(folder, "other", "x", {})
     pass_all()
     facts = chain.read_facts(spark, f"{out}/facts")
     assert facts.count() == 5 and facts.where("stage = 'proces_rzadowy'").count() == 1
     documents = chain.read_documents(spark, f"{out}/documents")
-    assert {(r.source, r.kind, r.title) for r in documents.collect()} == {("sejm", "process", "Obywatelski projekt ustawy o latarniach"), ("rcl", "rcl-project", "Projekt ustawy"), ("isap", "act", "Ustawa"), ("other", "unknown", None)}
+    assert {(r.source, r.kind, r.title) for r in documents.collect()} == {("sejm", "process", "Obywatelski projekt ustawy o latarniach"), ("rcl", "rcl-project", "O latarniach morskich"), ("isap", "act", "Ustawa"), ("other", "unknown", None)}
     assert spark.read.parquet(f"{out}/acts").count() == 1
     later = PROCESS | {"stages": [*PROCESS["stages"], {"date": "2031-03-26", "stageName": "Prezydent podpisał", "stageType": "PresidentSignature"}]}
     land(folder, "sejm", "term10/process/8842", later, "2")
