@@ -52,13 +52,13 @@ def stays(timeline: DataFrame, drafts: DataFrame) -> DataFrame:
     return done.join(drafts.select("draft_id", "initiator"), "draft_id").select("initiator", "stage", "seconds")
 
 
-def stage_paces(stays: DataFrame) -> DataFrame:
+def stage_paces(stays: DataFrame, times: str | None = None) -> DataFrame:
     """Exact medians in whole seconds by (initiator, stage) and by stage, from one aggregation over grouping sets.
 
     Stays are counted by value first, so what meets in a group is one row for each distinct length (whole days), not for each
-    stay. Columns: ``initiator`` (null in the rows of all initiators), ``overall, stage, median_seconds, n``.
+    stay; with ``times`` they come counted, in that column. Columns: ``initiator`` (null in the rows of all initiators), ``overall, stage, median_seconds, n``.
     """
-    counted = stays.groupBy("initiator", "stage", "seconds").agg(F.count(F.lit(1)).alias("k"))
+    counted = stays.groupBy("initiator", "stage", "seconds").agg((F.sum(times) if times else F.count(F.lit(1))).alias("k"))
     sets = counted.groupingSets([[F.col("initiator"), F.col("stage")], [F.col("stage")]], "initiator", "stage").agg(
         F.grouping("initiator").cast("boolean").alias("overall"),
         F.percentile("seconds", 0.5, F.col("k")).cast("long").alias("median_seconds"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import blob_key, content_hash
 from ..operators import archive as op
-from ..operators import sinks, writes
+from ..operators import sinks, stored, writes
 from ..storage import shared_path
 from .tables import sql_stamp, stamp, table
 
@@ -98,6 +98,18 @@ n AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-16' QUALIFY row_number
 SELECT user_id, coalesce(n.event_type, o.event_type) AS event_type, coalesce(o.value, n.value) AS value, coalesce(n.event_id, o.event_id) AS event_id FROM o FULL JOIN n USING (user_id)"""
 
 
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``upsert_merge``, in a kept table: its first half, then the second, then the second again, which changes nothing."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id", "ts")
+    kept = stored.Table(spark, shared_path(spark, "statuses"), "user_id long, event_type string, value double, event_id long, ts timestamp_ntz", ("user_id",), 32)
+    for late in (False, True, True):
+        kept.upsert(e.where("ts >= timestamp_ntz '2024-01-16'" if late else "ts < timestamp_ntz '2024-01-16'"), "event_id", keep=("value",))
+    return kept.read().select("user_id", "event_type", "value", "event_id", F.lit(kept.version()).alias("version"))
+
+
+STORED_UPSERT = f"SELECT *, 2::BIGINT AS version FROM ({UPSERT_MERGE})"
+
+
 def append_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of a history stated twice, once as it was known on the 20th: what the second statement adds, by stage."""
     from ..operators.legislative import stage_timeline
@@ -218,5 +230,5 @@ def blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BLOB_STORE = "SELECT DISTINCT sha256(coalesce(html, '')) AS content_hash, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes, sha256(coalesce(html, ''))[1:2] AS folder FROM pages"
 
-QUERIES = {f.__name__: f for f in (blob_store, content_dedup, archive_outcomes, blob_keys, version_chain, document_upsert, latest_write, insert_absent, upsert_merge, append_facts, conditional_update, direct_children, direct_children_count, completeness, volume_anomaly, recent_average, run_ledger, schema_warnings)}
+QUERIES = {f.__name__: f for f in (blob_store, content_dedup, archive_outcomes, blob_keys, version_chain, document_upsert, latest_write, insert_absent, upsert_merge, stored_upsert, append_facts, conditional_update, direct_children, direct_children_count, completeness, volume_anomaly, recent_average, run_ledger, schema_warnings)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import lookup
 from ..operators import legislative as op
+from ..operators import stored
+from ..storage import materialize, shared_path
 from .tables import CURRENT_SQL, DRAFTS_SQL, MOVES, NEXT, NOW, STAYS_SQL, TIMELINE_SQL, UNKNOWN, acts, drafts, history, now, sql_stamp, stages, stamp, table
 
 
@@ -44,6 +46,20 @@ STAGE_PACE = f"""WITH {TIMELINE_SQL}, {DRAFTS_SQL}, {STAYS_SQL}
 SELECT initiator, FALSE AS overall, stage, m AS median_seconds, n FROM own UNION ALL SELECT NULL, TRUE, stage, m, n FROM everyone"""
 
 
+def kept_stage_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The medians of ``stage_pace`` from lengths that are kept, after three batches of drafts and a fourth that restates the second's lengths and puts them back."""
+    stays = materialize(op.stays(op.stage_timeline(stages(spark, sf_dir)), drafts(spark, sf_dir)).withColumn("part", F.pmod(F.xxhash64("initiator", "seconds"), F.lit(3))), "stays")
+    kept = stored.stay_lengths(spark, shared_path(spark, "lengths"))
+    parts = [stays.where(F.col("part") == k).drop("part") for k in range(3)]
+    longer = parts[1].withColumn("seconds", F.col("seconds") + 1)
+    for stated, withdrawn in ((parts[0], None), (longer, None), (parts[2], None), (parts[1], longer)):
+        stored.add_stays(kept, stated, withdrawn)
+    return stored.kept_paces(kept)
+
+
+KEPT_STAGE_PACE = STAGE_PACE
+
+
 def shipping_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians of completed stays from order to shipment, by priority and return flag."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -192,7 +208,7 @@ def draft_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRAFT_CARDS = f"""{_STATUS_WITH}, h AS (SELECT draft_id, count(*) AS n, first(stage ORDER BY valid_from, ordinal) AS f, first(stage ORDER BY valid_from DESC, ordinal DESC) AS l FROM timeline GROUP BY 1)
 SELECT d.draft_id, d.initiator, current_stage, {sql_stamp('stalled_since')}, coalesce(n, 0) AS periods, f AS first_stage, l AS last_stage FROM drafts d LEFT JOIN told t ON t.draft_id = d.draft_id LEFT JOIN h ON h.draft_id = d.draft_id"""
 
-QUERIES = {f.__name__: f for f in (draft_cards, stage_timeline, stage_exceptions, current_stage, stage_pace, shipping_pace, stage_pace_fallback, draft_status, status_counts, as_of_stage, draft_left_act, edge_orientation, citations_out, citations_in, source_drafts, act_cards)}
+QUERIES = {f.__name__: f for f in (kept_stage_pace, draft_cards, stage_timeline, stage_exceptions, current_stage, stage_pace, shipping_pace, stage_pace_fallback, draft_status, status_counts, as_of_stage, draft_left_act, edge_orientation, citations_out, citations_in, source_drafts, act_cards)}
 ORACLES = {
     "draft_cards": DRAFT_CARDS,
     "stage_timeline": STAGE_TIMELINE,
