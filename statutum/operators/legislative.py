@@ -46,6 +46,22 @@ def as_of(history: DataFrame, day: Column, known: Column) -> DataFrame:
     return history.where((F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (F.col("valid_to") > day)) & (F.col("known_at") <= known))
 
 
+def as_of_asks(history: DataFrame, asks: DataFrame, days: int = 32) -> DataFrame:
+    """For each of ``asks(draft_id, day, known)`` the stages that held on its day as far as was known at its moment: ``ask columns, stage, valid_from``.
+
+    An interval stands in every bin of ``days`` days that it touches, up to the last day asked for, and an ask in the bin of its day, so the join is on equality of draft and
+    bin, a draft with very many rows is dealt by bins, and a pair meets once. Bounds and knowledge are compared within the bin. Asks without an answer have no row.
+    """
+    last = asks.agg(F.max("day").cast("date")).first()[0]
+    of = lambda day: F.floor(F.unix_date(day.cast("date")) / days)
+    until = F.least(F.coalesce(F.col("valid_to").cast("date"), F.lit(last)), F.lit(last))
+    lying = history.where(F.col("valid_from").cast("date") <= F.lit(last)).select(F.col("draft_id").alias("of_"), "stage", "valid_from", "valid_to", "known_at", F.explode(F.sequence(of(F.col("valid_from")), F.greatest(of(until), of(F.col("valid_from"))))).alias("bin_"))
+    asked = asks.withColumn("bin_", of(F.col("day")))
+    met = asked.join(lying, (asked["draft_id"] == lying["of_"]) & (asked["bin_"] == lying["bin_"]))
+    held = met.where((F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("day"))) & (F.col("known_at") <= F.col("known")))
+    return held.select(*asks.columns, "stage", "valid_from")
+
+
 def stays(timeline: DataFrame, drafts: DataFrame) -> DataFrame:
     """``initiator, stage, seconds`` of completed stays."""
     done = timeline.where("valid_to is not null").select("draft_id", "stage", F.timestamp_diff("SECOND", F.col("valid_from"), F.col("valid_to")).alias("seconds"))

@@ -46,6 +46,20 @@ STAGE_PACE = f"""WITH {TIMELINE_SQL}, {DRAFTS_SQL}, {STAYS_SQL}
 SELECT initiator, FALSE AS overall, stage, m AS median_seconds, n FROM own UNION ALL SELECT NULL, TRUE, stage, m, n FROM everyone"""
 
 
+def as_of_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order asks for a user's stage on a day of its own, as known a day after that and five days after."""
+    o = table(spark, sf_dir, "orders")
+    day = F.timestamp_add("HOUR", (F.col("o_orderkey") % 1000).cast("int"), F.lit("2024-01-01").cast("timestamp"))
+    users = F.lit(table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0] + 1)
+    asks = o.select(F.col("o_orderkey").alias("ask"), F.pmod("o_custkey", users).alias("draft_id"), day.alias("day"), F.explode(F.array(F.lit(1), F.lit(5))).alias("after"))
+    asks = asks.withColumn("known", F.timestamp_add("DAY", F.col("after"), F.col("day")))
+    return op.as_of_asks(history(spark, sf_dir), asks).select("ask", "after", "draft_id", "stage", stamp("valid_from"))
+
+
+AS_OF_ASKS = f"""WITH {TIMELINE_SQL}, a AS (SELECT o_orderkey AS ask, after, o_custkey % (SELECT max(user_id) + 1 FROM events) AS draft_id, TIMESTAMP '2024-01-01' + to_hours(o_orderkey % 1000) AS day FROM orders, (VALUES (1), (5)) t(after))
+SELECT ask, after, draft_id, stage, {sql_stamp('valid_from')} FROM a JOIN timeline USING (draft_id) WHERE valid_from <= day AND (valid_to IS NULL OR valid_to > day) AND valid_from + INTERVAL 2 DAY <= day + to_days(after)"""
+
+
 def kept_stage_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The medians of ``stage_pace`` from lengths that are kept, after three batches of drafts and a fourth that restates the second's lengths and puts them back."""
     stays = materialize(op.stays(op.stage_timeline(stages(spark, sf_dir)), drafts(spark, sf_dir)).withColumn("part", F.pmod(F.xxhash64("initiator", "seconds"), F.lit(3))), "stays")
@@ -57,7 +71,7 @@ def kept_stage_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.kept_paces(kept)
 
 
-KEPT_STAGE_PACE = STAGE_PACE
+
 
 
 def shipping_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,8 +222,10 @@ def draft_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRAFT_CARDS = f"""{_STATUS_WITH}, h AS (SELECT draft_id, count(*) AS n, first(stage ORDER BY valid_from, ordinal) AS f, first(stage ORDER BY valid_from DESC, ordinal DESC) AS l FROM timeline GROUP BY 1)
 SELECT d.draft_id, d.initiator, current_stage, {sql_stamp('stalled_since')}, coalesce(n, 0) AS periods, f AS first_stage, l AS last_stage FROM drafts d LEFT JOIN told t ON t.draft_id = d.draft_id LEFT JOIN h ON h.draft_id = d.draft_id"""
 
-QUERIES = {f.__name__: f for f in (kept_stage_pace, draft_cards, stage_timeline, stage_exceptions, current_stage, stage_pace, shipping_pace, stage_pace_fallback, draft_status, status_counts, as_of_stage, draft_left_act, edge_orientation, citations_out, citations_in, source_drafts, act_cards)}
+QUERIES = {f.__name__: f for f in (kept_stage_pace, as_of_asks, draft_cards, stage_timeline, stage_exceptions, current_stage, stage_pace, shipping_pace, stage_pace_fallback, draft_status, status_counts, as_of_stage, draft_left_act, edge_orientation, citations_out, citations_in, source_drafts, act_cards)}
 ORACLES = {
+    "kept_stage_pace": STAGE_PACE,
+    "as_of_asks": AS_OF_ASKS,
     "draft_cards": DRAFT_CARDS,
     "stage_timeline": STAGE_TIMELINE,
     "stage_exceptions": STAGE_EXCEPTIONS,

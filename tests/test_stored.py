@@ -73,3 +73,21 @@ def test_kept_medians_equal_those_from_scratch(spark, tmp_path):
     key = lambda f: rows(f.select("initiator", "overall", "stage", "median_seconds", "n"))
     assert key(stored.kept_paces(kept)) == key(legislative.stage_paces(spark.createDataFrame(live, kind)))
     assert kept.read().agg(F.sum("k")).first()[0] == len(live) and kept.read().where("k <= 0").count() == 0
+
+
+def test_asks_by_bins_equal_plain(spark):
+    """Random intervals, open ones and ones of many bins, asked on days before, inside and behind them."""
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(7), datetime(2026, 1, 1)
+    at = lambda n: start + timedelta(hours=rng.randrange(24), days=n)
+    held = []
+    for d in range(6):
+        for _ in range(15):
+            a = rng.randrange(300)
+            held.append((d, f"s{rng.randrange(5)}", at(a), None if rng.random() < 0.2 else at(a + rng.randrange(1, 200)), at(a + rng.randrange(30))))
+    asks = [(i, rng.randrange(8), at(rng.randrange(-20, 400)), at(rng.randrange(400))) for i in range(200)]
+    got = legislative.as_of_asks(spark.createDataFrame(held, "draft_id int, stage string, valid_from timestamp, valid_to timestamp, known_at timestamp"), spark.createDataFrame(asks, "ask int, draft_id int, day timestamp, known timestamp"), days=7)
+    want = [(i, d, day, known, s, f) for i, d, day, known in asks for e, s, f, t, k in held if e == d and f <= day and (t is None or t > day) and k <= known]
+    assert rows(got) == sorted(want, key=str) and len(want) > 100
+    assert legislative.as_of_asks(got.sparkSession.createDataFrame(held, "draft_id int, stage string, valid_from timestamp, valid_to timestamp, known_at timestamp"), spark.createDataFrame([], "ask int, draft_id int, day timestamp, known timestamp")).count() == 0
