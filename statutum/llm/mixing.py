@@ -12,7 +12,8 @@ The order statistics are found without sorting a source: words are summed by sou
 of the bins tell the bin in which the rest is reached, and only that bin's rows are ordered. A source may hold any share
 of the rows. A null or empty text has size 0 and is never sampled. Equal ids share u (a null id takes its text's hash instead), ties go by size, then by a hash of the text;
 equal rows are told apart by nothing but take the same room. Sources without words have target 0. Sources are ranked and shared out to in
-one task, one row for each: tens of thousands are no burden, a source for each host of a large crawl would be.
+one task, one row for each: tens of thousands are no burden, a source for each host of a large crawl would be. A very long text counts by its words, which its own
+task counts; no text travels. Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

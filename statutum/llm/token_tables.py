@@ -12,7 +12,8 @@ their texts, so any layout of the input gives the same ids in the same places.
 
 Texts are encoded whole with the ``tokenizers`` library. Before a space that a non-space follows, byte-level BPE always
 starts a new pre-token, so a text is cut there and each distinct piece is encoded once and remembered (a bounded number of
-them); texts where spaces meet other white space are encoded as they are. A null or empty text has the end id alone.
+them); texts where spaces meet other white space are encoded as they are. A null or empty text has the end id alone. A very long text is one entry, encoded and
+read in one task, in a block of its own if it exceeds one. Other columns are ignored, whatever their names. An empty table gives no shard and no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ fails to inflate to a header and is passed over. Ranges are as many as the bytes
 Payloads that are equal (in SHA-256 and length; the SHA-1 that archives print names no payload here): the rows with the largest page_id hold the bytes (``response``), the others refer to that page
 (``revisit``, whose block is the HTTP header alone, with the payload's length in Content-Length). A null html is an empty
 payload, a null url an empty target, a null page_id is named ``null`` and refers or is referred to last. Equal rows that tie
-as largest are all responses. An empty table gives no archive and no rows.
+as largest are all responses. An empty table gives no archive and no rows. Other columns are ignored, whatever their names. A very long
+html is one record, deflated and inflated in one task. Rows are in order within a file, so a task that runs again writes the same bytes under the same name.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))
     rows = pages.select("page_id", "url", html.alias("html")).withColumns({"sha": F.unhex(F.sha2("html", 256)), "size": F.octet_length("html")})
     owner = rows.groupBy("sha", "size").agg(F.max("page_id").alias("owner"))
-    rows = rows.join(owner, ["sha", "size"]).select("page_id", "url", "html", "owner", (F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))).alias("revisit"))
+    rows = rows.join(owner, ["sha", "size"]).select("page_id", "url", "html", "owner", "sha", "size", (F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -89,7 +90,8 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"file": [name], "bytes": pa.array([written], pa.int64()), "records": pa.array([count], pa.int64())})
             part += 1
 
-    return rows.mapInArrow(run, "file string, bytes long, records long")
+    ordered = rows.sortWithinPartitions("page_id", "sha", "size", "url")  # a second attempt of a task writes the same bytes
+    return ordered.select("page_id", "url", "html", "owner", "revisit").mapInArrow(run, "file string, bytes long, records long")
 
 
 class _Window:
