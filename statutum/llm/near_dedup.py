@@ -16,8 +16,10 @@ collections agree. ``layout`` takes as many collections as keep the chance to mi
 3. Families are cut into blocks of about ``BLOCK`` members. A block receives its texts and the text of the family's smallest id,
    and links those of its members whose similarity on full sets, computed as a product of incidence matrices, reaches the threshold.
 4. In families of several blocks, members that these links connect with the smallest id need not be compared with each other. The
-   others are, with every member: each block of others meets each block of the family. So a group of copies of one text costs
-   two readings of its texts, whatever its size.
+   others are, with every member: each block of others meets each block of the family, first by sketches alone, a byte of each of 64 minhashes.
+   A text goes to such a meeting only if its sketch is as like one of the other side as those of all but ``SKETCH_MISS`` of the pairs at the
+   threshold are. So a group of copies of one text costs two readings of its texts, whatever its size, and texts that only share boilerplate,
+   which chance meetings put into one family, are hardly sent again.
 5. Connected components of all verified links are the result.
 
 Null and empty texts, and texts without words, have an empty set, link with nothing and are kept. Null ids are not
@@ -78,6 +80,16 @@ def sketch_limit(threshold: float, places: int) -> int:
     return places
 
 
+def equal_limit(threshold: float, places: int) -> int:
+    """Places in which the long sketches of a pair at the threshold are equal at least, but for a chance of ``SKETCH_MISS``."""
+    p, upto = threshold + (1 - threshold) / 256, 0.0  # bytes of unequal minhashes are equal in one case of 256
+    for k in range(places + 1):
+        upto += math.comb(places, k) * p**k * (1 - p) ** (places - k)
+        if upto > SKETCH_MISS:
+            return k
+    return places
+
+
 def minhashes(shingles: np.ndarray, n: int) -> np.ndarray:
     """n minhashes of a set that is not empty."""
     salts, least = _SALTS[:n], None
@@ -100,6 +112,11 @@ def sketch(least: np.ndarray) -> int:
     return int((mixed << np.arange(len(mixed), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
 
 
+def long_sketch(least: np.ndarray) -> bytes:
+    """A byte of each of the first minhashes."""
+    return (mix(least[:SKETCH]) >> np.uint64(8)).astype(np.uint8).tobytes()
+
+
 def ngram_hashes_rows(rows: np.ndarray) -> np.ndarray:
     out = np.arange(1, len(rows) + 1, dtype=np.uint64)
     for column in rows.T:
@@ -117,7 +134,7 @@ def _sign(shingle: int, collections: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            names, sizes, keys, sketches = [], [], [], []
+            names, sizes, keys, sketches, longer = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = text.lower().split() if text else []
                 found = shingle_set(words, hashes, shingle)
@@ -126,7 +143,8 @@ def _sign(shingle: int, collections: int, rows: int):
                 least = minhashes(found, collections * rows) if len(found) else None
                 keys.append(None if least is None else ngram_hashes_rows(least.reshape(collections, rows)).view(np.int64).tolist())
                 sketches.append(None if least is None else sketch(least))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "name": pa.array(names, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.int64())})
+                longer.append(None if least is None else long_sketch(least))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "name": pa.array(names, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.int64()), "long": pa.array(longer, pa.binary())})
 
     return run
 
@@ -299,6 +317,33 @@ def _verify(shingle: int, numerator: int, denominator: int):
     return run
 
 
+def alike(left: np.ndarray, right: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of two arrays of long sketches are equal in ``least`` places or more to some row of the other, of another id."""
+    some_left, some_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
+    for k, row in enumerate(left):
+        like = (np.count_nonzero(right == row, axis=1) >= least) & (right_ids != left_ids[k])
+        some_left[k] = like.any()
+        some_right |= like
+    return some_left, some_right
+
+
+def _meetings(least: int):
+    """Of units ``family, low, high`` the members of both sides whose long sketch is like one of the other side's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (family, low, high), rows in groups(batches, ["family", "low", "high"]):
+            ids, side = rows.column("doc_id").to_numpy(), rows.column("side").to_numpy()
+            bits = np.frombuffer(b"".join(rows.column("long").to_pylist()), np.uint8).reshape(len(ids), -1)
+            parts = [np.flatnonzero(side == k) for k in (0, 1)]
+            kept = np.concatenate([part[some] for part, some in zip(parts, alike(*(bits[p] for p in parts), *(ids[p] for p in parts), least), strict=True)])
+            if not len(kept):
+                continue
+            columns = {"doc_id": ids[kept], "family": np.full(len(kept), family), "low": np.full(len(kept), low), "high": np.full(len(kept), high), "side": side[kept].astype(np.int32)}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
+
+    return run
+
+
 def _up_to(n: Column) -> Column:
     """Rows for 0 to n - 1."""
     return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -317,10 +362,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NU
     threshold = numerator / denominator
     collections, rows = layout(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialize(docs.mapInArrow(_sign(shingle, collections, rows), "doc_id long, name binary, n_shingles long, keys array<long>, sketch long"), "signatures")
+    signed = materialize(docs.mapInArrow(_sign(shingle, collections, rows), "doc_id long, name binary, n_shingles long, keys array<long>, sketch long, long binary"), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("keys", "sketch")).alias("f"))
-    classes = materialize(classes.select("name", "doc_id", "f.keys", "f.sketch"), "classes")
+    classes = some.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("keys", "sketch", "long")).alias("f"))
+    classes = materialize(classes.select("name", "doc_id", "f.keys", "f.sketch", "f.long"), "classes")
     members = classes.select("doc_id", "keys", "sketch")
     runs = members.mapInArrow(_send_keys(CROWD), "key long, crowd boolean, doc_id long, sketch long").repartition(parts, "key").sortWithinPartitions("key", "doc_id")
     limit = sketch_limit(threshold, min(SKETCH, collections * rows))
@@ -345,10 +390,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, numerator: int = NU
         left = materialize(large.groupBy("family").agg(F.ceil(F.count_if("open") / F.lit(BLOCK)).alias("others")).where("others > 0"), "others")
         other = F.when(F.col("open"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("others")))
         large = materialize(large.join(left, "family").select("doc_id", "family", "blocks", "block", "others", other.alias("other")), "open")
-        texts = docs.join(large, "doc_id")
-        mine = texts.where("other is not null").select("doc_id", "text", "family", F.col("other").alias("low"), _up_to(F.col("blocks")).alias("high"), F.lit(0).alias("side"))
-        theirs = texts.select("doc_id", "text", "family", _up_to(F.col("others")).alias("low"), F.col("block").alias("high"), F.lit(1).alias("side"))
-        closed = components(inside.unionByName(verified(mine.unionByName(theirs))))
+        members = large.join(classes.select("doc_id", "long"), "doc_id")
+        mine = members.where("other is not null").select("doc_id", "long", "family", F.col("other").alias("low"), _up_to(F.col("blocks")).alias("high"), F.lit(0).alias("side"))
+        theirs = members.select("doc_id", "long", "family", _up_to(F.col("others")).alias("low"), F.col("block").alias("high"), F.lit(1).alias("side"))
+        units = mine.unionByName(theirs).repartition(parts, "family", "low", "high").sortWithinPartitions("family", "low", "high")
+        least = equal_limit(threshold, min(SKETCH, collections * rows))
+        met = materialize(units.mapInArrow(_meetings(least), "doc_id long, family long, low long, high long, side int"), "meetings")
+        sent = docs.join(met, "doc_id").select("doc_id", "text", "family", "low", "high", "side")
+        closed = components(inside.unionByName(verified(sent)))
     named = classes.select("name", F.col("doc_id").alias("head")).join(closed.select(F.col("node").alias("head"), "component"), "head", "left")
     named = named.select("name", F.coalesce("component", "head").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "name").join(named, "name", "left")

@@ -123,6 +123,40 @@ def test_sketches_keep_pairs_at_the_threshold():
     assert missed == 0 and limit < 26
 
 
+def test_long_sketches_keep_pairs_at_the_threshold():
+    """Of pairs at 0.85 all are alike, of pairs at 0.4 hardly any; a row is not like itself."""
+    rng, least = np.random.default_rng(6), op.equal_limit(0.85, op.SKETCH)
+
+    def pair(both, own):
+        common = rng.integers(0, 1 << 63, both).astype(np.uint64)
+        return [np.frombuffer(op.long_sketch(op.minhashes(np.concatenate([common, rng.integers(0, 1 << 63, own).astype(np.uint64)]), 64)), np.uint8) for _ in range(2)]
+
+    one, two = np.array([0]), np.array([1])
+    like = lambda a, b: bool(op.alike(a[None], b[None], one, two, least)[0][0])
+    assert all(like(*pair(170, 15)) for _ in range(1000)) and sum(like(*pair(80, 60)) for _ in range(2000)) < 20
+    a = pair(10, 10)[0][None]
+    assert not op.alike(a, a, one, one, least)[0].any()
+
+
+def test_boilerplate_sends_texts_less_than_three_times(spark, monkeypatch):
+    """Texts of similarity 0.4, which chance meetings put into one family of many blocks, and two that are copies: found, and others hardly read."""
+    rng = random.Random(8)
+    base = " ".join(rng.choice([f"w{k}" for k in range(900)]) for _ in range(120))
+    rows = [(i, base + " " + " ".join(f"x{i}_{k}" for k in range(90))) for i in range(6000)]
+    rows += [(7000, rows[4000][1].replace("x4000_5", "other")), (7001, rows[50][1] + " tail")]
+    stored, real = {}, op.materialize
+
+    def kept(df, name):
+        stored[name] = real(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(op, "BLOCK", 64)
+    monkeypatch.setattr(op, "materialize", kept)
+    out = op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert sorted((r.doc_id, r.component_id) for r in out.where("not kept").collect()) == [(7000, 4000), (7001, 50)]
+    assert stored["families"].count() > 1000 and stored["families"].count() + stored["meetings"].count() < 3 * len(rows)
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "x y z")]
     out = [tuple(r) for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
