@@ -208,8 +208,19 @@ def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 FETCH_OUTCOMES = """WITH e AS (SELECT *, [200, 304, 404, 429, 503][(user_id % 5 + 1)::BIGINT] AS s FROM events)
 SELECT CASE WHEN event_type = 'error' OR (event_type = 'signup' AND s = 200) THEN 'refused' WHEN s = 304 THEN 'not_modified' WHEN s = 200 THEN 'fetched' ELSE 'failed' END AS outcome, s IN (429, 503) AND event_id % 6 < 4 AS again, count(*) AS n FROM e GROUP BY 1, 2"""
 
+
+
+def paced_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests, users' thirds as hosts, a request in ten minutes of each: when each is sent."""
+    e = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(3)).cast("string").alias("host"), F.col("event_id").alias("request"), F.to_utc_timestamp("ts", "UTC").alias("asked_at"), F.lit(1 / 600).alias("per_second"))
+    return fetching.paced(e).select("host", "request", F.unix_micros("sent_at").alias("sent_us"))
+
+
+PACED_FETCHES = """WITH e AS (SELECT (user_id % 3)::VARCHAR AS host, event_id AS request, epoch_us(ts) AS asked, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id) AS k FROM events)
+SELECT host, request, max(asked - k * 600000000) OVER (PARTITION BY host ORDER BY k) + k * 600000000 AS sent_us FROM e"""
+
 QUERIES = {
     f.__name__: f
-    for f in (act_reader, act_edges, unmapped_labels, replaced_edges, search_page_items, publisher_cursor, lookback_window, backfill_partitions, html_cards, linkage_ratio, unmatched_prints, match_outcomes, delivery_counts, declared_volumes, stem_memo, profile_versions, dropped_proceedings, fetch_outcomes)
+    for f in (act_reader, act_edges, unmapped_labels, replaced_edges, search_page_items, publisher_cursor, lookback_window, backfill_partitions, html_cards, linkage_ratio, unmatched_prints, match_outcomes, delivery_counts, declared_volumes, stem_memo, profile_versions, dropped_proceedings, fetch_outcomes, paced_fetches)
 }
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}
