@@ -111,6 +111,30 @@ SELECT address, 0::BIGINT AS ordinal, 'wplynal_do_sejmu' AS stage, a AS valid_fr
 UNION ALL SELECT address, 1, 'i_czytanie', b, NULL, CASE WHEN s = 'F' THEN b END FROM o WHERE b IS NOT NULL"""
 
 
+def stated_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as parsed acts, those that are pending without an address: acts, with the number of identifiers that each gets (its address and its prints, once each)."""
+    o = table(spark, sf_dir, "orders")
+    eli = F.when(F.col("o_orderstatus") != "P", F.concat(F.when(F.col("o_orderkey") % 2 == 0, "DU").otherwise("MP"), F.lit("/2024/"), F.col("o_orderkey").cast("string")))
+    prints = F.transform(F.sequence(F.lit(0), (F.col("o_orderkey") % 4).cast("int")), lambda k: F.concat(F.lit("term10/print/"), F.floor((F.col("o_orderkey") + k) / 2).cast("string")))
+    parsed = o.select(eli.alias("eli"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("act_type"), F.to_date("o_orderdate").alias("announced_on"), F.lit(None).cast("date").alias("in_force_from"), prints.alias("prints"))
+    named = legislative.act_identifiers(parsed).groupBy("act_id").agg(F.count(F.lit(1)).alias("identifiers"))
+    return legislative.acts_of(parsed).join(named, "act_id").select("eli", "title", "act_type", "publisher", "announced_on", "identifiers")
+
+
+STATED_ACTS = """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'DU' ELSE 'MP' END || '/2024/' || o_orderkey AS eli, o_orderpriority AS title, o_orderstatus AS act_type, CASE WHEN o_orderkey % 2 = 0 THEN 'DU' ELSE 'MP' END AS publisher, o_orderdate::DATE AS announced_on,
+1 + len(list_distinct(list_transform(range(0, o_orderkey % 4 + 1), lambda k: (o_orderkey + k) // 2))) AS identifiers FROM orders WHERE o_orderstatus <> 'P'"""
+
+
+def card_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as project cards, those of low priority without a date: the facts that they state, counted by day."""
+    cards = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("project_id"), F.when(F.col("o_orderpriority") != "5-LOW", F.to_date("o_orderdate")).alias("created_on"))
+    facts = legislative.government_facts(cards, F.lit("2024-01-01").cast("timestamp"))
+    return facts.where("valid_to is null and not exception").groupBy("stage", F.col("ordinal").cast("long").alias("ordinal"), F.to_date("valid_from").alias("valid_from")).agg(F.countDistinct("draft_id").alias("drafts"))
+
+
+CARD_FACTS = "SELECT 'proces_rzadowy' AS stage, 0::BIGINT AS ordinal, o_orderdate::DATE AS valid_from, count(*) AS drafts FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 3"
+
+
 def register_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lists that a change register's lines give: moves between stages, catalogs below, documents filed."""
     changes = _register_changes(spark, sf_dir)
@@ -282,5 +306,5 @@ def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CANONICAL_JSON = """SELECT event_id, '{"a":{"k":' || json_extract(props, '$.k') || '},"b":{"a":[2,1],"z":1}}' AS canonical FROM events"""
 
-QUERIES = {f.__name__: f for f in (stated_facts, register_lists, registers_changed, json_extract, date_tolerant, title_normalise, classify_addresses, process_outcomes, html_titles, register_events, listing_walk, catalog_walk, changed_processes, backfill_chunk, term_overlap, external_ids, roman_and_lists, role_rows, status_from_http, canonical_json)}
+QUERIES = {f.__name__: f for f in (stated_facts, stated_acts, card_facts, register_lists, registers_changed, json_extract, date_tolerant, title_normalise, classify_addresses, process_outcomes, html_titles, register_events, listing_walk, catalog_walk, changed_processes, backfill_chunk, term_overlap, external_ids, roman_and_lists, role_rows, status_from_http, canonical_json)}
 ORACLES = {name: globals()[name.upper()] for name in QUERIES}
