@@ -29,15 +29,15 @@ def test_shared_folder_is_the_sessions(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
-def test_ten_operators_are_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)] and set(SQL) <= set(QUERIES)
+def test_thirteen_operators_are_registered():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)] and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql_gives_the_same(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "benchmark"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     frame = QUERIES[name](spark, sf_dir)
     found = con.execute(SQL[name])
