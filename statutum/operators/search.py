@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from math import log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ BLOCK_BITS, FIRST_BLOCKS, NAMED_BLOCKS = 12, 16, 1000
 class Index:
     """Stored tables of an index: entries with stems, number and block, postings of their titles in blocks, one row of statistics, identifiers.
 
-    A row of ``postings`` is a block of one stem: ``stem, block, n, top`` (entries in it, and the most that the stem adds to any one's score, but for
+    A row of ``postings`` is a block of one stem, or a part of it: ``stem, block, n, top`` (entries in it, and the most that the stem adds to any one's score, but for
     the stem's own weight) and the entries as arrays ``ids, numbers, tfs, lengths``.
     """
 
@@ -89,14 +92,43 @@ def numbered(entries: DataFrame) -> DataFrame:
     return entries.withColumn("number", F.monotonically_increasing_id()).withColumn("block", F.shiftright("number", BLOCK_BITS))
 
 
+_POSTINGS = "stem string, block long, ids array<string>, numbers array<long>, tfs array<int>, lengths array<int>"
+
+
+def _posted(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings of each batch of ``number, id, stems`` by stem and block: tokens are counted where they are read and never leave as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("number")))
+            stems_of, number = batch.column("stems"), batch.column("number").to_numpy(zero_copy_only=False)
+            length = pc.fill_null(pc.list_value_length(stems_of), 0).to_numpy(zero_copy_only=False)
+            tokens = stems_of.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(length)), length)
+            code = tokens.indices.to_numpy(zero_copy_only=False) if not tokens.indices.null_count else pc.fill_null(tokens.indices, -1).to_numpy(zero_copy_only=False)
+            held, tf = np.unique((code.astype(np.int64) * max(1, len(length)) + row)[code >= 0], return_counts=True)
+            if not len(held):
+                continue
+            code, row = held // len(length), held % len(length)
+            block = number[row] >> bits
+            start = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])])
+            of_entry = lambda values: pa.ListArray.from_arrays(pa.array(np.r_[start, len(held)], pa.int32()), values)
+            columns = [tokens.dictionary.take(pa.array(code[start])), pa.array(block[start]), of_entry(batch.column("id").take(pa.array(row))), of_entry(pa.array(number[row])), of_entry(pa.array(tf, pa.int32())), of_entry(pa.array(length[row], pa.int32()))]
+            for at in range(0, len(start), 50_000):
+                yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names=["stem", "block", "ids", "numbers", "tfs", "lengths"])
+
+    return run
+
+
 def posting_blocks(entries: DataFrame, total: DataFrame) -> DataFrame:
-    """Rows of ``Index.postings`` for numbered entries and their statistics; a block holds ``2 ** BLOCK_BITS`` entries at most."""
-    tokens = entries.select("id", "number", F.size("stems").alias("length"), F.explode_outer("stems").alias("stem")).where("stem is not null")
-    found = tokens.groupBy("stem", "number", "id", "length").agg(F.count(F.lit(1)).cast("int").alias("tf")).join(F.broadcast(total.select("mean_length")))  # one row
-    row = F.struct("number", "id", "tf", "length")
-    of_stem = found.groupBy("stem", F.shiftright("number", BLOCK_BITS).alias("block"))
-    held = of_stem.agg(F.count(F.lit(1)).alias("n"), F.max(saturation(F.col("tf"), F.col("length"), F.col("mean_length"))).alias("top"), F.sort_array(F.collect_list(row)).alias("rows"))
-    return held.select("stem", "block", "n", "top", F.col("rows.id").alias("ids"), F.col("rows.number").alias("numbers"), F.col("rows.tf").alias("tfs"), F.col("rows.length").alias("lengths"))
+    """Rows of ``Index.postings`` for numbered entries and their statistics; a block holds ``2 ** BLOCK_BITS`` entries at most.
+
+    Entries that are not read together may make several rows of a stem and block.
+    """
+    plain = entries.where("stems is not null").select("number", F.col("id").cast("string").alias("id"), "stems")
+    held = plain.mapInArrow(_posted(BLOCK_BITS), _POSTINGS).join(F.broadcast(total.select("mean_length")))  # one row
+    adds = F.transform(F.arrays_zip("tfs", "lengths"), lambda r: saturation(r["tfs"], r["lengths"], F.col("mean_length")))
+    return held.select("stem", "block", F.size("ids").cast("long").alias("n"), F.array_max(adds).alias("top"), "ids", "numbers", "tfs", "lengths")
 
 
 def _unblocked(blocks: DataFrame) -> DataFrame:
@@ -193,7 +225,8 @@ class Ranked:
 
     def bounds(self) -> DataFrame:
         """``block, bound`` of every block in which something matches."""
-        by_title = self.blocks.select("block", (F.element_at(self.weight, F.col("stem")) * F.col("top")).alias("bound"))
+        tops = self.blocks.groupBy("stem", "block").agg(F.max("top").alias("top"))
+        by_title = tops.select("block", (F.element_at(self.weight, F.col("stem")) * F.col("top")).alias("bound"))
         by_name = self.named.select(F.shiftright("number", BLOCK_BITS).alias("block"), F.lit(1.0).alias("bound")).distinct()
         return by_title.unionByName(by_name).groupBy("block").agg(F.sum("bound").alias("bound"))
 

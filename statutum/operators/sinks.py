@@ -13,6 +13,8 @@ from .search import Index, numbered, posting_blocks, statistics
 BUCKETS = ("raw", "derived", "exports")
 #: Bytes of a file of blobs, about.
 FILE_BYTES = 256 << 20
+#: Bytes of a row group of postings, about.
+GROUP_BYTES = 8 << 20
 
 
 def write_blobs(rows: DataFrame, root: str, bucket: str = "raw") -> None:
@@ -50,8 +52,8 @@ def publish_index(entries: DataFrame, root: str, name: str = "legislative_index"
 
     The alias is a table of versions, the newest of which is live: a version counts from the commit of its one row, by when all of its
     tables are complete. The version before is kept, so searches that run keep their tables; what is older goes, folders and rows of the alias.
-    Entries are stored by kind in order of their numbers, postings in blocks in ranges of stems, identifiers in their order, and
-    the numbers of all entries in one row: a search reads the row groups of its stems and blocks, and takes no title apart again. This session's views
+    Entries are stored by kind in order of their numbers, postings in blocks where they are made (no shuffle), in order of stems within small row groups,
+    identifiers in their order, and the numbers of all entries in one row: a search reads the row groups of its stems and blocks, and takes no title apart again. This session's views
     ``name`` and ``name_postings`` follow; other sessions ask for ``live_index``.
     """
     spark, path = entries.sparkSession, f"{root}/{name}-{uuid.uuid4().hex}"
@@ -59,7 +61,7 @@ def publish_index(entries: DataFrame, root: str, name: str = "legislative_index"
     stored = spark.read.parquet(f"{path}/entries")
     statistics(stored).write.parquet(f"{path}/statistics")
     blocks = posting_blocks(stored, spark.read.parquet(f"{path}/statistics"))
-    blocks.repartitionByRange("stem", "block").sortWithinPartitions("stem", "block").write.parquet(f"{path}/postings")
+    blocks.sortWithinPartitions("stem", "block").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
     names = stored.select(F.explode("identifiers").alias("identifier"), "id", "number")
     names.repartitionByRange("identifier").sortWithinPartitions("identifier").write.parquet(f"{path}/names")
     before = _versions(spark, root, name)
