@@ -85,7 +85,7 @@ def stream_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     zone = F.when(F.col("o_custkey") % 3 == 0, "Asia/Tokyo").otherwise("Europe/Warsaw")
     none = {c: F.lit(None).cast("int") for c in ("at_hour", "on_weekday", "quiet_from", "quiet_to")}
     waiting = o.select(F.col("o_orderkey").alias("notification_id"), F.col("o_custkey").alias("owner_id"), F.when(F.col("o_orderpriority") == "1-URGENT", "critical").otherwise("normal").alias("urgency"), created.alias("created_at"), F.lit("hourly").alias("mode"), zone.alias("zone")).withColumns(none)
-    return _written(digests.digest_stream(_stream(waiting.repartition(1), "waiting")), "digests").select("notification_id", "owner_id", stamp("closed_at"))
+    return _written(digests.digest_stream(_stream(waiting, "waiting")), "digests").select("notification_id", "owner_id", stamp("closed_at"))
 
 
 STREAM_DIGESTS = """WITH w AS (SELECT o_orderkey::VARCHAR AS notification_id, o_custkey::VARCHAR AS owner_id, o_orderpriority = '1-URGENT' AS critical, TIMESTAMP '2024-03-30 05:00:30' + to_minutes(o_orderkey % 1440) AS created FROM orders),

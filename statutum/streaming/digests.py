@@ -1,26 +1,32 @@
-"""Digests as one stream: an owner's notifications in state, and a timer for the next instant at which something is to be decided.
+"""Digests as one stream: owners' notifications in state, and a timer for the next instant at which something is to be decided.
 
 Gives what ``operators.alerts.digests_due`` gives when it is asked at every full hour of the owner's clock: others than critical ones go out at the first such hour
 that is not quiet and before which a boundary of the owner's mode (an hour, a day, a week) has passed since the owner's last digest or, without
 one, since the oldest that waits. Critical ones, and those of owners who hear at once, go out as they arrive, unless, of the latter, the hour is quiet.
 
 Time is event time. What arrives is put in order by being held until the watermark has passed it, so batches may be cut and mixed in any way
-within the time that rows may be late; only rows that go out at once don't wait for that. An owner has one timer, for the earliest instant at which a row held comes
-up or a digest closes, and none if nothing waits.
+within the time that rows may be late; only rows that go out at once don't wait for that. An owner wakes at the earliest instant at which a row held comes
+up or a digest closes, and never if nothing waits.
+
+Owners share ``BUCKETS`` keys by a hash. A bucket's owners are one value of the state, read and written once in a batch, and have one timer, the earliest
+at which one of them wakes: a batch costs some round trips for each bucket that it touches, not for each owner and row.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-DIGESTS = "owner_id string, closed_at timestamp, notification_id string, urgency string, created_at timestamp"
+SENT = "owner_id string, closed_at long, notification_id string, urgency string, created_at long"
+#: Keys that owners share.
+BUCKETS = 4096
 #: Without stored preferences an owner hears at once, in this zone.
 ZONE = "Europe/Warsaw"
 HOUR = timedelta(hours=1)
@@ -82,81 +88,108 @@ def _at(micros: int) -> datetime:
     return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)
 
 
-class Digests(StatefulProcessor):
-    """State of an owner: rows not come up yet, rows that wait, the owner's wishes by the newest row, the last digest, the timer."""
+@dataclass
+class Owner:
+    """What is known of an owner: wishes by the newest row, the last digest, rows not come up yet, rows that wait, and when to wake; times in microseconds."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "created long, notification_id string, urgency string, sent boolean")
-        self.waiting = handle.getListState("waiting", "created long, notification_id string, urgency string")
-        self.how = handle.getValueState("how", "stated long, mode string, zone string, at_hour int, on_weekday int, quiet_from int, quiet_to int")
-        self.last = handle.getValueState("last", "at long")
-        self.timer = handle.getValueState("timer", "at long")
+    stated: int | None = None
+    wishes: list | None = None
+    last: int | None = None
+    held: list = field(default_factory=list)
+    waiting: list = field(default_factory=list)
+    wake: int | None = None
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, first = [], None
-        for part in rows:
-            for r in part.itertuples(index=False):
-                created = _micros(r.created_at.tz_localize("UTC").to_pydatetime() if r.created_at.tzinfo is None else r.created_at.to_pydatetime())
-                stated = self.how.get()[0] if self.how.exists() else None
-                if stated is None or created >= stated:
-                    whole = lambda x: None if pd.isna(x) else int(x)
-                    mode, zone = (None if pd.isna(x) else x for x in (r.mode, r.zone))
-                    self.how.update((created, mode or "immediate", zone or ZONE, whole(r.at_hour) or 0, whole(r.on_weekday) or 1, whole(r.quiet_from), whole(r.quiet_to)))
-                how = self._wishes()
-                sent = r.urgency == "critical" or how[0] == "immediate" and not quiet(how[4], how[5], how[1], _at(created))
-                if sent:
-                    out.append((key[0], _at(created), r.notification_id, r.urgency, _at(created)))
-                self.held.appendValue((created, r.notification_id, r.urgency, bool(sent)))
-                first = created if first is None else min(first, created)
-        if first is not None:
-            self._wake(first)
-        yield self._frame(out)
+    def how(self) -> tuple:
+        mode, zone, *rest = self.wishes
+        return (mode, ZoneInfo(zone), *rest)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """Everything up to the watermark, in order: rows come up, digests close."""
-        limit = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
-        self.timer.clear()
-        held = sorted(self.held.get(), key=lambda r: (r[0], r[1])) if self.held.exists() else []
-        coming, later = [r for r in held if r[0] <= limit], [r for r in held if r[0] > limit]
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        last, how, out = self.last.get()[0] if self.last.exists() else None, self._wishes(), []
-        now = min([r[0] for r in waiting], default=0)
+    def take(self, r: Row) -> bool:
+        """Hold a row; whether it goes out at once."""
+        if self.stated is None or r.created >= self.stated:
+            self.stated, self.wishes = r.created, [r.mode or "immediate", r.zone or ZONE, r.at_hour or 0, r.on_weekday or 1, r.quiet_from, r.quiet_to]
+        how = self.how()
+        sent = r.urgency == "critical" or how[0] == "immediate" and not quiet(how[4], how[5], how[1], _at(r.created))
+        self.held.append([r.created, r.notification_id, r.urgency, sent])
+        self.wake = r.created if self.wake is None else min(self.wake, r.created)
+        return sent
+
+    def advance(self, limit: int) -> list[tuple]:
+        """Everything up to an instant, in order: rows come up, digests close. Gives ``closed, notification_id, urgency, created``."""
+        held = sorted(self.held, key=lambda r: (r[0], r[1] or ""))
+        coming, self.held = [r for r in held if r[0] <= limit], [r for r in held if r[0] > limit]
+        how, out, known = self.how(), [], (None, None)
+        oldest = min((r[0] for r in self.waiting), default=None)
+        now = oldest or 0
 
         def due() -> int | None:
-            if not waiting:
+            nonlocal known
+            if not self.waiting:
                 return None
-            oldest = min(r[0] for r in waiting)
-            at = closing(how, _at(oldest if last is None else last), _at(max(now, oldest)))
-            return None if at is None else _micros(at)
+            since = oldest if self.last is None else self.last
+            if known[0] != since:  # nothing else moves it: "now" never passes an instant that is due
+                at = closing(how, _at(since), _at(max(now, oldest)))
+                known = (since, None if at is None else _micros(at))
+            return known[1]
 
         def close_until(until: int) -> None:
-            nonlocal waiting, last, now
+            nonlocal now, oldest
             at = due()
             if at is not None and at <= until:
-                out.extend((key[0], _at(at), r[1], r[2], _at(r[0])) for r in waiting)
-                waiting, last, now = [], at, at
+                out.extend((at, r[1], r[2], r[0]) for r in self.waiting)
+                self.waiting, self.last, now, oldest = [], at, at, None
 
         for created, name, urgency, sent in coming:
             close_until(created - 1)
             now = max(now, created)
             if sent:
-                last = created if last is None else max(last, created)
+                self.last = created if self.last is None else max(self.last, created)
             else:
-                waiting.append((created, name, urgency))
+                self.waiting.append([created, name, urgency])
+                oldest = created if oldest is None else min(oldest, created)
         close_until(limit)
-        for state, rows in ((self.held, later), (self.waiting, waiting)):
-            state.put(rows) if rows else state.clear()
-        if last is not None:
-            self.last.update((last,))
-        following = [x for x in (due(), min((r[0] for r in later), default=None)) if x is not None]
+        self.wake = min((x for x in (due(), self.held[0][0] if self.held else None) if x is not None), default=None)
+        return out
+
+
+class Digests(StatefulProcessor):
+    """State of a bucket: its owners, and the timer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.owners = handle.getValueState("owners", "owners string")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        owners, first = self._stored(), None
+        for r in rows:
+            if r.owner_id not in owners:
+                owners[r.owner_id] = Owner()
+            if owners[r.owner_id].take(r):
+                yield Row(owner_id=r.owner_id, closed_at=r.created, notification_id=r.notification_id, urgency=r.urgency, created_at=r.created)
+            first = r.created if first is None else min(first, r.created)
+        if first is not None:
+            self._store(owners)
+            self._wake(first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Owners that wake up to the watermark."""
+        limit = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        self.timer.clear()
+        owners = self._stored()
+        for owner_id, owner in owners.items():
+            if owner.wake is not None and owner.wake <= limit:
+                for closed, name, urgency, created in owner.advance(limit):
+                    yield Row(owner_id=owner_id, closed_at=closed, notification_id=name, urgency=urgency, created_at=created)
+        self._store(owners)
+        following = [o.wake for o in owners.values() if o.wake is not None]
         if following:
             self._wake(min(following))
-        yield self._frame(out)
 
-    def _wishes(self) -> tuple:
-        _, mode, zone, *rest = self.how.get()
-        return (mode, ZoneInfo(zone), *rest)
+    def _stored(self) -> dict[str | None, Owner]:
+        return {name: Owner(*fields) for name, *fields in json.loads(self.owners.get()[0])} if self.owners.exists() else {}
+
+    def _store(self, owners: dict[str | None, Owner]) -> None:
+        self.owners.update((json.dumps([[name, o.stated, o.wishes, o.last, o.held, o.waiting, o.wake] for name, o in owners.items()]),))
 
     def _wake(self, micros: int) -> None:
         """Set the timer, unless it is set for earlier."""
@@ -168,11 +201,6 @@ class Digests(StatefulProcessor):
         self.handle.registerTimer(millis)
         self.timer.update((millis,))
 
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=["owner_id", "closed_at", "notification_id", "urgency", "created_at"])
-        return frame.astype({c: "datetime64[us, UTC]" for c in ("closed_at", "created_at")}) if rows else frame
-
     def close(self) -> None:
         pass
 
@@ -184,5 +212,7 @@ def digest_stream(notifications: DataFrame, late: str = "15 minutes") -> DataFra
     beside them (nulls for owners without any). Rows that come later than ``late`` behind the newest are taken as they come. Needs the RocksDB state store (``alerts.use_rocksdb``).
     """
     named = notifications.withColumns({c: F.col(c).cast("string") for c in ("notification_id", "owner_id")}).withColumns({c: F.col(c).cast("int") for c in ("at_hour", "on_weekday", "quiet_from", "quiet_to")})
-    timed = named.select("notification_id", "owner_id", "urgency", "created_at", "mode", "zone", "at_hour", "on_weekday", "quiet_from", "quiet_to").withWatermark("created_at", late)
-    return timed.groupBy("owner_id").transformWithStateInPandas(statefulProcessor=Digests(), outputStructType=DIGESTS, outputMode="Append", timeMode="EventTime")
+    rows = named.select("notification_id", "owner_id", "urgency", "created_at", F.unix_micros("created_at").alias("created"), "mode", "zone", "at_hour", "on_weekday", "quiet_from", "quiet_to")
+    timed = rows.withColumn("bucket", F.pmod(F.xxhash64("owner_id"), F.lit(BUCKETS))).withWatermark("created_at", late)
+    sent = timed.groupBy("bucket").transformWithState(statefulProcessor=Digests(), outputStructType=SENT, outputMode="Append", timeMode="EventTime")
+    return sent.withColumns({c: F.timestamp_micros(c) for c in ("closed_at", "created_at")})
