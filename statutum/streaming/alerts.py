@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,26 +15,28 @@ from ..operators.alerts import COOLDOWN_S
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Keys that matters share.
+BUCKETS = 4096
+
+
 class Cooldown(StatefulProcessor):
-    """Holds for each (owner, matter) the second at which it was raised last. Within a batch events are judged in order of time."""
+    """Holds for each matter of a bucket the second at which it was raised last, as one value. Within a batch events are judged in order of time."""
 
     def __init__(self, seconds: int = COOLDOWN_S):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
-        last = self.last.get()[0] if self.last.exists() else None
-        raised = []
-        for at in events["at"].tolist():
-            raised.append(last is None or at - last > self.seconds)
-            if raised[-1]:
-                last = at
-        if last is not None:
-            self.last.update((int(last),))
-        yield pd.DataFrame({"owner_id": key[0], "case_key": key[1], "at": events["at"].to_numpy(), "event_id": events["event_id"].to_numpy(), "raised": raised})
+        self.last = handle.getValueState("last", "seconds string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = json.loads(self.last.get()[0]) if self.last.exists() else {}
+        nulls_last = lambda x: (x is None, x)
+        for r in sorted(rows, key=lambda r: (nulls_last(r.at), nulls_last(r.event_id))):
+            raised = r.at is not None and (r.matter not in last or r.at - last[r.matter] > self.seconds)
+            if raised:
+                last[r.matter] = r.at
+            yield Row(owner_id=r.owner_id, case_key=r.case_key, at=r.at, event_id=r.event_id, raised=raised)
+        self.last.update((json.dumps(last),))
 
     def close(self) -> None:
         pass
@@ -43,11 +45,14 @@ class Cooldown(StatefulProcessor):
 def cooldown_stream(events: DataFrame, seconds: int = COOLDOWN_S) -> DataFrame:
     """``raised`` for a stream of ``(owner_id, case_key, at, event_id)`` whose batches arrive in order of time.
 
-    Equals ``operators.alerts.cooldown`` over all events. Needs the RocksDB state store, which ``use_rocksdb`` sets.
+    Equals ``operators.alerts.cooldown`` over all events. Matters share ``BUCKETS`` keys by a hash, so a batch costs two round trips for each bucket
+    that it touches. Needs the RocksDB state store, which ``use_rocksdb`` sets.
     """
     types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     out = f"owner_id {types['owner_id']}, case_key {types['case_key']}, at long, event_id {types['event_id']}, raised boolean"
-    return events.groupBy("owner_id", "case_key").transformWithStateInPandas(statefulProcessor=Cooldown(seconds), outputStructType=out, outputMode="Append", timeMode="None")
+    rows = events.select("owner_id", "case_key", F.col("at").cast("long").alias("at"), "event_id", F.to_json(F.struct("owner_id", "case_key")).alias("matter"))
+    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("matter"), F.lit(BUCKETS))).groupBy("bucket")
+    return keyed.transformWithState(statefulProcessor=Cooldown(seconds), outputStructType=out, outputMode="Append", timeMode="None")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
