@@ -1,7 +1,12 @@
 """What grows with the input, and what must not, of the queries that were found to grow too fast."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
+from statutum.llm import secrets
+from statutum.operators import matching
+from statutum.plans import streams
 from statutum.streaming import alerts as live
 from statutum.streaming import digests
 
@@ -39,3 +44,35 @@ def test_matters_of_cooldown_share_a_bounded_number_of_states(spark, tmp_path, m
     got = spark.read.parquet(str(tmp_path / "o")).collect()
     assert {(r.owner_id, r.event_id) for r in got if r.raised} == {(big + i if i else None, i) for i in range(20)} and len(got) == 40
     assert state_rows(query) <= 2
+
+
+def test_candidates_of_titles_are_judged_where_they_meet(spark):
+    """Titles of few words are nearly all candidates: only similar pairs leave the join, each once."""
+    words = ["ustawa", "projekt", "zmiana", "rynek", "energia", "\U0001f600kod", "za"]
+    titles = [" ".join(x) for k in (1, 2, 3) for x in itertools.permutations(words, k)][::3]
+    grams = {t: {p[i : i + 3] for w in t.replace("\U0001f600", " ").split() for p in [f"  {w} "] for i in range(len(p) - 2)} for t in titles}
+    similarity = lambda a, b: len(a & b) / len(a | b)
+    want = {(a, b) for a in titles[::2] for b in titles[1::2] if similarity(grams[a], grams[b]) >= 0.35}
+    frame = lambda x: spark.createDataFrame([(t,) for t in x], "title string")
+    found = matching.similar_titles(frame(titles[::2]), frame(titles[1::2]))
+    above = found._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
+    got = [(r.title, r.other, r.score) for r in found.collect()]
+    assert len(got) == len(want) and {g[:2] for g in got} == want
+    assert all(abs(s - similarity(grams[a], grams[b])) < 1e-12 for a, b, s in got)
+
+
+def test_payloads_land_in_more_files_and_not_in_larger_ones(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(streams, "ARCHIVE_BYTES", 1 << 15)
+    seen, land = [], streams._stream
+    monkeypatch.setattr(streams, "_stream", lambda rows, name, files=None: seen.append((rows.rdd.getNumPartitions(), files)) or land(rows.limit(20).repartition(2), name, files))
+    streams.stream_archive(spark, sf_dir)
+    size = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null").agg(F.sum(F.octet_length("text"))).first()[0]
+    assert size > 4 << 15 and all(files == -(-size // (1 << 15)) and parts == 2 * files for parts, files in seen)
+
+
+def test_every_ordinary_name_of_a_large_corpus_counts(spark):
+    rows = spark.range(6000).select(F.concat(*(F.concat(F.translate(F.conv(F.xxhash64("id", F.lit(k)).cast("string"), 10, 16), "0123456789", "ghijklmnop"), F.lit(" ")) for k in range(16))).alias("text"))
+    rows = rows.select(F.monotonically_increasing_id().alias("doc_id"), F.regexp_replace("text", "([A-Za-z]{8})", "$1 ").alias("text"))
+    ordinary, shares = secrets.calibration(rows, {(62, 1), (36, 4)})
+    assert set(shares.values()) == {1} and sum(sum(v.values()) for v in ordinary.values()) == secrets.ordinary_names(rows).count() > 20_000
