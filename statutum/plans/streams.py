@@ -30,15 +30,20 @@ def _written(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
+#: Bytes of payloads in half a landed file, about.
+ARCHIVE_BYTES = 16 << 20
+
+
 def stream_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as landed payloads, fifty addresses a source: each (source, address, hash) is archived once, over batches; half is archived before."""
     live.use_rocksdb(spark)
     d = table(spark, sf_dir, "documents").where("source is not null")
     landed = d.select("source", (F.col("doc_id") % 50).cast("string").alias("external_id"), F.coalesce("text", F.lit("")).cast("binary").alias("payload"), F.timestamp_seconds("doc_id").alias("landed_at"))
     path = shared_path(spark, "archive")
+    parts = max(2, -(-(landed.agg(F.sum(F.octet_length("payload"))).first()[0] or 0) // ARCHIVE_BYTES))  # files of two batches: more of them, not larger ones
     for part in ("0", "1"):  # two streams, the second seeded from what the first archived, and given all of it again
         rows = landed.where(F.pmod(F.unix_seconds("landed_at"), F.lit(2)) == 0) if part == "0" else landed
-        keyed.archive_stream(_stream(rows.repartition(4), "landed", 2), path, shared_path(spark, "archive-checkpoint")).awaitTermination()
+        keyed.archive_stream(_stream(rows.repartition(2 * parts), "landed", parts), path, shared_path(spark, "archive-checkpoint")).awaitTermination()
     return chain.read_archive(spark, path).select("source", "external_id", "content_hash")
 
 
