@@ -12,9 +12,8 @@ and the serial correlation of neighbours, and joins their tails by Fisher's meth
 What is reported as ``random`` is controlled: the hypothesis to be rejected is that a run is an ordinary name. Ordinary names are made of the
 corpus itself: the words of every text, in its order, joined in groups as names are written (with underscores, in camel case,
 in small letters or capitals, a number behind one of the words). Their scores, counted by encoding, band of length and bin, give each run's p-value, the
-share of ordinary names of its encoding and band that score as high (adding one). Names are drawn by a hash of the group, one in 16 first; while some
-encoding and band of the corpus's runs has fewer than ``FLOOR`` names, more are drawn for all such, one in 4 and then all: each has ``FLOOR`` names
-or every name that the corpus gives. Where these are fewer than ``ENOUGH``, as of encodings that words hardly ever have, all encodings of the band count, then all
+share of ordinary names of its encoding and band that score as high (adding one). Every group of words of the whole corpus is made a name and counts (a caller may set
+``FLOOR``, for which one in 16 is drawn first, then one in 4, then all, until each encoding and band has so many). Where these are fewer than ``ENOUGH``, as of encodings that words hardly ever have, all encodings of the band count, then all
 bands, each name for as many as it was drawn from. In each band of lengths, Benjamini and Hochberg's step-up procedure at level ``ALPHA`` over all runs of
 the corpus then reports runs, so that of the reported ones a share of ``ALPHA`` is expected to be ordinary names. Short runs are so
 judged by what short names look like. Without words nothing is reported beside base spans. Counts by encoding, band and bin, a table of
@@ -41,8 +40,8 @@ RUN = "[A-Za-z0-9+/_-]{20,}={0,2}"
 ASSIGN_VALUE = 12
 #: Level of the procedure; first lengths of the bands; bins for a halving of a score, and of them all; ordinary names that suffice.
 ALPHA, BANDS, BINS_PER_HALVING, BINS, ENOUGH = 0.05, (20, 24, 32, 40, 64, 128), 4, 400, 400
-#: Words in an ordinary name, by a hash of the text; one group of words in so many, by a hash, is made a name, round by round; names that end the rounds.
-WORDS_IN_NAME, ROUNDS, FLOOR = (4, 5, 7, 10, 16, 30), (16, 4, 1), 2000
+#: Words in an ordinary name, by a hash of the text. Where a number of names (``FLOOR``) is set that suffices, one group of words in so many is made a name, round by round.
+WORDS_IN_NAME, ROUNDS, FLOOR = (4, 5, 7, 10, 16, 30), (16, 4, 1), None
 
 #: A private-use character marks matches; where a text has it, a character that no pattern takes stands in.
 MARK, STAND_IN = "\ue000", "#"
@@ -198,11 +197,12 @@ def calibration(docs: DataFrame, cells: set[tuple[int, int]]) -> tuple[dict[tupl
     every = {(base, band) for base in ALPHABETS for band in range(len(BANDS))}
     shares: dict[tuple[int, int], int] = {}
     held = lambda cell: sum(ordinary.get(cell, {}).values())
-    for k, share in enumerate(ROUNDS):
-        thin = {cell for cell in every if held(cell) < FLOOR}
+    rounds = ROUNDS if FLOOR else (1,)
+    for k, share in enumerate(rounds):
+        thin = {cell for cell in every if not FLOOR or held(cell) < FLOOR}
         if not thin & cells:
             break
-        names = ordinary_names(docs, share, ROUNDS[k - 1] if k else None).withColumn("band", band_of(F.length("name")))
+        names = ordinary_names(docs, share, rounds[k - 1] if k else None).withColumn("band", band_of(F.length("name")))
         place = lambda base: base * len(BANDS) + F.col("band")
         body = F.translate("name", "_", "/")
         wanted = names.where(place(encoded(body)["base"]).isin(sorted(base * len(BANDS) + band for base, band in thin))) if len(thin) < len(every) else names
