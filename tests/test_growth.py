@@ -76,3 +76,18 @@ def test_every_ordinary_name_of_a_large_corpus_counts(spark):
     rows = rows.select(F.monotonically_increasing_id().alias("doc_id"), F.regexp_replace("text", "([A-Za-z]{8})", "$1 ").alias("text"))
     ordinary, shares = secrets.calibration(rows, {(62, 1), (36, 4)})
     assert set(shares.values()) == {1} and sum(sum(v.values()) for v in ordinary.values()) == secrets.ordinary_names(rows).count() > 20_000
+
+
+def test_covered_interests_are_found_in_one_shuffle(spark):
+    values = ["62", "62.0", "62.01", "62.0.1", "620", "62-1", "62.", "6", "ż", "żó", "", ".1", None]
+    rows = [(p, k, e, v) for p in ("a", None) for k in ("pkd", "region", "act", None) for e in (True, None) for v in [*values, *values[::2]]]
+
+    def covered(p, k, e, v):
+        ends = {"pkd": lambda w: v.startswith(w + "."), "region": lambda w: w != "" and v.startswith(w)}.get(k)
+        return None not in (p, e, v) and ends is not None and any(w is not None and w != v and ends(w) for w in values)
+
+    found = matching.uncovered_interests(spark.createDataFrame(rows, "profile_id string, kind string, excluded boolean, value string").repartition(3))
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {r for r in rows if not covered(*r)}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("hashpartitioning") == 1
