@@ -1,12 +1,14 @@
 """What grows with the input, and what must not, of the queries that were found to grow too fast."""
 
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
 from statutum.llm import secrets
 from statutum.operators import matching
 from statutum.plans import streams
+from statutum.sources import government
 from statutum.streaming import alerts as live
 from statutum.streaming import digests
 
@@ -91,3 +93,22 @@ def test_covered_interests_are_found_in_one_shuffle(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == {r for r in rows if not covered(*r)}
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("hashpartitioning") == 1
+
+
+def test_plain_pages_have_the_tree_of_the_parser_without_it(monkeypatch):
+    def parsed(page):
+        parser = government._Tree()
+        parser.feed(page)
+        parser.close()
+        return parser.root
+
+    shape = lambda n: n if isinstance(n, str) else (n.tag, n.attrs, [shape(c) for c in n.children])
+    pieces = ["<div>", "<DIV Class='a'>", '<Div Class="a  b" id="">', '<a href="/x/1"\n>', '<a href="?a=1&amp;b">', '<a href="x"/>', "<br/>", "<br>", "<br />", "</div>", "</DIV >", "</a>", "</p>", "<p>", "a &amp; ż", "&lt", "&#380;", " \n", "<", ">", "</", "<!-- x -->", "<!DOCTYPE html>", "<script>a<b</script>", "<sc\u0131pt>", "<b\u212a>", "<title>", "<x-y>", '<p id="1" id="2">', '<p id="a>b">', "<p id=1>", "<p id>", "&am"]
+    draw = random.Random(7)
+    pages = ["", *("".join(draw.choices(pieces[: draw.choice((10, 18, 99))], k=draw.randrange(12))) for _ in range(4000))]
+    plain = [(p, government._plain_tree(p)) for p in pages]
+    assert 500 < sum(t is not None for _, t in plain) < 4000
+    assert all(shape(t) == shape(parsed(p)) for p, t in plain if t is not None)
+    page = '<ul class="cbp_tmtimeline"><li id="5"><div class="cbp_tmlabel"><a href="/projekt/7/katalog/5">1. A &amp; b</a></div></li></ul>'
+    monkeypatch.setattr(government._Tree, "feed", None)
+    assert government.card_of(page)["stages"] == [{"catalog_id": "5", "heading": "1. A & b", "state": "done", "modified": None, "visitable": True}]
