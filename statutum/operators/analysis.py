@@ -2,20 +2,27 @@
 
 A command takes letters off the end of a word and puts others there. Every suffix of a form that covers what its command takes off votes for
 it, and the most frequent command of a suffix is its rule. Rules that say what their longest shorter suffix says are dropped, as a trie of suffixes needs
-no node that repeats its parent. Learning and stemming are group-bys and joins over distinct suffixes and distinct words; no text meets
-a rule table in a task.
+no node that repeats its parent. Learning is group-bys and joins over distinct suffixes. Up to ``HELD`` rules go to the tasks, which stem each distinct word
+of an Arrow batch once, so texts are not shuffled; with more rules, words are stemmed by joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.text import STOP_WORDS
 from ..functions.word_forms import word_forms
 
 #: Letters of a suffix, and letters that a command must leave.
 LONGEST, LEFT = 8, 2
+#: Rules that a task may hold; words that it remembers.
+HELD, REMEMBERED = 100_000, 300_000
 
 
 def segments(text: Column, language: str = "pl", country: str = "PL") -> Column:
@@ -65,12 +72,48 @@ def lemmas(words: DataFrame, rules: DataFrame) -> DataFrame:
     return distinct.join(said, "word", "left").select("word", F.coalesce(stem, F.col("word")).alias("stem"))
 
 
-def analysed(texts: DataFrame, rules: DataFrame, words: Column | None = None, key: str = "id") -> DataFrame:
-    """``key, stems``: stems of every text in its order, words without meaning left out; ``words`` (of ``title``, by ``segments``) may be given.
+def _stem_in_place(rules: dict[str, tuple[int, str]]):
+    def stem(word: str) -> str:
+        for n in range(min(LONGEST, len(word)), 0, -1):
+            said = rules.get(word[-n:])
+            if said and len(word) - said[0] >= LEFT:
+                return word[: len(word) - said[0]] + said[1]
+        return word
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
+        for batch in batches:
+            words = batch.column(1)
+            coded = words.flatten().dictionary_encode()  # the words of lists that are not null
+            stems = []
+            for word in coded.dictionary.to_pylist():
+                found = known.get(word) or stem(word)
+                if len(known) < REMEMBERED:
+                    known[word] = found
+                stems.append(found)
+            sizes = pc.fill_null(pc.list_value_length(words), 0)
+            ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
+            stemmed = pa.array(stems, pa.string()).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, stemmed)], names=["key", "stems"])
+
+    return run
 
-    Every distinct word is looked up once; the words of a text come together again by its key, which is unique.
-    """
-    found = texts.select(key, F.posexplode(segments(F.col("title")) if words is None else words).alias("at", "word")).where(~F.col("word").isin(*STOP_WORDS))
+
+def analysed(texts: DataFrame, rules: DataFrame, words: Column | None = None, key: str = "id") -> DataFrame:
+    """``key, stems``: stems of every text in its order, words without meaning left out; ``words`` (of ``title``, by ``segments``) may be given."""
+    split = segments(F.col("title")) if words is None else words
+    held = rules.select("suffix", "cut", "put").limit(HELD + 1).collect()
+    if len(held) > HELD:
+        return analysed_by_joins(texts, rules, split, key)
+    kept = F.filter(split, lambda w: ~w.isin(*STOP_WORDS))
+    kind = StructType([StructField("key", texts.schema[key].dataType), StructField("stems", ArrayType(StringType()))])
+    done = texts.select(F.col(key).alias("key"), kept.alias("words")).mapInArrow(_stem_in_place({r.suffix: (r.cut, r.put) for r in held}), kind)
+    return done.select(F.col("key").alias(key), "stems")
+
+
+def analysed_by_joins(texts: DataFrame, rules: DataFrame, words: Column, key: str = "id") -> DataFrame:
+    """The same for rules of any number: every distinct word is looked up once; the words of a text come together again by its key, which is unique."""
+    found = texts.select(key, F.posexplode(words).alias("at", "word")).where(~F.col("word").isin(*STOP_WORDS))
     stemmed = found.join(lemmas(found, rules), "word")
     held = stemmed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "stem"))).alias("s")).select(key, F.col("s.stem").alias("stems"))
     return texts.select(key).join(held, key, "left").select(key, F.coalesce("stems", F.array().cast("array<string>")).alias("stems"))

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from statutum.llm import secrets
-from statutum.operators import matching
+from statutum.operators import analysis, matching
 from statutum.plans import streams
 from statutum.sources import government
 from statutum.streaming import alerts as live
@@ -112,3 +112,14 @@ def test_plain_pages_have_the_tree_of_the_parser_without_it(monkeypatch):
     page = '<ul class="cbp_tmtimeline"><li id="5"><div class="cbp_tmlabel"><a href="/projekt/7/katalog/5">1. A &amp; b</a></div></li></ul>'
     monkeypatch.setattr(government._Tree, "feed", None)
     assert government.card_of(page)["stages"] == [{"catalog_id": "5", "heading": "1. A & b", "state": "done", "modified": None, "visitable": True}]
+
+
+def test_texts_are_stemmed_where_they_are_read(spark, monkeypatch):
+    rules = analysis.edit_commands(analysis.known_forms(spark)).localCheckpoint()
+    texts = spark.createDataFrame([(1, "Ustawami o przepisach, ustawami i ę x xy"), (2, None), (3, ""), (4, "z do"), (5, "\U00010400\U00010401ami rządowego 12 odpowiedzialnościach")], "id long, title string").repartition(2)
+    done = analysis.analysed(texts, rules)
+    assert "Exchange hash" not in done._jdf.queryExecution().executedPlan().toString() and "Join" not in done._jdf.queryExecution().sparkPlan().toString()
+    got = {r.id: r.stems for r in done.collect()}
+    monkeypatch.setattr(analysis, "HELD", 3)  # more rules than a task may hold are joined
+    assert {r.id: r.stems for r in analysis.analysed(texts, rules).collect()} == got
+    assert len(got) == 5 and got[2] == got[3] == got[4] == [] and got[1][0] == got[1][2] == "ustawa"
