@@ -123,3 +123,19 @@ def test_texts_are_stemmed_where_they_are_read(spark, monkeypatch):
     monkeypatch.setattr(analysis, "HELD", 3)  # more rules than a task may hold are joined
     assert {r.id: r.stems for r in analysis.analysed(texts, rules).collect()} == got
     assert len(got) == 5 and got[2] == got[3] == got[4] == [] and got[1][0] == got[1][2] == "ustawa"
+
+
+def test_words_of_common_keywords_are_not_shuffled_with_profiles(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CHUNK_BITS", 1)
+    monkeypatch.setattr(matching, "FEW", 1)
+    items = [(i, "act", str(i), f"DU/2024/{i % 290}", [w for w, k in (("a", 1), ("b", 3), ("c", 100)) if i % k == 0]) for i in range(300)]
+    asked = [(p, p, 1, "keyword", w, p == 2 and w == "b", [w]) for p in (1, 2, 3, None) for w in ("a", "b", "c")]
+    asked += [(p, p, 1, "act", f"DU/2024/{n}", x, None) for p in (1, 3, None) for n, x in ((5, True), (6, False), (170, True))]
+    made = lambda rows, kind: spark.createDataFrame(rows, kind).repartition(3)
+    found = matching.interested_profiles(made(items, "item_id long, kind string, subject string, eli string, stems array<string>"), made(asked, "owner_id int, profile_id int, version int, kind string, value string, excluded boolean, stems array<string>"))
+    hits = {(i, p, k, v, x) for i, _, _, eli, stems in items for _, p, _, k, v, x, w in asked if (v == eli if k == "act" else w[0] in stems)}
+    gone = {(i, p) for i, p, _, _, x in hits if x and p is not None}
+    got = [(r.item_id, r.profile_id, r.kind, r.value) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {h[:4] for h in hits if not h[4] and h[:2] not in gone}
+    shuffled = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in line]
+    assert len(shuffled) == 1 and "profile_id" in shuffled[0] and "chunk" in shuffled[0]
