@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..storage import materialize, shared_dir, shared_path  # noqa: F401
 
@@ -199,8 +199,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round merges each node with its least neighbour and keeps the edges between what is left. Even rounds
     order nodes by id, which closes stars at once; odd rounds order them by a hash, so that long chains shrink by a
-    constant factor. A node of any degree is only ever grouped by ``min`` (combined before the shuffle) or met in a
-    join that Spark may split. Nothing but the number of edges left reaches the driver.
+    constant factor. A node of any degree is only ever grouped by ``min_by`` (combined before the shuffle) or met in a
+    join that Spark may split; of whole numbers that needs no sort, whose pages would take most of a task's memory however few the rows. The hash of
+    whole numbers has no ties. Nothing but the number of edges left reaches the driver.
     """
     a, b = F.col("a"), F.col("b")
     left = materialize(edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
@@ -209,9 +210,13 @@ def components(edges: DataFrame) -> DataFrame:
         r = len(parents)
         order = (lambda c: c) if r % 2 == 0 else (lambda c, r=r: F.xxhash64(F.lit(r), c))
         both = left.unionByName(left.select(b.alias("a"), a.alias("b")))
-        best = both.groupBy("a").agg(F.min(F.struct(order(b).alias("o"), b.alias("b"))).alias("m"))
-        own = F.struct(order(a).alias("o"), a.alias("b"))
-        parent = materialize(best.select(a.alias("node"), F.least(own, F.col("m"))["b"].alias("up")), "parents")
+        if isinstance(left.schema["a"].dataType, LongType):
+            best = both.groupBy("a").agg(F.min("b").alias("m") if r % 2 == 0 else F.min_by("b", order(b)).alias("m"))
+            up = F.when(order(F.col("m")) < order(a), F.col("m")).otherwise(a)
+        else:
+            best = both.groupBy("a").agg(F.min(F.struct(order(b).alias("o"), b.alias("b"))).alias("m"))
+            up = F.least(F.struct(order(a).alias("o"), a.alias("b")), F.col("m"))["b"]
+        parent = materialize(best.select(a.alias("node"), up.alias("up")), "parents")
         parents.append(parent)
         pa_, pb_ = parent.select(F.col("node").alias("a"), F.col("up").alias("ua")), parent.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         moved = left.join(pa_, "a").join(pb_, "b").where("ua <> ub")

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from statutum.llm import secrets
+from statutum.llm import common, secrets
 from statutum.operators import analysis, matching
 from statutum.plans import streams
 from statutum.sources import government
@@ -139,3 +139,22 @@ def test_words_of_common_keywords_are_not_shuffled_with_profiles(spark, monkeypa
     assert len(got) == len(set(got)) and set(got) == {h[:4] for h in hits if not h[4] and h[:2] not in gone}
     shuffled = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression" in line]
     assert len(shuffled) == 1 and "profile_id" in shuffled[0] and "chunk" in shuffled[0]
+
+
+def test_components_of_whole_numbers_are_found_without_sorts(spark, monkeypatch):
+    draw = random.Random(3)
+    edges = [(draw.randrange(-400, 400), draw.randrange(-400, 400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5000, 6000 + i) for i in range(50)]
+    plans, keep = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(plans) > 5 and not any("SortAggregate" in p for p in plans)
+    text = {int(r.node): int(r.component) for r in common.components(spark.createDataFrame([(f"{a + 9000:05}", f"{b + 9000:05}") for a, b in edges], "a string, b string")).collect()}
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        before = dict(root)
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    assert got == root and text == {k + 9000: v + 9000 for k, v in root.items()}
