@@ -64,6 +64,26 @@ def test_candidates_of_titles_are_judged_where_they_meet(spark):
     assert all(abs(s - similarity(grams[a], grams[b])) < 1e-12 for a, b, s in got)
 
 
+def test_titles_meet_in_blocks_and_are_told_apart_by_sketches(spark, monkeypatch):
+    """No candidate makes an array in the join, and no trigram that all titles have is met in one block."""
+    monkeypatch.setattr(matching, "SKETCH", 1)
+    monkeypatch.setattr(matching, "BLOCKS", {"left": 7, "right": 3})
+    draw = random.Random(5)
+    pieces = ["ust", "awa", "o", "zmi", "anie", "en", "er", "gii", "\U0001f600k", "ż", "1", "xyz"]
+    titles = ["", " ", "o", *(" ".join("".join(draw.choices(pieces, k=draw.randrange(1, 4))) for _ in range(draw.choice((1, 2, 4, 30)))) for _ in range(150))]
+    grams = {t: {p[i : i + 3] for w in t.replace("\U0001f600", " ").split() for p in [f"  {w} "] for i in range(len(p) - 2)} for t in titles}
+    similarity = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b]) if grams[a] and grams[b] else 0
+    frame = lambda x: spark.createDataFrame([(t,) for t in x], "title string")
+    for floor in (0.35, 0.6):
+        want = {(a, b) for a in titles[:90] for b in titles[60:] if similarity(a, b) >= floor}
+        found = matching.similar_titles(frame(titles[:90] * 2), frame(titles[60:] * 2), floor)
+        joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().split("\n") if "SortMergeJoin" in line and "bit_count" in line]
+        assert len(joins) == 1 and "array_intersect" not in joins[0]
+        got = [(r.title, r.other, r.score) for r in found.collect()]
+        assert len(got) == len(want) > 30 and {g[:2] for g in got} == want
+        assert all(abs(s - similarity(a, b)) < 1e-12 for a, b, s in got)
+
+
 def test_payloads_land_in_more_files_and_not_in_larger_ones(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(streams, "ARCHIVE_BYTES", 1 << 15)
     seen, land = [], streams._stream
